@@ -149,15 +149,15 @@ def distinct_keys(keys: np.ndarray, owner_ids: np.ndarray) -> tuple[np.ndarray,
     return keys[at], np.minimum.reduceat(owners, at) < np.maximum.reduceat(owners, at)
 
 
-def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+def shared_keys(chunks: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, given: DataFrame | None = None) -> DataFrame:
     """Finds the keys that two owners have anywhere: messages of kind 0 to each chunk with a bit for each of its distinct keys.
 
-    keys_of gives (keys, ids of their owners). A chunk sends each distinct key once, as 6 bytes; keys of one bucket that agree
+    keys_of(chunk) gives (keys, ids of their owners); with ``given`` messages, keys_of(chunk, messages) does. A chunk sends each distinct key once, as 6 bytes; keys of one bucket that agree
     in these count as equal, which may only let a key pass that has no partner.
     """
 
-    def ask(chunk: Chunk) -> Iterator[tuple]:
-        keys, many = distinct_keys(*keys_of(chunk))
+    def ask(chunk: Chunk, *messages: list[dict]) -> Iterator[tuple]:
+        keys, many = distinct_keys(*keys_of(chunk, *messages))
         for bucket, at in split_by_bucket(keys, buckets):
             short = (keys[at] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield bucket, chunk.key, len(at), short.tobytes() + np.packbits(many[at]).tobytes()
@@ -183,7 +183,8 @@ def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray,
             if bits.any():
                 yield r["bucket"], r["chunk"], 0, np.packbits(bits).tobytes()
 
-    return each_bucket(each_chunk(chunks, ask, MESSAGE_SCHEMA, MESSAGE), answer)
+    asked = each_chunk(chunks, ask, MESSAGE_SCHEMA, MESSAGE) if given is None else with_answers(chunks, given, ask, MESSAGE_SCHEMA, MESSAGE)
+    return each_bucket(asked, answer)
 
 
 def apply_shared(keys: np.ndarray, owner_ids: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:

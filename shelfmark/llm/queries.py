@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import decontamination, fingerprints, jaccard_join, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.digest,
+        "op2_jaccard_join": jaccard_join.digest,
         "op3_substring_dedup": substring_dedup.digest,
         "op4_token_counts": token_counts.digest,
         "op5_suffix_array_dedup": suffix_dedup.digest,
