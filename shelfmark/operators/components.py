@@ -15,6 +15,11 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Size and a hash of a set of edges; equal for two rounds when nothing changes any more."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node around."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,9 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).where("node is not null").distinct()
     now = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = _checkpointed(now.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
-    while True:
-        after = _checkpointed(_small_star(_large_star(now)).distinct())
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
-        now = after
+    seen = None
+    while (state := _state(now)) != seen:
+        seen = state
+        now = _checkpointed(_small_star(_large_star(now)).distinct())
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
