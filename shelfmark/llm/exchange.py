@@ -87,12 +87,19 @@ class Chunk:
     """One row of the chunk table, unpacked."""
 
     def __init__(self, row: dict) -> None:
-        self.key = row["chunk"]
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        lens = np.frombuffer(row["lens"], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(lens)])
-        self.raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.offsets[-1])))
-        self.data = np.frombuffer(self.raw, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.int64))])
+        raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(offsets[-1])))
+        self._take(row["chunk"], np.frombuffer(row["ids"], np.int64), offsets, raw)
+
+    @classmethod
+    def of(cls, key: int, ids: np.ndarray, offsets: np.ndarray, raw: bytes) -> Chunk:
+        out = cls.__new__(cls)
+        out._take(key, ids, offsets, raw)
+        return out
+
+    def _take(self, key: int, ids: np.ndarray, offsets: np.ndarray, raw: bytes) -> None:
+        self.key, self.ids, self.offsets, self.raw = key, ids, offsets, raw
+        self.data = np.frombuffer(raw, np.uint8)
 
     def text(self, k: int) -> bytes:
         return self.raw[self.offsets[k] : self.offsets[k + 1]]

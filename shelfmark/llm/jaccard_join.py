@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import arrays as A
-from .exchange import Chunk, apply_shared, chunk_table, keyed_checkpoint, shared_keys, width, with_answers
+from .exchange import Chunk, apply_shared, chunk_table, shared_keys, width, with_answers
 
 SHINGLE_WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
@@ -20,7 +20,7 @@ NEED, PARTS = 80, 100
 #: The sketch that orders shingles, rare ones first, has so many counters, whatever the input's size.
 SKETCH_BITS = 20
 #: Rounds in which each list of candidates is compared with one of its members; what is left after these is compared in pairs.
-ROUNDS = 6
+ROUNDS = 4
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +116,11 @@ class Sets:
         self.tokens = self.hashes[order][self.bounds[self.owner] + self.pos]
 
 
-NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("hashes", pa.binary())])
+NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
 
 
 def _candidates(chunks: DataFrame, chosen: DataFrame, levels: Broadcast) -> DataFrame:
-    """A row for each distinct set that shares a prefix shingle with another: these shingles, their places, the set."""
+    """A row for each distinct set that shares a prefix shingle with another: these shingles and their places, and where the text is."""
     buckets = 4 * width(chunks.sparkSession)
 
     def prefixes(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, Sets]:
@@ -136,11 +136,11 @@ def _candidates(chunks: DataFrame, chosen: DataFrame, levels: Broadcast) -> Data
         for k in np.unique(sets.owner[on]).tolist():
             a, b = bounds[k], bounds[k + 1]
             at = a + np.flatnonzero(on[a:b])
-            yield int(sets.ids[k]), int(sets.n[k]), int(group[k]), tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), sets.hashes[sets.bounds[k] : sets.bounds[k + 1]].tobytes()
+            yield int(sets.ids[k]), int(sets.n[k]), int(group[k]), tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
 
     shared = shared_keys(chunks, lambda c, a: prefixes(c, a)[:2], buckets, chosen).checkpoint()
-    found = with_answers(chunks, shared.unionByName(chosen), nodes, "node long, n long, prefix_group long, tokens binary, pos binary, hashes binary", NODES)
-    return keyed_checkpoint(found, "node")
+    found = with_answers(chunks, shared.unionByName(chosen), nodes, "node long, n long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES)
+    return found.checkpoint()
 
 
 def _token_rows(nodes: DataFrame) -> DataFrame:
@@ -159,22 +159,59 @@ def _token_rows(nodes: DataFrame) -> DataFrame:
     return rows.join(listed, "token", "left_semi").select("token", "prefix_group", "n", "pos").join(nodes.select("node", "prefix_group", "n"), ["prefix_group", "n"]).select("token", "node", "n", "pos")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of those pairs whose sets link. Only sets of the b side travel, to the a side."""
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose common prefix shingles, all of them, leave room for a link: these up to the last, and at most the shorter rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, A.U64), np.frombuffer(y, A.U64)]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(PARTS * common >= NEED * (len(both) - common))
+            for r in batch.to_pylist():
+                t, u = np.frombuffer(r["tokens"], np.int64), np.frombuffer(r["tokens2"], np.int64)
+                _, i, j = np.intersect1d(t, u, return_indices=True)
+                rest = min(r["n"] - np.frombuffer(r["pos"], np.int32)[i].max(), r["n2"] - np.frombuffer(r["pos2"], np.int32)[j].max()) - 1
+                ok.append(bool(len(i) + rest >= -(-NEED * (r["n"] + r["n2"]) // (PARTS + NEED))))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = nodes.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    left = pairs.join(wanted, "b")
-    both = left.join(nodes.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a long, b long")
+    columns = ["n", "tokens", "pos"]
+    left = nodes.select(F.col("node").alias("a"), *columns)
+    right = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns])
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
+SET = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(a, b) of those pairs whose sets link. The chunks of the b side send its sets to the chunks of the a side."""
+
+    def sets_at(chunk: Chunk, places: list[int]) -> dict[int, np.ndarray]:
+        some = sorted(set(places))
+        texts = [chunk.text(k) for k in some]
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        part = Chunk.of(chunk.key, chunk.ids[some], np.concatenate([[0], np.cumsum(lens)]), b"".join(texts))
+        hashes, bounds = shingle_sets(part)
+        return {k: hashes[bounds[i] : bounds[i + 1]] for i, k in enumerate(some)}
+
+    def send(chunk: Chunk, rows: list[dict]) -> Iterator[tuple]:
+        if rows:
+            for k, hashes in sets_at(chunk, [r["place"] for r in rows]).items():
+                yield int(chunk.ids[k]), hashes.tobytes()
+
+    def compare(chunk: Chunk, rows: list[dict]) -> Iterator[tuple]:
+        mine = sets_at(chunk, [r["place"] for r in rows]) if rows else {}
+        for r in rows:
+            both = np.sort(np.concatenate([mine[r["place"]], np.frombuffer(r["hashes"], A.U64)]))
+            common = int((both[1:] == both[:-1]).sum())
+            if PARTS * common >= NEED * (len(both) - common):
+                yield r["a"], r["b"]
+
+    pairs = _promising(pairs, nodes).checkpoint()
+    at = nodes.select("node", "chunk", "place")
+    wanted = at.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("chunk", "place")
+    sets = with_answers(chunks, wanted, send, "node long, hashes binary", SET).withColumnRenamed("node", "b")
+    asked = pairs.join(sets, "b").join(at.withColumnRenamed("node", "a"), "a").select("chunk", "place", "a", "b", "hashes")
+    return with_answers(chunks, asked, compare, "a long, b long", PAIR)
 
 
 def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
@@ -183,7 +220,7 @@ def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
     return most >= needed_overlap(F.col(n), F.col(n2))
 
 
-def linked_nodes(nodes: DataFrame) -> DataFrame:
+def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
     Candidates are the nodes in the list of one shingle. In each round the member with the least hash leads its list: those that could
@@ -192,7 +229,7 @@ def linked_nodes(nodes: DataFrame) -> DataFrame:
     but for pairs already connected. No link that could change a component is left out.
     """
     lists = _token_rows(nodes).checkpoint()
-    links, labels = None, None
+    labels = None
     for k in range(ROUNDS + 1):
         now = lists
         if labels is not None:
@@ -211,11 +248,12 @@ def linked_nodes(nodes: DataFrame) -> DataFrame:
         else:
             other = now.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
             pairs = now.join(other, "token").where("node < b and component <> component2").where(_possible("n", "pos", "n2", "pos2")).select(F.col("node").alias("a"), "b").distinct()
-        new = _verify(pairs, nodes).checkpoint()
-        if new.isEmpty() and links is not None:
-            continue
-        links = new if links is None else links.unionByName(new).checkpoint()
-        labels = connected_components(links, "a", "b").checkpoint()
+        new = _verify(pairs, nodes, chunks).checkpoint()
+        if labels is not None:
+            if new.isEmpty():
+                continue
+            new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = connected_components(new, "a", "b").checkpoint()
     return labels
 
 
@@ -235,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.select(*key, "first.*").checkpoint()
     chosen = sets.select(F.lit(0).alias("bucket"), "chunk", F.lit(9).alias("kind"), F.col("place").cast("string").cast("binary").alias("body"))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(measured))
-    labels = linked_nodes(_candidates(chunks, chosen, levels))
+    labels = linked_nodes(_candidates(chunks, chosen, levels), chunks)
     sets = sets.select(*key, F.col("id").alias("node")).join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     # rows of one id are one document, whichever of their sets is linked
     out = texts.join(sets, key, "left").withColumn("component", F.coalesce("component", "id"))
