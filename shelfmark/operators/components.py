@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ck-"))
@@ -43,9 +43,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).where("node is not null").distinct()
     now = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    now = _checkpointed(now.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    now = checkpointed(now.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     seen = None
     while (state := _state(now)) != seen:
         seen = state
-        now = _checkpointed(_small_star(_large_star(now)).distinct())
+        now = checkpointed(_small_star(_large_star(now)).distinct())
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog, ledger, resolution
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**catalog.QUERIES, **resolution.QUERIES, **ledger.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**catalog.SQL, **resolution.SQL, **ledger.SQL}
