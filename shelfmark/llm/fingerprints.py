@@ -80,14 +80,14 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = rows.withColumn("ghost", F.lit(False)).unionByName(first.select("doc_id", "text", "part", "ghost"))
     order = Window.partitionBy("part").orderBy("ghost", F.desc("doc_id"), "text")
     both = both.withColumn("fingerprint", fingerprint(F.col("text")))
-    both = both.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(order)).where("not ghost")
+    both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("not ghost")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     out = both.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     like = lambda c: (F.col("fingerprint") == c).cast("double")
-    return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like(F.col("edited_fingerprint")).alias("near_edited"), like(F.col("next.fingerprint")).alias("near_next"))
+    return out.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like(F.col("edited_fingerprint")).alias("near_edited"), like(F.col("next_fingerprint")).alias("near_next"))
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
