@@ -156,15 +156,15 @@ def distinct_keys(keys: np.ndarray, owner_ids: np.ndarray) -> tuple[np.ndarray,
     return keys[at], np.minimum.reduceat(owners, at) < np.maximum.reduceat(owners, at)
 
 
-def shared_keys(chunks: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, given: DataFrame | None = None) -> DataFrame:
+def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
     """Finds the keys that two owners have anywhere: messages of kind 0 to each chunk with a bit for each of its distinct keys.
 
-    keys_of(chunk) gives (keys, ids of their owners); with ``given`` messages, keys_of(chunk, messages) does. A chunk sends each distinct key once, as 6 bytes; keys of one bucket that agree
+    keys_of gives (keys, ids of their owners). A chunk sends each distinct key once, as 6 bytes; keys of one bucket that agree
     in these count as equal, which may only let a key pass that has no partner.
     """
 
-    def ask(chunk: Chunk, *messages: list[dict]) -> Iterator[tuple]:
-        keys, many = distinct_keys(*keys_of(chunk, *messages))
+    def ask(chunk: Chunk) -> Iterator[tuple]:
+        keys, many = distinct_keys(*keys_of(chunk))
         for bucket, at in split_by_bucket(keys, buckets):
             short = (keys[at] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield bucket, chunk.key, len(at), short.tobytes() + np.packbits(many[at]).tobytes()
@@ -190,8 +190,7 @@ def shared_keys(chunks: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.n
             if bits.any():
                 yield r["bucket"], r["chunk"], 0, np.packbits(bits).tobytes()
 
-    asked = each_chunk(chunks, ask, MESSAGE_SCHEMA, MESSAGE) if given is None else with_answers(chunks, given, ask, MESSAGE_SCHEMA, MESSAGE)
-    return each_bucket(asked, answer)
+    return each_bucket(each_chunk(chunks, ask, MESSAGE_SCHEMA, MESSAGE), answer)
 
 
 def apply_shared(keys: np.ndarray, owner_ids: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
@@ -204,3 +203,48 @@ def apply_shared(keys: np.ndarray, owner_ids: np.ndarray, answers: list[dict], b
             at = places[r["bucket"]]
             bits[at] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=len(at)).astype(bool)
     return bits[np.searchsorted(distinct, keys)]
+
+
+def key_levels(chunks: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, given: DataFrame) -> DataFrame:
+    """How common each key is: messages of kind 5 to each chunk with a byte for each of its distinct keys.
+
+    0: one owner; else 1 + log2(owners), rounded down. keys_of(chunk, messages) gives (keys, ids of their owners). A key is known to
+    its bucket by 24 bits, so the counters number 2 ** 24 for each bucket and grow with the shuffle partitions; keys that share a
+    counter share its level, which is the same for all chunks.
+    """
+
+    def ask(chunk: Chunk, messages: list[dict]) -> Iterator[tuple]:
+        keys, n = np.unique(keys_of(chunk, messages)[0], return_counts=True)
+        for bucket, at in split_by_bucket(keys, buckets):
+            short = (keys[at] >> U64(40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]
+            many = n[at] > 1
+            yield bucket, chunk.key, len(at), short.tobytes() + np.packbits(many).tobytes() + n[at][many].astype("<u4").tobytes()
+
+    def answer(rows: list[dict]) -> Iterator[tuple]:
+        counts = np.zeros(1 << 24, np.uint32)
+        keys = []
+        for r in rows:
+            k = r["kind"]
+            wide = np.zeros((k, 4), np.uint8)
+            wide[:, :3] = np.frombuffer(r["body"], np.uint8, 3 * k).reshape(-1, 3)
+            keys.append(wide.view("<u4").ravel())
+            many = np.unpackbits(np.frombuffer(r["body"], np.uint8, -(-k // 8), 3 * k), count=k).astype(bool)
+            n = np.ones(k, np.uint32)
+            n[many] = np.frombuffer(r["body"], "<u4", offset=3 * k + -(-k // 8))
+            np.add.at(counts, keys[-1], n)
+        for r, key in zip(rows, keys, strict=True):
+            n = counts[key]
+            yield r["bucket"], r["chunk"], 5, np.where(n > 1, 1 + np.log2(n), 0).astype(np.uint8).tobytes()
+
+    return each_bucket(with_answers(chunks, given, ask, MESSAGE_SCHEMA, MESSAGE), answer)
+
+
+def apply_levels(keys: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
+    """The level of each key of a chunk."""
+    distinct = np.unique(keys)
+    levels = np.zeros(len(distinct), np.uint8)
+    places = dict(split_by_bucket(distinct, buckets))
+    for r in answers:
+        if r["kind"] == 5:
+            levels[places[r["bucket"]]] = np.frombuffer(r["body"], np.uint8)
+    return levels[np.searchsorted(distinct, keys)]

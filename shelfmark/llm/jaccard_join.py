@@ -6,19 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import arrays as A
-from .exchange import Chunk, apply_shared, chunk_table, shared_keys, width, with_answers
+from .exchange import Chunk, apply_levels, chunk_table, each_chunk, key_levels, width, with_answers
 
 SHINGLE_WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
 NEED, PARTS = 80, 100
-#: The sketch that orders shingles, rare ones first, has so many counters, whatever the input's size.
-SKETCH_BITS = 20
 #: Rounds in which each list of candidates is compared with one of its members; what is left after these is compared in pairs.
 ROUNDS = 4
 
@@ -59,88 +56,65 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-NEED * n // PARTS) + 1
 
 
-SIZES = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sum1", pa.int64()), ("sum2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+SIZES = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sum1", pa.int64()), ("sum2", pa.int64())])
 
 
-def _measure(chunks: DataFrame) -> DataFrame:
-    """A row for each text with its set's size and sums; and, from each task, the blocks of its sketch of shingle counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk = Chunk(batch.slice(k, 1).to_pylist()[0])
-                hashes, bounds = shingle_sets(chunk)
-                sketch += np.bincount((hashes >> A.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                one, two = _sums(hashes, bounds)
-                n = len(chunk.ids)
-                yield pa.record_batch([pa.array(np.full(n, chunk.key)), pa.array(np.arange(n, dtype=np.int32)), pa.array(chunk.ids), pa.array(np.diff(bounds)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=SIZES)
-        if sketch.any():
-            blocks = sketch.reshape(64, -1)
-            yield pa.record_batch([*(pa.nulls(64, t.type) for t in list(SIZES)[:6]), pa.array(range(64), pa.int32()), pa.array([b.astype(np.int64).tobytes() for b in blocks], pa.binary())], schema=SIZES)
-
-    return chunks.mapInArrow(run, "chunk long, place int, id long, n long, sum1 long, sum2 long, block int, counts binary").checkpoint()
-
-
-def _levels(measured: DataFrame) -> np.ndarray:
-    """Logarithms of the sketch's counters: 2 ** SKETCH_BITS bytes, of the sum of all tasks' sketches."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "levels": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = measured.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, levels binary").collect()
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), np.uint8)
-    for r in rows:
-        out[r.block] = np.frombuffer(r.levels, np.uint8)
-    return out.ravel()
+def _measure(chunk: Chunk) -> Iterator[tuple]:
+    """Place, id, size and sums of the set of each text."""
+    hashes, bounds = shingle_sets(chunk)
+    one, two = _sums(hashes, bounds)
+    yield from zip([chunk.key] * len(chunk.ids), range(len(chunk.ids)), chunk.ids.tolist(), np.diff(bounds).tolist(), one.tolist(), two.tolist(), strict=True)
 
 
 class Sets:
-    """Sets and prefixes of the texts of a chunk that stand for all texts with the same set."""
+    """Sets of the texts of a chunk that stand for all texts with the same set."""
 
-    def __init__(self, chunk: Chunk, answers: list[dict], levels: np.ndarray) -> None:
+    def __init__(self, chunk: Chunk, answers: list[dict]) -> None:
         hashes, bounds = shingle_sets(chunk)
         n = np.diff(bounds)
         chosen = np.zeros(len(n), dtype=bool)
         chosen[[int(r["body"]) for r in answers if r["kind"] == 9]] = True
-        keep = np.repeat(chosen, n)
         self.texts = np.flatnonzero(chosen)
         self.ids, self.n = chunk.ids[self.texts], n[self.texts]
-        self.hashes = hashes[keep]
+        self.hashes = hashes[np.repeat(chosen, n)]
         self.bounds = np.concatenate([[0], np.cumsum(self.n)])
+
+    def prefixes(self, levels: np.ndarray) -> None:
+        """The first shingles of each set, rare ones first, with their levels."""
         owner = np.repeat(np.arange(len(self.n)), self.n)
-        order = np.lexsort((self.hashes, levels[(self.hashes >> A.U64(64 - SKETCH_BITS)).astype(np.int64)], owner))
-        self.pos = A.spread(np.zeros(len(self.n), np.int64), prefix_length(self.n))
-        self.owner = np.repeat(np.arange(len(self.n)), prefix_length(self.n))
-        self.tokens = self.hashes[order][self.bounds[self.owner] + self.pos]
+        order = np.lexsort((self.hashes, levels, owner))
+        size = prefix_length(self.n)
+        self.pos = A.spread(np.zeros(len(self.n), np.int64), size)
+        self.owner = np.repeat(np.arange(len(self.n)), size)
+        at = order[self.bounds[self.owner] + self.pos]
+        self.tokens, self.levels = self.hashes[at], levels[at]
 
 
 NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
 
 
-def _candidates(chunks: DataFrame, chosen: DataFrame, levels: Broadcast) -> DataFrame:
-    """A row for each distinct set that shares a prefix shingle with another: these shingles and their places, and where the text is."""
+def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A row for each distinct set with prefix shingles that others may have: these and their places, and where the text is."""
     buckets = 4 * width(chunks.sparkSession)
 
-    def prefixes(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, Sets]:
-        sets = Sets(chunk, answers, levels.value)
-        return sets.tokens, sets.ids[sets.owner], sets
+    def shingles(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        sets = Sets(chunk, answers)
+        return sets.hashes, np.repeat(sets.ids, sets.n)
 
     def nodes(chunk: Chunk, answers: list[dict]) -> Iterator[tuple]:
-        tokens, ids, sets = prefixes(chunk, answers)
-        on = apply_shared(tokens, ids, answers, buckets)
+        sets = Sets(chunk, answers)
+        sets.prefixes(apply_levels(sets.hashes, answers, buckets))
+        on = sets.levels > 0
         bounds = np.searchsorted(sets.owner, np.arange(len(sets.n) + 1))
-        every = A.prefix_sums(tokens)
-        group = A.mix(every[bounds[1:]] * A.U64(31) + A.range_hash(every, bounds[:-1], bounds[1:]) + sets.n.astype(A.U64)).view(np.int64)
+        every = A.prefix_sums(sets.tokens)
+        group = A.mix(A.range_hash(every, bounds[:-1], bounds[1:]) + sets.n.astype(A.U64)).view(np.int64)
         for k in np.unique(sets.owner[on]).tolist():
             a, b = bounds[k], bounds[k + 1]
             at = a + np.flatnonzero(on[a:b])
-            yield int(sets.ids[k]), int(sets.n[k]), int(group[k]), tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
+            yield int(sets.ids[k]), int(sets.n[k]), int(group[k]), sets.tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
 
-    shared = shared_keys(chunks, lambda c, a: prefixes(c, a)[:2], buckets, chosen).checkpoint()
-    found = with_answers(chunks, shared.unionByName(chosen), nodes, "node long, n long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES)
-    return found.checkpoint()
+    levels = key_levels(chunks, shingles, buckets, chosen)
+    return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES).checkpoint()
 
 
 def _token_rows(nodes: DataFrame) -> DataFrame:
@@ -266,14 +240,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are ignored. Equal sets collapse before the join (by size and 128 bits of hash sums).
     """
     chunks = chunk_table(docs, id_col, text_col)
-    measured = _measure(chunks)
-    texts = measured.where("block is null").select("chunk", "place", "id", "n", "sum1", "sum2")
+    texts = each_chunk(chunks, _measure, "chunk long, place int, id long, n long, sum1 long, sum2 long", SIZES).checkpoint()
     key = ["n", "sum1", "sum2"]
     sets = texts.where("n > 0").groupBy(*key).agg(F.min(F.struct("id", "chunk", "place")).alias("first"))
     sets = sets.select(*key, "first.*").checkpoint()
     chosen = sets.select(F.lit(0).alias("bucket"), "chunk", F.lit(9).alias("kind"), F.col("place").cast("string").cast("binary").alias("body"))
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(measured))
-    labels = linked_nodes(_candidates(chunks, chosen, levels), chunks)
+    labels = linked_nodes(_candidates(chunks, chosen), chunks)
     sets = sets.select(*key, F.col("id").alias("node")).join(labels, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     # rows of one id are one document, whichever of their sets is linked
     out = texts.join(sets, key, "left").withColumn("component", F.coalesce("component", "id"))
