@@ -17,7 +17,7 @@ SHINGLE_WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
 NEED, PARTS = 80, 100
 #: Rounds in which each list of candidates is compared with one of its members; what is left after these is compared in pairs.
-ROUNDS = 4
+ROUNDS = 2
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +83,7 @@ class Sets:
         """The first shingles of each set, rare ones first, with their levels."""
         owner = np.repeat(np.arange(len(self.n)), self.n)
         order = np.lexsort((self.hashes, levels, owner))
+        self.shareable = np.bincount(owner[levels > 0], minlength=len(self.n))
         size = prefix_length(self.n)
         self.pos = A.spread(np.zeros(len(self.n), np.int64), size)
         self.owner = np.repeat(np.arange(len(self.n)), size)
@@ -90,11 +91,14 @@ class Sets:
         self.tokens, self.levels = self.hashes[at], levels[at]
 
 
-NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
+NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shareable", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
 
 
 def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
-    """A row for each distinct set with prefix shingles that others may have: these and their places, and where the text is."""
+    """A row for each distinct set with prefix shingles that others may have: these and their places, and where the text is.
+
+    Shingles of one owner come first in the order. shareable counts the others, so that no set has more than that in common with another.
+    """
     buckets = 4 * width(chunks.sparkSession)
 
     def shingles(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +115,14 @@ def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
         for k in np.unique(sets.owner[on]).tolist():
             a, b = bounds[k], bounds[k + 1]
             at = a + np.flatnonzero(on[a:b])
-            yield int(sets.ids[k]), int(sets.n[k]), int(group[k]), sets.tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
+            yield int(sets.ids[k]), int(sets.n[k]), int(sets.shareable[k]), int(group[k]), sets.tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
 
     levels = key_levels(chunks, shingles, buckets, chosen)
-    return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES).checkpoint()
+    return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, shareable long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES).checkpoint()
+
+
+#: What a list has of each member, besides its shingle.
+ENTRY = ["node", "n", "shareable", "pos"]
 
 
 def _token_rows(nodes: DataFrame) -> DataFrame:
@@ -130,7 +138,8 @@ def _token_rows(nodes: DataFrame) -> DataFrame:
     groups = nodes.groupBy("prefix_group", "n").agg(F.first("tokens").alias("tokens"), F.first("pos").alias("pos"), F.count("*").alias("members"))
     rows = groups.mapInArrow(run, "token long, prefix_group long, n long, pos int, members long")
     listed = rows.groupBy("token").agg(F.sum("members").alias("members")).where("members > 1").select("token")
-    return rows.join(listed, "token", "left_semi").select("token", "prefix_group", "n", "pos").join(nodes.select("node", "prefix_group", "n"), ["prefix_group", "n"]).select("token", "node", "n", "pos")
+    members = nodes.select("node", "prefix_group", "n", "shareable")
+    return rows.join(listed, "token", "left_semi").select("token", "prefix_group", "n", "pos").join(members, ["prefix_group", "n"]).select("token", *ENTRY)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -188,40 +197,65 @@ def _verify(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     return with_answers(chunks, asked, compare, "a long, b long", PAIR)
 
 
-def _possible(n: str, pos: str, n2: str, pos2: str) -> Column:
-    """Size and position filter for two sets that have a shingle at these places of their order."""
-    most = F.least(pos, pos2) + 1 + F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) - 1
-    return most >= needed_overlap(F.col(n), F.col(n2))
+def _possible() -> Column:
+    """Position filter for two sets that have a shingle at these places of their order.
+
+    It holds wherever the shingle is the first that both have, as then all they have in common lies in the shorter rest. Every two sets
+    that link meet at that shingle too, so those that fail at a later one aren't lost.
+    """
+    return F.least(_rest(), _rest("2")) >= needed_overlap(F.col("n"), F.col("n2"))
+
+
+def _rest(of: str = "") -> Column:
+    return F.col("n" + of) - F.col("pos" + of)
+
+
+def _undecided(lists: DataFrame) -> DataFrame:
+    """Members of lists that aren't one component, without those that no other member could link to."""
+    best = lists.groupBy("token").agg(F.min("n").alias("least"), F.max(_rest()).alias("most"))
+    some = lists.join(best, "token").where(F.least(_rest(), F.col("most")) >= needed_overlap(F.col("n"), F.col("least")))
+    open_ = some.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return some.join(open_, "token", "left_semi").select("token", *ENTRY, "component")
+
+
+def _partner(names: list[str], of: str = "") -> list[Column]:
+    """Columns of the other side of a pair."""
+    new = {"node": "b"}
+    return [F.col(of + c).alias(new.get(c, f"{c}2")) for c in names]
+
+
+def _leader(k: int) -> Column:
+    """Orders the members of a list; the first one leads. Sets with few shingles of their own link to most others, so they come first in
+    even rounds; odd rounds take any order."""
+    return (F.col("n") - F.col("shareable")) / F.col("n") if k % 2 == 0 else F.lit(0.0)
 
 
 def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
-    Candidates are the nodes in the list of one shingle. In each round the member with the least hash leads its list: those that could
-    link to it and aren't yet connected with it are verified, and it leaves the list. Lists that are connected as a whole are
-    done, so a large group of near copies costs a few comparisons for each member. What is left after ROUNDS is verified pair by pair,
-    but for pairs already connected. No link that could change a component is left out.
+    Candidates are the nodes in the list of one shingle. In each round one member leads its list: those that could link to it and aren't
+    yet connected with it are verified, and it leaves the list. Lists that are connected as a whole are done, and so are members
+    that no other member could link to, so a large group of near copies costs a few comparisons for each member. What is left after
+    ROUNDS is verified pair by pair, but for pairs already connected. No link that could change a component is left out.
     """
     lists = _token_rows(nodes).checkpoint()
     labels = None
     for k in range(ROUNDS + 1):
-        now = lists
+        now = lists.withColumn("component", F.col("node"))
         if labels is not None:
             now = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-            now = now.join(open_, "token", "left_semi").checkpoint()
+            now = _undecided(now).checkpoint()
             if now.isEmpty():
                 break
-        else:
-            now = now.withColumn("component", F.col("node"))
+        entry = [*ENTRY, "component"]
         if k < ROUNDS:
-            first = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos", "component")).alias("first"))
-            joined = now.join(first, "token").where("node <> first.node").select("token", "node", "n", "pos", "component", F.col("first.node").alias("b"), F.col("first.n").alias("n2"), F.col("first.pos").alias("pos2"), F.col("first.component").alias("component2"))
-            pairs = joined.where("component <> component2").where(_possible("n", "pos", "n2", "pos2")).select(F.col("node").alias("a"), "b").distinct()
-            lists = joined.select("token", "node", "n", "pos").checkpoint()
+            first = now.groupBy("token").agg(F.min(F.struct(_leader(k).alias("own"), F.xxhash64("node", F.lit(k)).alias("h"), *entry)).alias("first"))
+            joined = now.join(first, "token").where("node <> first.node").select("token", *entry, *_partner(entry, "first."))
+            pairs = joined.where("component <> component2").where(_possible()).select(F.col("node").alias("a"), "b").distinct()
+            lists = joined.select("token", *ENTRY).checkpoint()
         else:
-            other = now.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-            pairs = now.join(other, "token").where("node < b and component <> component2").where(_possible("n", "pos", "n2", "pos2")).select(F.col("node").alias("a"), "b").distinct()
+            other = now.select("token", *_partner(entry))
+            pairs = now.join(other, "token").where("node < b and component <> component2").where(_possible()).select(F.col("node").alias("a"), "b").distinct()
         new = _verify(pairs, nodes, chunks).checkpoint()
         if labels is not None:
             if new.isEmpty():
