@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, ledger, resolution
+from . import catalog, ledger, resolution, summaries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**catalog.QUERIES, **resolution.QUERIES, **ledger.QUERIES}
+    return {**catalog.QUERIES, **resolution.QUERIES, **ledger.QUERIES, **summaries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalog.SQL, **resolution.SQL, **ledger.SQL}
+    return {**catalog.SQL, **resolution.SQL, **ledger.SQL, **summaries.SQL}

@@ -24,7 +24,7 @@ def test_names(spark):
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
-    for t in ("nation", "part", "lineitem", "events", "documents", "pages", "conversations"):
+    for t in ("nation", "customer", "part", "lineitem", "events", "documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(oracle_sql()[name])
     columns = sorted(want.columns)
