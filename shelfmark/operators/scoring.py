@@ -44,15 +44,16 @@ def duplicate_slot(a: Column, b: Column) -> Column:
     return F.coalesce((a["number"] == b["number"]) & (a["base"] == b["base"]) & (a["base"] != ""), F.lit(False))
 
 
-def score(a: Column, b: Column, name: Column) -> Column:
-    """Score in [0, 0.99] of a pair with this name similarity; pairs under LEAST_NAME score 0 (E5 to E14, without captions)."""
+def score(a: Column, b: Column, name: Column, caption: Column | float = 0.0) -> Column:
+    """Score in [0, 0.99] of a pair with this name similarity and caption score; pairs under LEAST_NAME score 0."""
     shorter = F.least(F.length(a["base"]), F.length(b["base"]))
     base = name * F.when(shorter >= 2, 0.45).otherwise(0.35) - F.when(name < 0.60, (0.60 - name) * 0.6).otherwise(0.0)
-    full = F.least(F.lit(0.99), F.greatest(F.lit(0.0), base + structure_score(a, b) + context_score(a, b)))
+    full = F.least(F.lit(0.99), F.greatest(F.lit(0.0), base + structure_score(a, b) + context_score(a, b) + caption))
     return F.when(name < LEAST_NAME, 0.0).when(duplicate_slot(a, b), F.greatest(F.lit(0.5), base + 0.1)).otherwise(full)
 
 
 def caption_score(a: Column, b: Column) -> Column:
+    """What alike captions add (E13); nothing where one is missing."""
     c = token_set_ratio(a, b)
     return F.when(a.isNotNull() & b.isNotNull() & (c > 0.5), c * 0.05).otherwise(0.0)
 
@@ -65,9 +66,10 @@ def name_similarity(a: Column, b: Column) -> Column:
 FIELDS = ("message_id", "base", "file_size", "posted", "media_group")
 
 
-def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """(a, b, score, dup_slot, kept) of candidate pairs. Without ``fuzzy`` all names must be equal, and no Python runs."""
-    side = files.select(F.struct(*FIELDS, "part.number", "part.family", "part.container", "part.is_final").alias("f"))
+def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captions: bool = False) -> DataFrame:
+    """(a, b, score, dup_slot, kept) of candidate pairs. Without ``fuzzy`` all names must be equal; with neither that nor ``captions``
+    no Python runs."""
+    side = files.select(F.struct(*FIELDS, *(["caption"] if captions else []), "part.number", "part.family", "part.container", "part.is_final").alias("f"))
     x = pairs.select("a", "b").join(side.select(F.col("f.message_id").alias("a"), F.col("f").alias("fa")), "a").join(side.select(F.col("f.message_id").alias("b"), F.col("f").alias("fb")), "b")
     fa, fb = F.col("fa"), F.col("fb")
     if fuzzy:
@@ -75,6 +77,8 @@ def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False) -> Dat
         x = same.unionByName(x.where(fa["base"] != fb["base"]).withColumn("name", name_similarity(fa["base"], fb["base"])))
     else:
         x = x.withColumn("name", F.lit(1.0))
-    s = F.round(score(fa, fb, F.col("name")), 6)
+    if captions:
+        x = x.withColumn("caption", caption_score(fa["caption"], fb["caption"]))
+    s = F.round(score(fa, fb, F.col("name"), F.col("caption") if captions else 0.0), 6)
     out = x.select("a", "b", s.alias("score"), duplicate_slot(fa, fb).alias("dup_slot"))
     return out.withColumn("kept", F.col("dup_slot") | (F.col("score") >= REVIEW))

@@ -53,10 +53,17 @@ def latest_failures(spark, sf):
     return events(spark, sf).where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "user_id", "props")
 
 
-QUERIES = {"job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
+def progress(spark, sf):
+    return jobs.progress(states(spark, sf)).withColumn("payload", F.to_json(F.struct("total", "success", "failed", "given_up", "running", "percent")))
+
+
+QUERIES = {"progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
 SQL = {
     "job_states": f"with {STATES_SQL} select * from jobs",
     "job_counts": f"with {STATES_SQL} select status, count(*) as n, cast(sum(attempts) as bigint) as attempts from jobs group by status",
+    "progress_snapshot": f"""with {STATES_SQL}, c as (select count(*) as total, count(*) filter (status = 'SUCCESS') as success, count(*) filter (status = 'FAILED') as failed,
+ count(*) filter (status = 'GIVEN_UP') as given_up, count(*) filter (status = 'RUNNING') as running from jobs), p as (select *, case when total > 0 then success * 100 // total else 0 end as percent from c)
+select *, '{{"total":' || total || ',"success":' || success || ',"failed":' || failed || ',"given_up":' || given_up || ',"running":' || running || ',"percent":' || percent || '}}' as payload from p""",
     "daily_pivot": "select strftime(ts, '%Y-%m-%d') as day, count(*) filter (event_type = 'purchase') as done, count(*) filter (event_type = 'error') as failed, count(distinct user_id) as users, count(*) as n from events group by 1",
     "trailing_waits": """select event_id, user_id, count(*) over h as n_hour, round(sum(value) over h, 2) as wait_hour, count(*) over f as n_five,
  cast(case when value >= 60 then 2 when value >= 20 or count(*) filter (value < 20) over h >= 5 then 1 else 0 end as integer) as level from events

@@ -56,6 +56,12 @@ def overlay(spark, sf):
     return summaries.overlay(c, d.select("group_id", F.when(F.col("last") == "purchase", "OK").otherwise("IGNORED").alias("status")))
 
 
+def live_files(spark, sf):
+    """Files of each group with its status under the latest decision: orders as files, a row each, so that no group meets in one array."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("group_id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), F.lit(".zip")).alias("filename"))
+    return o.join(overlay(spark, sf), "group_id").select("group_id", "filename", "status")
+
+
 def scripts(spark, sf):
     """Scripts of document names, each with a word in one of four scripts."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -64,7 +70,9 @@ def scripts(spark, sf):
     return docs.select("doc_id", hint["code"].alias("code"), hint["confidence"].alias("confidence"))
 
 
-QUERIES = {"set_summaries": set_summaries, "distinct_titles": titles, "index_facets": facets, "review_items": review_items, "decision_overlay": overlay, "script_evidence": scripts}
+OVERLAY_SQL = """d as (select user_id, max_by(event_type, event_id) as last from events where event_type in ('purchase', 'error') group by user_id),
+groups as (select c_custkey as group_id, case when c_custkey % 7 = 0 then 'HELD' when last = 'purchase' then 'OK' when last = 'error' then 'IGNORED' else 'REVIEW' end as status from customer left join d on user_id = c_custkey)"""
+QUERIES = {"set_summaries": set_summaries, "distinct_titles": titles, "index_facets": facets, "review_items": review_items, "decision_overlay": overlay, "live_group_files": live_files, "script_evidence": scripts}
 SQL = {
     "set_summaries": SUMMARY_SQL,
     "distinct_titles": """with t as (select p_partkey as group_id, string_split(p_name, ' ')[2] as title, p_brand as kind from part),
@@ -72,8 +80,8 @@ o as (select *, first_value(kind) over (partition by title order by group_id) as
 select group_id, title, kind from o where kind = owner union all select group_id, title || ' (' || (1 + row_number() over (partition by title order by group_id)) || ')', kind from o where kind <> owner""",
     "index_facets": "select source, count(*) as n_records, cast(sum(n_chars) as bigint) as n_chars, '[' || string_agg(distinct '\"' || lang || '\"', ',' order by '\"' || lang || '\"') || ']' as langs from documents group by source",
     "review_items": "select user_id as group_id, event_id as item_id, case when event_type = 'click' then 'grouping' else 'name' end as kind from events where event_type in ('click', 'error') qualify row_number() over (partition by user_id order by event_type <> 'click', event_id) = 1",
-    "decision_overlay": """with d as (select user_id, max_by(event_type, event_id) as last from events where event_type in ('purchase', 'error') group by user_id)
-select c_custkey as group_id, case when c_custkey % 7 = 0 then 'HELD' when last = 'purchase' then 'OK' when last = 'error' then 'IGNORED' else 'REVIEW' end as status from customer left join d on user_id = c_custkey""",
+    "decision_overlay": f"with {OVERLAY_SQL} select * from groups",
+    "live_group_files": f"with {OVERLAY_SQL} select group_id, 'order_' || o_orderkey || '.zip' as filename, status from orders join groups on group_id = o_custkey",
     "script_evidence": """with t as (select doc_id, concat_ws(' ', substr(text, 1, 60), ['база', 'डेटा', 'נתונים', 'data'][doc_id % 4 + 1]) as s from documents),
 h as (select doc_id, case when regexp_matches(s, '[\\x{0400}-\\x{04FF}]') then 'ru' when regexp_matches(s, '[\\x{0900}-\\x{097F}]') then 'in' when regexp_matches(s, '[\\x{0590}-\\x{05FF}]') then 'il' end as code from t)
 select doc_id, code, cast(case code when 'il' then 0.40 when 'ru' then 0.35 when 'in' then 0.35 end as double) as confidence from h""",

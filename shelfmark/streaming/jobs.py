@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.summaries import overlay
 from ..sources.catalog import shape, upsert_latest
 
 HOUR, FIVE_MINUTES = 3600, 300
@@ -27,10 +28,14 @@ def pace_stream(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes", "1 minute"), "event_type").agg(F.count("*").alias("n"))
 
 
+def with_status(states: DataFrame) -> DataFrame:
+    return states.withColumn("status", F.when(F.col("last_type") == "error", F.when(F.col("errors") >= 5, "GIVEN_UP").otherwise("FAILED")).when(F.col("last_type") == "purchase", "SUCCESS").otherwise("RUNNING"))
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The last event, tries and failures of each key: the fold of the ledger (K6)."""
     g = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.count("*").alias("attempts"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max_by(F.when(F.col("event_type") == "error", F.col("props")), F.when(F.col("event_type") == "error", F.col("event_id"))).alias("last_error"), F.max("event_id").alias("last_event"))
-    return g.withColumn("status", F.when(F.col("last_type") == "error", F.when(F.col("errors") >= 5, "GIVEN_UP").otherwise("FAILED")).when(F.col("last_type") == "purchase", "SUCCESS").otherwise("RUNNING"))
+    return with_status(g)
 
 
 def trailing(events: DataFrame, seconds: int) -> Window:
@@ -48,3 +53,31 @@ def waits(events: DataFrame) -> DataFrame:
 
 def unfinished(keys: DataFrame, states: DataFrame) -> DataFrame:
     return keys.join(states.where("status = 'SUCCESS'").select("user_id"), "user_id", "left_anti")
+
+
+def progress(states: DataFrame) -> DataFrame:
+    """One row with the counts of jobs by status and the share that is done, in percent (A16). Without jobs all of them are 0."""
+    of = lambda status: F.count_if(F.col("status") == status).alias(status.lower())
+    counts = states.agg(F.count("*").alias("total"), *map(of, ["SUCCESS", "FAILED", "GIVEN_UP", "RUNNING"]))
+    return counts.withColumn("percent", F.when(F.col("total") > 0, F.floor(F.col("success") * 100 / F.col("total"))).otherwise(0).cast("long"))
+
+
+def progress_stream(events: DataFrame, target: str, checkpoint: str) -> None:
+    """Keeps a JSON snapshot of the progress in a folder: the states of all keys so far are folded, and each batch writes them anew."""
+    # the same fold as job_states, whose last error has no part in the counts
+    g = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        progress(with_status(batch)).write.mode("overwrite").json(target)
+
+    g.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def decided_stream(groups: DataFrame, decisions: str, target: str, checkpoint: str) -> None:
+    """Groups of a stream under the decisions of a folder, which each batch reads anew, so that those made meanwhile take effect (K8)."""
+
+    def decide(batch: DataFrame, epoch: int) -> None:
+        made = batch.sparkSession.read.schema("group_id long, status string").parquet(decisions)
+        overlay(batch, made).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    groups.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,11 +1,15 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfmark.functions import similarity
 from shelfmark.functions.parts import with_part
-from shelfmark.operators import blocking, groups
+from shelfmark.operators import blocking, groups, scoring
 from shelfmark.operators.components import connected_components
 from shelfmark.queries import oracle_sql, queries
+from shelfmark.sources.synthetic import synthetic_catalog
+from shelfmark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -24,7 +28,7 @@ def test_names(spark):
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
-    for t in ("nation", "customer", "part", "lineitem", "events", "documents", "pages", "conversations"):
+    for t in ("nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(oracle_sql()[name])
     columns = sorted(want.columns)
@@ -56,3 +60,46 @@ def test_held_groups_stay_held(spark):
 def test_ratios():
     assert similarity.indel("abc", "abc") == 100 and similarity.indel("abcd", "abxd") == 75
     assert similarity.token_set("a b c", "b c") == 100 and similarity.partial("eda", "yandex eda sql") == 100
+
+
+def test_synthetic_catalog(spark):
+    rows = with_part(synthetic_catalog(spark, 400)).collect()
+    # " vol1.iso" is no dotted part token, so these files count as whole
+    assert len({r.message_id for r in rows}) == len(rows) and {r.part.family for r in rows} == {"part", "nn", "z", "r", None}
+    assert all(r.part.is_final for r in rows if r.part.family is None)
+    again = len(rows) - len({r.file_id for r in rows})
+    copies = [r for r in rows if " Copy" in r.filename]
+    assert again > 0 and copies and all(r.part.number is not None or r.part.is_final for r in copies)
+    assert {(r.message_id, r.filename) for r in rows} == {(r.message_id, r.filename) for r in synthetic_catalog(spark, 400).repartition(3).collect()}
+    assert synthetic_catalog(spark, 0).count() == 0
+
+
+def test_captions(spark):
+    pairs = spark.createDataFrame([("maps of the north", "north maps"), ("maps", "ledger"), (None, "maps")], "a string, b string")
+    assert [round(r[0], 6) for r in pairs.select(scoring.caption_score(F.col("a"), F.col("b"))).collect()] == [0.05, 0.0, 0.0]
+    part = "struct<number:int,family:string,container:string,is_final:boolean>"
+    files = spark.createDataFrame([(k, "atlas", 10, 100, None, c, (k, "part", "rar", False)) for k, c in ((1, "north maps"), (2, "north maps"), (3, None))], f"message_id long, base string, file_size long, posted long, media_group string, caption string, part {part}")
+    two = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    plain, more = ({(r.a, r.b): r.score for r in scoring.scored_pairs(two, files, captions=c).collect()} for c in (False, True))
+    assert more[1, 2] == pytest.approx(min(0.99, plain[1, 2] + 0.05)) and more[2, 3] == plain[2, 3]
+
+
+def test_streams(spark, tmp_path):
+    place = lambda name: str(tmp_path / name)
+    events = spark.createDataFrame([(1, 1, "error"), (2, 1, "purchase"), (3, 2, "error"), (4, 3, "click")], "event_id long, user_id long, event_type string")
+    events.write.parquet(place("events"))
+    stream = lambda name, schema: spark.readStream.schema(schema).parquet(place(name))
+    jobs.progress_stream(stream("events", events.schema), place("progress"), place("c1"))
+    spark.createDataFrame([(5, 2, "purchase")], events.schema).write.mode("append").parquet(place("events"))
+    jobs.progress_stream(stream("events", events.schema), place("progress"), place("c1"))
+    r = spark.read.json(place("progress")).first()
+    assert (r.total, r.success, r.failed, r.given_up, r.running, r.percent) == (3, 2, 0, 0, 1, 66)
+    g = spark.createDataFrame([(1, "REVIEW"), (2, "HELD")], "group_id long, status string")
+    g.write.parquet(place("groups"))
+    spark.createDataFrame([(1, "OK"), (2, "OK"), (3, "OK")], g.schema).write.parquet(place("decisions"))
+    run = lambda: jobs.decided_stream(stream("groups", g.schema), place("decisions"), place("decided"), place("c2"))
+    run()
+    spark.createDataFrame([(4, "IGNORED")], g.schema).write.mode("append").parquet(place("decisions"))
+    spark.createDataFrame([(4, "REVIEW")], g.schema).write.mode("append").parquet(place("groups"))
+    run()
+    assert {(r.group_id, r.status) for r in spark.read.parquet(place("decided")).collect()} == {(1, "OK"), (2, "HELD"), (4, "IGNORED")}
