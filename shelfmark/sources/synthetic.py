@@ -36,7 +36,7 @@ def synthetic_catalog(spark: SparkSession, n_sets: int, seed: int = 42) -> DataF
     numbers = F.filter(F.sequence(F.col("first") + F.col("late"), last), lambda k: ~k.eqNullSafe(F.col("hole")))
     numbers = F.when(F.col("style").isin(*FINALS), F.concat(numbers, F.array(F.lit(-1)))).otherwise(numbers)
     subject, kind = (F.get(F.array(*map(F.lit, words)), draw(salt, len(words))) for salt, words in (("subject", SUBJECTS), ("kind", KINDS)))
-    sets = sets.withColumn("name", F.concat_ws(" ", subject, kind, F.concat(F.lit("s"), F.col("set").cast("string"))))
+    sets = sets.withColumn("name", F.concat_ws(" ", F.concat(F.lit("s"), F.col("set").cast("string")), subject, kind))
     files = sets.withColumn("number", F.explode(numbers))
     name = F.coalesce(*[F.when((F.col("style") == k) & (F.col("number") >= 0), F.format_string(p, "name", "number")) for k, p in enumerate(PATTERNS)], *[F.when(F.col("style") == k, F.concat("name", F.lit(end))) for k, end in FINALS.items()])
     place = F.when(F.col("number") < 0, MOST_PARTS + 1).otherwise(F.col("number"))
