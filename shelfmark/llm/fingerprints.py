@@ -31,15 +31,14 @@ def fingerprint(text: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each row, and copy_of: the smallest id with the same canonical bytes.
 
-    Fingerprints that occur once need no comparison. Where one occurs again, rows are grouped by it and the canonical bytes
-    themselves, with partial aggregation, so neither a group of copies nor a collision of hashes meets in one task or is mistaken
-    for the other. Null text: as empty. Null ids stay null; copy_of is null only if no copy has an id. Returns id, fingerprint,
-    copy_of for every input row (repeated ids are repeated rows). Other columns are ignored.
+    Rows are grouped by the fingerprint and the canonical bytes themselves, before as well as after the shuffle: copies collapse in
+    the task that reads them, so a group of copies costs one text for each of these tasks, and a collision of hashes isn't taken for a copy.
+    Null text: as empty. Null ids stay null; copy_of is null only if no copy has an id. Returns id, fingerprint, copy_of for every
+    input row (repeated ids are repeated rows). Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), canonical(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("canon"))
     rows = rows.withColumn("fingerprint", wide_hash(F.col("canon"))).withColumn("sha", F.sha2("canon", 256))
-    again = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    groups = rows.join(again, "fingerprint", "left_semi").groupBy("fingerprint", "canon").agg(F.min("id").alias("copy_of"))
+    groups = rows.groupBy("fingerprint", "canon").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")).where("n > 1")
     groups = groups.select("fingerprint", F.sha2("canon", 256).alias("sha"), "copy_of")
     return rows.drop("canon").join(groups, ["fingerprint", "sha"], "left").select(F.col("id").alias(id_col), "fingerprint", F.coalesce("copy_of", "id").alias("copy_of"))
 
