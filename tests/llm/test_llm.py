@@ -120,3 +120,12 @@ def test_empty(spark, docs):
     none = docs.where("1 = 0")
     assert substring_dedup.remove_repeated_words(none).count() == suffix_dedup.remove_repeated_bytes(none).count() == jaccard_join.near_duplicates(none).count() == 0
     assert packing.pack(none).count() == token_counts.count_tokens(none).count() == fingerprints.edited_likeness(none).count() == secrets.redact(none).count() == 0
+
+
+def test_leaks_of_many_items(spark):
+    """Far more passages than dimensions of a space: each verbatim item is still found, in its own document alone."""
+    word = lambda k: f"v{hashlib.md5(str(k).encode()).hexdigest()[:6]}"
+    items = [(k, " ".join(word(k * 37 + j * j * 11 + j) for j in range(20))) for k in range(2500)]
+    texts = [(k, " ".join(word(-k * 60 - j - 1) for j in range(30)) + f" {t} " + " ".join(word(-k * 60 - j - 31) for j in range(30))) for k, t in items if k % 5 == 0]
+    got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k, _ in texts}
