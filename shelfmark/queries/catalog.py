@@ -33,8 +33,8 @@ def incomplete_sets(spark, sf):
 
 
 def doc_duplicates(spark, sf):
-    docs = catalog_docs(spark, sf).withColumn("base", F.trim(F.lower("filename")))
-    return groups.exact_duplicates(docs)
+    """Documents have no names, so what must agree besides the size is the whole text, not its opening."""
+    return groups.exact_duplicates(catalog_docs(spark, sf).withColumn("base", F.col("whole")))
 
 
 def doc_fingerprints(spark, sf):

@@ -64,8 +64,11 @@ PARTS_SQL = f"""catalog as (
 
 
 def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each document; whole is a digest of all of its text, without case and outer spaces (short texts as they are)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("message_id"), F.md5("text").alias("file_id"), F.substring("text", 1, 60).alias("filename"), F.col("n_chars").alias("file_size"), "lang", "source")
+    plain = F.trim(F.lower("text"))
+    whole = F.when(F.length(plain) >= 2, F.md5(plain)).otherwise(plain).alias("whole")
+    return docs.select(F.col("doc_id").alias("message_id"), F.md5("text").alias("file_id"), F.substring("text", 1, 60).alias("filename"), F.col("n_chars").alias("file_size"), "lang", "source", whole)
 
 
 DOCS_SQL = "docs as (select doc_id as message_id, md5(text) as file_id, substr(text, 1, 60) as filename, n_chars as file_size, lang, source from documents)"

@@ -103,3 +103,12 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(4, "REVIEW")], g.schema).write.mode("append").parquet(place("groups"))
     run()
     assert {(r.group_id, r.status) for r in spark.read.parquet(place("decided")).collect()} == {(1, "OK"), (2, "HELD"), (4, "IGNORED")}
+
+
+def test_shared_openings_are_no_duplicates(spark, tmp_path):
+    opening = "the same first words of every letter that this office sends out, "
+    rows = [(1, opening + "one", "en", "s", 68), (2, opening + "two", "en", "s", 68), (3, opening + "ONE", "en", "s", 68), (4, opening + "two", "en", "s", 68)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.message_id, r.canonical, r.kind) for r in queries()["doc_duplicates"](spark, str(tmp_path)).collect()}
+    assert got == {(3, 1, "name_slot"), (4, 2, "file_id")}
+    assert [r.n_files for r in queries()["kept_docs"](spark, str(tmp_path)).collect()] == [2]
