@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import indel_ratio
+
 BIG_BLOCK, TOKEN_FILES, NEAR_IDS, NEAR_SECONDS, NEIGHBOURS = 200, 300, 100, 60, 15
 
 
@@ -62,6 +64,31 @@ def neighbour_pairs(files: DataFrame, scope: str, order: str, reach: int = NEIGH
     return files.select(scope, F.col(order).alias("a"), after.alias("after")).select(scope, "a", F.explode(F.filter("after", lambda x: x.isNotNull())).alias("b"))
 
 
+def in_windows(files: DataFrame, order: str, reach: int = NEIGHBOURS, block: int = 1 << 16, rows: int = 4096) -> DataFrame:
+    """files -> scope: windows of ``rows`` files in the order of unique ids, each with the ``reach`` first files of the next one, so that
+    neighbours in one large source need no window over all of it. Only the counts of blocks of ids meet in one task."""
+    files = files.withColumn("block", F.floor(F.col(order) / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = files.groupBy("block").count().select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = files.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(order)) - 1).join(counts, "block").withColumn("place", F.col("first") + F.col("nth"))
+    own = F.floor(F.col("place") / rows)
+    scopes = F.when((own > 0) & (F.col("place") % rows < reach), F.array(own, own - 1)).otherwise(F.array(own))
+    return place.withColumn("scope", F.explode(scopes)).drop("block", "first", "nth", "place")
+
+
+def prefiltered(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs that one media group, close sizes, a shared token or alike first tokens speak for (D7). Pairs with one non-empty base
+    go, as exact_base_pairs has them."""
+    side = lambda k: files.select(F.col("message_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("base", "tokens", "file_size", "media_group")])
+    x = pairs.join(side("a"), "a").join(side("b"), "b").where("base_a = '' or base_a <> base_b")
+    sure = (F.col("media_group_a") == F.col("media_group_b")) | close_sizes(F.col("file_size_a"), F.col("file_size_b")) | F.arrays_overlap("tokens_a", "tokens_b")
+    lead = lambda k: F.coalesce(F.get(f"tokens_{k}", F.lit(0)), F.col(f"base_{k}"))
+    x = x.select("a", "b", F.coalesce(sure, F.lit(False)).alias("sure"), lead("a").alias("lead_a"), lead("b").alias("lead_b"))
+    long = x.where((~F.col("sure")) & (F.length("lead_a") >= 4) & (F.length("lead_b") >= 4))
+    alike = long.select("lead_a", "lead_b").distinct().where(indel_ratio(F.col("lead_a"), F.col("lead_b")) >= 0.60)
+    return x.where("sure").select("a", "b").unionByName(long.join(alike, ["lead_a", "lead_b"], "left_semi").select("a", "b"))
+
+
 def same_size_pairs(files: DataFrame, most: int = 400) -> DataFrame:
     """(a, b): pairs of one size in blocks of 2 to ``most`` files with other, non-empty names."""
     sizes = files.where("file_size is not null").groupBy("file_size").count().where(F.col("count").between(2, most)).select("file_size")

@@ -74,7 +74,9 @@ def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captio
     fa, fb = F.col("fa"), F.col("fb")
     if fuzzy:
         same = x.where(fa["base"] == fb["base"]).withColumn("name", F.lit(1.0))
-        x = same.unionByName(x.where(fa["base"] != fb["base"]).withColumn("name", name_similarity(fa["base"], fb["base"])))
+        other = x.where(fa["base"] != fb["base"]).withColumn("base_a", fa["base"]).withColumn("base_b", fb["base"])
+        names = other.select("base_a", "base_b").distinct().withColumn("name", name_similarity(F.col("base_a"), F.col("base_b")))
+        x = same.unionByName(other.join(names, ["base_a", "base_b"]).drop("base_a", "base_b"))
     else:
         x = x.withColumn("name", F.lit(1.0))
     if captions:

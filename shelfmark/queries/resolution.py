@@ -71,14 +71,25 @@ def copies(spark, sf):
     return connected_components(edges)
 
 
-def resolved(spark, sf):
-    files = slots(parsed_parts(spark, sf))
-    scored = scoring.scored_pairs(blocking.exact_base_pairs(files), files)
-    kept = checkpointed(scored.where("kept"))
+def candidates(files):
+    """Pairs of equal bases, of shared rare tokens and of neighbours in the order of ids, once each."""
+    tokens = blocking.corroborated(blocking.token_pairs(files), files)
+    near = blocking.neighbour_pairs(blocking.in_windows(files.select("message_id"), "message_id"), "scope", "message_id")
+    return blocking.union_pairs(blocking.exact_base_pairs(files), tokens, blocking.prefiltered(near.select("a", "b").distinct(), files))
+
+
+def resolve(files):
+    """(files, kept links, members, groups) of parsed files of one source."""
+    files = slots(files)
+    kept = checkpointed(scoring.scored_pairs(candidates(files), files, fuzzy=True).where("kept"))
     members = checkpointed(groups.group_members(files, kept))
     return files, kept, members, groups.finalise(files, members, kept)
 
 
+def resolved(spark, sf):
+    return resolve(parsed_parts(spark, sf))
+
+
 def group_table(spark, sf):
     g = resolved(spark, sf)[3]
     return g.select("group_id", "n_files", "total_size", F.size("numbers").cast("long").alias("n_parts"), F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "partial_start", "confidence", "status")

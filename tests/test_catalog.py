@@ -7,7 +7,8 @@ from shelfmark.functions import similarity
 from shelfmark.functions.parts import with_part
 from shelfmark.operators import blocking, groups, scoring
 from shelfmark.operators.components import connected_components
-from shelfmark.queries import oracle_sql, queries
+from shelfmark.queries import oracle_sql, queries, resolution
+from shelfmark.sources.catalog import with_names
 from shelfmark.sources.synthetic import synthetic_catalog
 from shelfmark.streaming import jobs
 
@@ -112,3 +113,17 @@ def test_shared_openings_are_no_duplicates(spark, tmp_path):
     got = {(r.message_id, r.canonical, r.kind) for r in queries()["doc_duplicates"](spark, str(tmp_path)).collect()}
     assert got == {(3, 1, "name_slot"), (4, 2, "file_id")}
     assert [r.n_files for r in queries()["kept_docs"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_groups_link_names_that_differ(spark):
+    names = ["Harbour Survey North.part01.rar", "Harbour Surveys North.part02.rar", "Quince ledger.zip", "Harbour Survey of North.part03.rar"]
+    raw = spark.createDataFrame([(k + 1, n, 1000 + k, 100, None) for k, n in enumerate(names)], "message_id long, filename string, file_size long, posted long, media_group string")
+    members = resolution.resolve(with_names(with_part(raw)))[2]
+    assert {(r.message_id, r.group_id) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
+
+
+def test_windows_have_all_neighbours(spark):
+    files = spark.range(300).selectExpr("id * id as message_id")
+    near = blocking.neighbour_pairs(blocking.in_windows(files, "message_id", block=500, rows=20), "scope", "message_id").select("a", "b").distinct()
+    ids = [k * k for k in range(300)]
+    assert {tuple(r) for r in near.collect()} == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 : i + 16]}
