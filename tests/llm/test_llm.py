@@ -129,3 +129,12 @@ def test_leaks_of_many_items(spark):
     texts = [(k, " ".join(word(-k * 60 - j - 1) for j in range(30)) + f" {t} " + " ".join(word(-k * 60 - j - 31) for j in range(30))) for k, t in items if k % 5 == 0]
     got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k, _ in texts}
+
+
+def test_leaks_of_a_passage_of_a_long_item(spark):
+    word = lambda k: f"v{hashlib.md5(str(k).encode()).hexdigest()[:6]}"
+    item = [word(k) for k in range(300)]
+    other = [word(-k - 1) for k in range(200)]
+    texts = [(1, " ".join(other[:60] + item[96:144] + other[60:120])), (2, " ".join(other[:100] + item[50:98] + other[100:])), (3, " ".join(other[:60] + item[96:104] + other[60:])), (4, " ".join(item))]
+    got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4]
