@@ -33,15 +33,17 @@ def gazetteer(spark: SparkSession, rows=GAZETTEER) -> DataFrame:
 def detect_countries(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, code, name, confidence) of the best country of each text that has evidence.
 
-    Words, word pairs and top levels of dotted tokens are exploded and equi-joined to the rule table; each country counts its best
+    Words, phrases of up to as many words as the longest of the rule table, and top levels of dotted tokens are exploded and equi-joined to the rule table; each country counts its best
     level (alias, then top level, then city). A close runner-up caps the confidence at 0.60.
     """
     t = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     words = F.filter(F.split(F.regexp_replace("text", "[^a-z0-9]+", " "), " "), lambda w: w != "")
     t = t.withColumn("words", words)
-    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))
+    longest = terms.where("kind = 'word'").agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    phrase = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    phrases = F.concat("words", *[phrase(n) for n in range(2, longest + 1)])
     tops = F.transform(F.regexp_extract_all("text", F.lit(r"([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+)")), lambda d: F.element_at(F.split(d, r"\."), -1))
-    found = t.select("id", F.explode(F.array_distinct(F.concat(F.transform(F.concat("words", pairs), lambda w: F.struct(w.alias("term"), F.lit("word").alias("kind"))), F.transform(tops, lambda w: F.struct(w.alias("term"), F.lit("top").alias("kind")))))).alias("e")).select("id", "e.*")
+    found = t.select("id", F.explode(F.array_distinct(F.concat(F.transform(phrases, lambda w: F.struct(w.alias("term"), F.lit("word").alias("kind"))), F.transform(tops, lambda w: F.struct(w.alias("term"), F.lit("top").alias("kind")))))).alias("e")).select("id", "e.*")
     hits = found.join(F.broadcast(terms), ["term", "kind"])
     each = hits.groupBy("id", "code", "name", "rank").agg(F.min(F.struct("level", (-F.col("confidence")).alias("c"))).alias("best")).withColumn("confidence", -F.col("best.c"))
     w = Window.partitionBy("id").orderBy(F.desc("confidence"), "rank")

@@ -7,6 +7,7 @@ from shelfmark.functions import similarity
 from shelfmark.functions.parts import with_part
 from shelfmark.operators import blocking, groups, scoring
 from shelfmark.operators.components import connected_components
+from shelfmark.operators.country import detect_countries, gazetteer
 from shelfmark.queries import oracle_sql, queries, resolution
 from shelfmark.sources.catalog import with_names
 from shelfmark.sources.synthetic import synthetic_catalog
@@ -127,3 +128,9 @@ def test_windows_have_all_neighbours(spark):
     near = blocking.neighbour_pairs(blocking.in_windows(files, "message_id", block=500, rows=20), "scope", "message_id").select("a", "b").distinct()
     ids = [k * k for k in range(300)]
     assert {tuple(r) for r in near.collect()} == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 : i + 16]}
+
+
+def test_phrases_of_three_words(spark):
+    terms = gazetteer(spark, [("tz", "Tanzania", "tanzania", "tz", "dar_es_salaam"), ("fr", "France", "france", "fr", "paris")])
+    texts = spark.createDataFrame([(1, "port of Dar es Salaam"), (2, "dar salaam"), (3, "es")], "id long, text string")
+    assert [(r.id, r.code, r.confidence) for r in detect_countries(texts, terms).collect()] == [(1, "tz", 0.60)]
