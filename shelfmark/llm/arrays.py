@@ -1,7 +1,6 @@
-"""Numpy helpers on whole chunks of text: word bounds, rolling hashes, sliding minima and super-k-mers.
+"""Numpy helpers on whole chunks of text: word bounds, word and window hashes, exact word keys, sliding minima, super-k-mers.
 
-All hashes are polynomial prefix sums modulo 2**64 followed by a bit mixer, so that the hash of any range comes from two
-table look-ups. They only choose buckets and find candidates; what decides is compared afterwards as said in each operator.
+Hashes choose buckets and rule out pairs; what decides on equal strings is compared byte by byte, as said in each operator.
 """
 
 from __future__ import annotations
@@ -33,7 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE_UNITS = mix(np.arange(1, 257, dtype=U64))
+#: Masks of the first k bytes of a little-endian 64-bit value.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one value; behind the end come zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
 
 
 def prefix_sums(units: np.ndarray) -> np.ndarray:
@@ -92,7 +98,48 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_sums(BYTE_UNITS[data]), begin, end)
+    """64-bit hash of each byte range: the sum of its mixed 8-byte blocks, each mixed with its place.
+
+    A sum of values that are mixed one by one has no algebra across places, so strings made to collide under polynomial
+    hashes (Thue-Morse words) differ here.
+    """
+    if not len(begin):
+        return np.empty(0, U64)
+    n = end - begin
+    blocks = np.maximum((n + 7) >> 3, 1)
+    total = np.cumsum(blocks)
+    nth = np.arange(total[-1]) - np.repeat(total - blocks, blocks)
+    value = eight_bytes(data)[np.repeat(begin, blocks) + 8 * nth] & FIRST_BYTES[np.minimum(np.repeat(n, blocks) - 8 * nth, 8)]
+    mixed = mix(value + (nth + 1).astype(U64) * U64(BASE))
+    return mix(np.add.reduceat(mixed, total - blocks) + n.astype(U64))
+
+
+#: Longest byte string that two 64-bit values hold with its length.
+SHORT = 15
+
+
+def short_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values that are the bytes of each range of at most SHORT bytes: equal keys are equal strings. Longer ranges get no use of it."""
+    n = np.minimum(end - begin, SHORT)
+    value = eight_bytes(data)
+    low = value[begin] & FIRST_BYTES[np.minimum(n, 8)]
+    rest = np.maximum(n - 8, 0)
+    high = value[np.minimum(begin + 8, len(data))] & FIRST_BYTES[rest]
+    return low, high | n.astype(U64) << U64(56)
+
+
+def byte_windows(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k bytes, by its start."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.empty(0, U64)
+    value = eight_bytes(data)
+    if k < 8:
+        return mix(value[:n] & FIRST_BYTES[k])
+    out = np.zeros(n, U64)
+    for j, at in enumerate([*range(0, k - 8, 8), k - 8]):
+        out += value[at : at + n] * U64((2 * j + 1) * BASE % (1 << 64))
+    return mix(out)
 
 
 def owner_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,18 +147,17 @@ def owner_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, side="right") - 1
 
 
-def super_kmers(units: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int = 256) -> dict[str, np.ndarray]:
-    """Runs of consecutive windows with one minimiser value.
+def super_kmers(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int, longest: int = 256) -> dict[str, np.ndarray]:
+    """Runs of consecutive windows with one minimiser value, from the hashes of all runs of ``gram`` units.
 
-    Returns start (first unit), n (windows; the run covers n + window - 1 units), mini (minimiser) and body (hash of all
-    its units). Equal windows have equal minimisers, wherever they stand. Runs are cut after ``longest`` windows.
+    Returns start (first unit), n (windows; the run covers n + window - 1 units) and mini (minimiser). Equal windows have
+    equal minimisers, wherever they stand. Runs are cut after ``longest`` windows.
     """
-    empty = {"start": np.empty(0, np.int64), "n": np.empty(0, np.int64), "mini": np.empty(0, U64), "body": np.empty(0, U64)}
-    if len(units) < window:
+    empty = {"start": np.empty(0, np.int64), "n": np.empty(0, np.int64), "mini": np.empty(0, U64)}
+    least = sliding_min(grams, window - gram + 1)
+    if not len(least):
         return empty
-    prefix = prefix_sums(units)
-    least = sliding_min(gram_hash(prefix, gram), window - gram + 1)
-    edge = np.zeros(len(units) + 1, dtype=np.int32)
+    edge = np.zeros(int(offsets[-1]) + 1, dtype=np.int32)
     lo, hi = offsets[:-1], np.maximum(offsets[1:] - window + 1, offsets[:-1])
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi, -1)
@@ -128,9 +174,7 @@ def super_kmers(units: np.ndarray, offsets: np.ndarray, window: int, gram: int,
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         n = np.minimum(np.repeat(n, parts) - nth * longest, longest)
         first = np.repeat(first, parts) + nth * longest
-    start = at[first]
-    body = range_hash(prefix, start, start + n + window - 1)
-    return {"start": start, "n": n, "mini": least[first], "body": mix(body + n.astype(U64))}
+    return {"start": at[first], "n": n, "mini": least[first]}
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:

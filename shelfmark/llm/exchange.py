@@ -24,10 +24,18 @@ MESSAGE_SCHEMA = "bucket int, chunk long, kind int, body binary"
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's folder; only where none is set (tests), a local one is taken."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ck-"))
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir. A local one is taken in local mode alone; on a cluster that
+    names none, executors would lose what they write, so that is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ck-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def width(spark: SparkSession) -> int:
@@ -156,8 +164,9 @@ def distinct_keys(keys: np.ndarray, owner_ids: np.ndarray) -> tuple[np.ndarray,
     return keys[at], np.minimum.reduceat(owners, at) < np.maximum.reduceat(owners, at)
 
 
-def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
-    """Finds the keys that two owners have anywhere: messages of kind 0 to each chunk with a bit for each of its distinct keys.
+def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], buckets: int, hot: int) -> DataFrame:
+    """Finds the keys that two owners have anywhere: messages of kind 0 to each chunk with two bits for each of its distinct keys:
+    whether it is shared, and whether more than ``hot`` chunks have it.
 
     keys_of gives (keys, ids of their owners). A chunk sends each distinct key once, as 6 bytes; keys of one bucket that agree
     in these count as equal, which may only let a key pass that has no partner.
@@ -178,31 +187,34 @@ def shared_keys(chunks: DataFrame, keys_of: Callable[[Chunk], tuple[np.ndarray,
             many.append(np.unpackbits(np.frombuffer(r["body"], np.uint8, offset=6 * r["kind"]), count=r["kind"]).astype(bool))
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        found = np.zeros(len(every), dtype=bool)
-        found[order[1:][same]] = True
-        found[order[:-1][same]] = True
-        del order, same, every
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = every[order][1:] != every[order][:-1]
+        first = np.flatnonzero(new)
+        asked = np.empty(len(order), np.int64)
+        asked[order] = np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order))))
+        del order, new, every
         at = 0
         for r, m in zip(rows, many, strict=True):
-            bits = m | found[at : at + r["kind"]]
+            n = asked[at : at + r["kind"]]
+            bits = m | (n > 1)
             at += r["kind"]
             if bits.any():
-                yield r["bucket"], r["chunk"], 0, np.packbits(bits).tobytes()
+                yield r["bucket"], r["chunk"], 0, np.packbits(bits).tobytes() + np.packbits(n > hot).tobytes()
 
     return each_bucket(each_chunk(chunks, ask, MESSAGE_SCHEMA, MESSAGE), answer)
 
 
-def apply_shared(keys: np.ndarray, owner_ids: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
-    """For each key of a chunk (as keys_of gave them), whether shared_keys found it with two owners."""
+def apply_shared(keys: np.ndarray, owner_ids: np.ndarray, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key of a chunk (as keys_of gave them), whether shared_keys found it with two owners, and whether it is hot."""
     distinct, _ = distinct_keys(keys, owner_ids)
-    bits = np.zeros(len(distinct), dtype=bool)
+    bits = np.zeros((2, len(distinct)), dtype=bool)
     places = dict(split_by_bucket(distinct, buckets))
     for r in answers:
         if r["kind"] == 0:
             at = places[r["bucket"]]
-            bits[at] = np.unpackbits(np.frombuffer(r["body"], np.uint8), count=len(at)).astype(bool)
-    return bits[np.searchsorted(distinct, keys)]
+            both = np.frombuffer(r["body"], np.uint8).reshape(2, -1)
+            bits[:, at] = np.unpackbits(both, axis=1, count=len(at)).astype(bool)
+    return tuple(bits[:, np.searchsorted(distinct, keys)])
 
 
 def key_levels(chunks: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, given: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NO_ID
-from .windows import HOT_STRINGS, Units, earlier_windows
+from .windows import HOT_CHUNKS, Units, earlier_windows
 
 WINDOW_WORDS, GRAM_WORDS = 50, 6
 
@@ -33,7 +33,7 @@ def sorted_windows(texts: list[bytes], windows: list[int], ids: list[int], windo
     return strings, at
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, hot: int = HOT_STRINGS) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, hot: int = HOT_CHUNKS) -> DataFrame:
     """Removes each word in a window of ``window`` words that also starts in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared byte for byte. Returns a row per input row: the id, n_words, n_removed and kept

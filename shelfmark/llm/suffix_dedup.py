@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NO_ID
-from .windows import HOT_STRINGS, Units, earlier_windows
+from .windows import HOT_CHUNKS, Units, earlier_windows
 
 WINDOW_BYTES, GRAM_BYTES = 50, 24
 
@@ -32,21 +32,23 @@ def suffix_order(symbols: list[int]) -> list[int]:
     below = [k - 1 for k in range(len(used))]
     above = [k + 1 for k in range(len(used))]
     above[-1] = -1
-    done, previous = bytearray(n), [-1] * n
+    open_ = -2  # of suffixes without a pointer yet; the place -1 behind the end stays so and ends every walk
+    previous = [open_] * (n + 1)
     descending = []
     g = len(used) - 1
     while g >= 0:
-        now = [i for i in members[g] if group[i] == g]
-        now.sort()
-        for i in now:
-            done[i] = 1
+        now = members[g]
+        if len(now) > 1:
+            now = sorted([i for i in now if group[i] == g])
+            members[g] = now
+        elif now and group[now[0]] != g:
+            members[g] = now = []
         descending.append(g)
-        members[g] = now
         times: dict[int, int] = {}
         for i in now:
             p = i - 1
-            while p >= 0 and done[p]:
-                p = previous[p]
+            while (q := previous[p]) != open_:
+                p = q
             previous[i] = p
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
@@ -54,9 +56,9 @@ def suffix_order(symbols: list[int]) -> list[int]:
             moved: dict[tuple[int, int], list[int]] = {}
             for p, k in times.items():
                 moved.setdefault((group[p], k), []).append(p)
-            for old, _k in sorted(moved, reverse=True):
+            for old, k in sorted(moved, reverse=True) if len(moved) > 1 else moved:
                 new, up = len(members), above[old]
-                members.append(moved[old, _k])
+                members.append(moved[old, k])
                 below.append(old)
                 above.append(up)
                 above[old] = new
@@ -65,22 +67,23 @@ def suffix_order(symbols: list[int]) -> list[int]:
                 for p in members[new]:
                     group[p] = new
         g = below[g]
-    head, place = {}, 0
+    head, place = [0] * len(members), 0
     for g in reversed(descending):
         head[g] = place
         place += len(members[g])
-    order, put = [0] * n, bytearray(n)
+    order, unplaced = [0] * n, [True] * n + [False]
     for i in members[descending[-1]]:
-        order[head[group[i]]] = i
-        head[group[i]] += 1
-        put[i] = 1
+        g = group[i]
+        order[head[g]] = i
+        head[g] += 1
+        unplaced[i] = False
     for r in range(n):
         s = order[r] - 1
-        while s >= 0 and not put[s]:
+        while unplaced[s]:
             g = group[s]
             order[head[g]] = s
             head[g] += 1
-            put[s] = 1
+            unplaced[s] = False
             s = previous[s]
     return order
 
@@ -98,27 +101,29 @@ def suffix_windows(texts: list[bytes], windows: list[int], ids: list[int], windo
     strings, at, last, run = [], [], None, []
 
     def close() -> None:
-        if len(run) > 1:
-            least = min(ids[k] for k, _ in run)
-            for k, j in run:
-                if ids[k] > least:
-                    strings.append(k)
-                    at.append(j)
+        least = min(ids[k] for k, _ in run)
+        for k, j in run:
+            if ids[k] > least:
+                strings.append(k)
+                at.append(j)
 
     for i in suffix_order(symbols):
         k = owner[i]
         j = i - starts[k]
         if j < windows[k]:
             text = texts[k][j : j + window]
-            if text != last:
-                close()
-                last, run = text, []
-            run.append((k, j))
-    close()
+            if text == last:
+                run.append((k, j))
+            else:
+                if len(run) > 1:
+                    close()
+                last, run = text, [(k, j)]
+    if len(run) > 1:
+        close()
     return strings, at
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_BYTES, hot: int = HOT_STRINGS) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_BYTES, hot: int = HOT_CHUNKS) -> DataFrame:
     """Removes each UTF-8 byte in a string of ``window`` bytes that also starts in a document with a smaller id.
 
     Returns a row per input row: the id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, binary, as

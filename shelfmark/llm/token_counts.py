@@ -1,4 +1,4 @@
-"""Token counts (operator 4): a broadcast table of frequent pre-token lengths, worker caches for the rest, no shuffle."""
+"""Token counts (operator 4): a broadcast table of frequent pre-token lengths, worker caches for the rest, no shuffle at all."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .unit_cache import UnitCache, two_hashes
+from .unit_cache import UnitCache
 
-#: The frequent tier comes from so many documents, and has at most so many entries. It speeds up only.
-SAMPLE_DOCS, FREQUENT = 4000, 65536
+#: The frequent tier comes from about so many documents, chosen by a hash of their ids, and has at most so many entries, of which
+#: each task of the sample names at most TOLD. It changes the speed alone.
+SAMPLE_DOCS, FREQUENT, TOLD = 4000, 65536, 16384
 #: Entries a worker caches of the rest before it starts anew.
 CACHED = 1_000_000
 #: Bytes of text that are looked up at once.
@@ -59,28 +60,36 @@ def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
     return raw, data, offsets, begin, end, word_offsets
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, vocabulary: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Compact hash table: sorted hashes, proofs and lengths of frequent pre-tokens; bounded by SAMPLE_DOCS and FREQUENT."""
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").limit(SAMPLE_DOCS)
+def frequent_lengths(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Compact table of the lengths of frequent short pre-tokens: their keys (high, low) and lengths.
+
+    Tasks tally what the sample leaves them and tell the driver their most frequent pre-tokens; nothing is shuffled.
+    """
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], int] = {}
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             for a, b in steps(texts):
-                raw, data, _, begin, end, _ = words_of(texts[a:b])
-                one, two = two_hashes(data, begin, end)
-                _, at, n = np.unique(one, return_index=True, return_counts=True)
-                at, n = at[n > 1], n[n > 1]
-                yield pa.record_batch([pa.array([raw[s:e] for s, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)], pa.binary()), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(n, pa.int64())], ["word", "one", "two", "n"])
-
-    tallied = sample.mapInArrow(tally, "word binary, one long, two long, n long").groupBy("word", "one", "two").agg(F.sum("n").alias("n"))
-    rows = tallied.where("length(word) <= 64").orderBy(F.desc("n"), "one", "two").limit(FREQUENT).collect()
-    counts = piece_counter(vocabulary)([bytes(r.word) for r in rows])
-    table = {(r.one % (1 << 64), r.two % (1 << 64)): n for r, n in zip(rows, counts, strict=True)}
-    ordered = sorted(dict.fromkeys(k[0] for k in table))
-    best = {k[0]: k for k in table}
-    keys = [best[o] for o in ordered]
-    return np.array([k[0] for k in keys], A.U64), np.array([k[1] for k in keys], A.U64), [table[k] for k in keys]
+                _, data, _, begin, end, _ = words_of(texts[a:b])
+                short = end - begin <= A.SHORT
+                low, high = A.short_keys(data, begin[short], end[short])
+                pairs, n = np.unique(np.stack([high, low]), axis=1, return_counts=True) if len(low) else (np.empty((2, 0), A.U64), [])
+                for k, c in zip(zip(*pairs.tolist(), strict=True), np.asarray(n).tolist(), strict=True):
+                    total[k] = total.get(k, 0) + c
+        some = sorted(total, key=lambda k: (-total[k], k))[:TOLD]
+        if some:
+            yield pa.record_batch([pa.array([np.array([[*k, total[k]] for k in some], A.U64).tobytes()], pa.binary())], ["told"])
+
+    total: dict[tuple[int, int], int] = {}
+    for r in sample.select(F.col(text_col).cast("string")).mapInArrow(tally, "told binary").toLocalIterator():
+        for high, low, n in np.frombuffer(r.told, A.U64).reshape(-1, 3).tolist():
+            total[high, low] = total.get((high, low), 0) + n
+    some = sorted(sorted(total, key=lambda k: (-total[k], k))[:FREQUENT])
+    words = [(low.to_bytes(8, "little") + (high & (1 << 56) - 1).to_bytes(7, "little"))[: high >> 56] for high, low in some]
+    return np.array([k[0] for k in some], A.U64), np.array([k[1] for k in some], A.U64), piece_counter(vocabulary)(words) if words else []
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, vocabulary: str | None = None) -> DataFrame:
@@ -92,7 +101,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty (0 tokens), null ids stay null, other columns are ignored, an empty table gives an empty one.
     """
     vocabulary = vocabulary or vocabulary_path()
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, vocabulary))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, id_col, text_col, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = None

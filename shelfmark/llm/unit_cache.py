@@ -1,4 +1,8 @@
-"""Values of words (token counts, token ids) looked up by hash for a whole chunk at once, in one Python worker."""
+"""Values of words (token counts, token ids) looked up for a whole chunk at once, in one Python worker.
+
+Words of at most 15 bytes are their own keys (two 64-bit values with all their bytes), longer ones are kept as byte strings, so
+equal keys are equal words; no hash decides.
+"""
 
 from __future__ import annotations
 
@@ -8,64 +12,58 @@ import numpy as np
 
 from . import arrays as A
 
-SEED = np.uint64(0x5851F42D4C957F2D)
-
-
-def two_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of byte ranges: one looks up, the other proves."""
-    units = A.BYTE_UNITS[data]
-    return A.range_hash(A.prefix_sums(units), start, end), A.range_hash(A.prefix_sums(A.mix(units ^ SEED)), start, end)
+LONG = A.U64(1 << 63)
 
 
 class UnitCache:
     """Slots of byte strings; a slot stands for what ``compute`` gave for the string.
 
-    frequent: the first tier, sorted hashes with their proofs and values, never dropped. The rest is computed once and cached;
-    beyond ``most`` entries the cache starts anew.
+    frequent: the first tier, sorted keys of short strings (high, low) with their values, never dropped. The rest is computed once and
+    cached; beyond ``most`` entries the cache starts anew.
     """
 
     def __init__(self, compute: Callable[[list[bytes]], list], most: int, frequent: tuple[np.ndarray, np.ndarray, list] | None = None) -> None:
         self.compute, self.most = compute, most
-        self.tier = frequent or (np.empty(0, A.U64), np.empty(0, A.U64), [])
+        high, low, values = frequent or (np.empty(0, A.U64), np.empty(0, A.U64), [])
+        self.tier = dict(zip(zip(high.tolist(), low.tolist(), strict=True), range(len(values)), strict=True))
+        self.fixed = list(values)
         self._restart()
 
     def _restart(self) -> None:
-        self.values: list = list(self.tier[2])
-        self.known: dict[tuple[int, int], int] = {}
+        self.values: list = list(self.fixed)
+        self.known: dict[tuple[int, int] | bytes, int] = dict(self.tier)
 
     def lookup(self, raw: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct strings of a chunk as slots into ``values``, and for each range which of these it is."""
-        if len(self.values) > self.most + len(self.tier[2]):
+        if len(self.values) > self.most + len(self.fixed):
             self._restart()
-        one, two = two_hashes(data, start, end)
-        order = np.argsort(one, kind="stable")
-        a, b = one[order], two[order]
+        if not len(start):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        low, high = A.short_keys(data, start, end)
+        long = np.flatnonzero(end - start > A.SHORT)
+        if len(long):  # a number for each long string of this chunk, in a range of keys of its own
+            number: dict[bytes, int] = {}
+            low[long] = [number.setdefault(raw[s:e], len(number)) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+            high[long] = LONG
+        order = np.lexsort((low, high))
+        low, high = low[order], high[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = a[1:] != a[:-1]
-        if not (new[1:] | (b[1:] == b[:-1])).all():  # two strings with one hash: tell them apart by the other
-            order = np.lexsort((two, one))
-            a, b = one[order], two[order]
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         first = order[new]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        a, b = a[new], b[new]
-        slots = np.full(len(first), -1, np.int64)
-        keys, proofs, _ = self.tier
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-            hit = (keys[at] == a) & (proofs[at] == b)
-            slots[hit] = at[hit]
-        rest = np.flatnonzero(slots < 0)
-        pairs = list(zip(a[rest].tolist(), b[rest].tolist(), strict=True))
+        keys: list = list(zip(high[new].tolist(), low[new].tolist(), strict=True))
         known = self.known
-        have = [known.get(p, -1) for p in pairs]
+        at = len(keys)
+        while at and keys[at - 1][0] == int(LONG):  # the long ones sort last
+            at -= 1
+            keys[at] = raw[start[first[at]] : end[first[at]]]
+        have = [known.get(p, -1) for p in keys]
         missed = [k for k, s in enumerate(have) if s < 0]
         if missed:
-            at = first[rest[missed]]
+            at = first[missed]
             strings = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
             for k, v in zip(missed, self.compute(strings), strict=True):
-                known[pairs[k]] = have[k] = len(self.values)
+                known[keys[k]] = have[k] = len(self.values)
                 self.values.append(v)
-        slots[rest] = have
-        return slots, which
+        return np.array(have, np.int64), which

@@ -1,36 +1,38 @@
 """Windows of texts that an earlier document has too, found by super-k-mer partitioning.
 
 A window is ``window`` consecutive units (words or bytes) of one text. Consecutive windows with one minimiser form a
-super-k-mer, and equal windows always have equal minimisers, so each super-k-mer can travel as one packed string to the bucket
-of its minimiser and be compared there with all that could match. Four steps over the chunk table:
+super-k-mer, and equal windows always have equal minimisers, so each super-k-mer travels as one packed string to the bucket
+of its minimiser and is compared there with all that could match. Three steps over the chunk table:
 
 1. Each chunk asks the buckets which of its minimisers another document has (6 bytes each). Most text drops out here.
-2. For the rest each chunk sends one (minimiser, body hash, smallest id) per distinct super-k-mer. The bucket answers with
-   the smallest id anywhere, and says where distinct strings meet under one minimiser.
-3. Of those, the document with the smallest id sends the string itself, once, and a resolver (sorting or a suffix array)
-   compares the windows in the bucket. Where more than ``hot`` distinct strings meet under one minimiser, their windows go on by
-   128-bit window hash instead, so a passage in a third of all documents loads no single bucket.
-4. Each chunk marks its units: all windows of a super-k-mer that an earlier document has as a whole, and those the resolver named.
-
-Copies collapse in step 2 by 128 bits of hash (minimiser and body); nothing is capped or dropped.
+2. Each chunk sends the strings of the rest, every distinct one once, with the smallest id that has it. In the bucket equal
+   strings collapse by their bytes. Windows whose hash no other string has are done; the strings of the others go to a
+   resolver (sorting, or a suffix array), which compares them byte by byte.
+3. Each chunk marks its units: all windows of a string that an earlier document has as a whole, and those the resolver named.
+
+A minimiser that more than ``hot`` chunks have is a poor key: its windows travel one by one, each to the bucket of its own hash,
+and are compared in the same way there. Hashes only choose buckets and rule windows out; nothing is capped or dropped. What
+one string costs its bucket is one entry for each chunk that has it, so larger chunks (``chunk_bytes``) suit larger tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .exchange import MESSAGE, MESSAGE_SCHEMA, Chunk, apply_shared, chunk_table, each_bucket, shared_keys, split_by_bucket, width, with_answers
+from .exchange import CHUNK_BYTES, MESSAGE, MESSAGE_SCHEMA, Chunk, apply_shared, chunk_table, each_bucket, shared_keys, split_by_bucket, width, with_answers
 
 #: (strings, windows in each, id of each) under one minimiser -> (string, window) pairs that a smaller id has too
 Resolver = Callable[[list[bytes], list[int], list[int]], tuple[list[int], list[int]]]
 
-HOT_STRINGS = 4096
+HOT_CHUNKS = 2048
 
 
 @dataclass(frozen=True)
@@ -39,203 +41,210 @@ class Plan:
     window: int
     gram: int
     buckets: int
-    hot: int = HOT_STRINGS
+
+    def runs(self, data: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None, k: int) -> np.ndarray:
+        """Hash of each run of k units."""
+        if self.unit == "byte":
+            return A.byte_windows(data, k)
+        return A.gram_hash(A.prefix_sums(A.word_hashes(data, begin, end)), k)
 
 
 class Units:
-    """The units of a chunk, its super-k-mers and their owners."""
+    """The units of a chunk, the strings it sends (entries) and where these occur."""
 
     def __init__(self, chunk: Chunk, plan: Plan) -> None:
         self.chunk, self.plan = chunk, plan
-        if plan.unit == "byte":
-            self.offsets, self.hashes = chunk.offsets, A.BYTE_UNITS[chunk.data]
-        else:
+        self.begin = self.end = None
+        self.offsets = chunk.offsets
+        if plan.unit == "word":
             self.begin, self.end, self.offsets = A.word_bounds(chunk.data, chunk.offsets)
-            self.hashes = A.word_hashes(chunk.data, self.begin, self.end)
-        self.kmers = A.super_kmers(self.hashes, self.offsets, plan.window, plan.gram)
-        self.ids = chunk.ids[A.owner_of(self.offsets, self.kmers["start"])] if len(self.kmers["start"]) else np.empty(0, np.int64)
-
-    def packed(self, start: int, n: int) -> bytes:
-        """The bytes of n windows from a unit on; words joined by one space."""
-        end = start + n + self.plan.window - 1
-        if self.plan.unit == "byte":
-            return self.chunk.raw[start:end]
-        return b" ".join(self.chunk.raw[self.begin[start] : self.end[end - 1]].split())
-
-    def keep(self, answers: list[dict]) -> None:
-        """Keeps super-k-mers whose minimiser is shared and numbers the distinct ones."""
-        on = apply_shared(self.kmers["mini"], self.ids, answers, self.plan.buckets)
-        self.kmers = {k: v[on] for k, v in self.kmers.items()}
-        self.ids = self.ids[on]
-        mini, body = self.kmers["mini"], self.kmers["body"]
-        order = np.lexsort((self.ids, body, mini))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (np.diff(mini[order]) != 0) | (np.diff(body[order]) != 0)
-        self.first = order[new]
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.entry_mini, self.entry_body, self.entry_id = mini[self.first], body[self.first], self.ids[self.first]
-
-    def decided(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest id and flags of each distinct super-k-mer, from the answers of step 2."""
-        least, flags = np.full(len(self.first), A.NO_ID), np.zeros(len(self.first), np.uint8)
-        places = dict(split_by_bucket(self.entry_mini, self.plan.buckets))
-        for r in answers:
-            if r["kind"] == 1:
-                at = places[r["bucket"]]
-                least[at] = np.frombuffer(r["body"], np.int64, len(at))
-                flags[at] = np.frombuffer(r["body"], np.uint8, offset=8 * len(at))
-        return least, flags
-
-
-MEETS, HOT = 1, 2
-
-
-def _ask_bodies(plan: Plan) -> Callable[[Chunk, list[dict]], Iterator[tuple]]:
-    def work(chunk: Chunk, answers: list[dict]) -> Iterator[tuple]:
-        units = Units(chunk, plan)
-        units.keep(answers)
-        for bucket, at in split_by_bucket(units.entry_mini, plan.buckets):
-            yield bucket, chunk.key, 1, b"".join(x[at].tobytes() for x in (units.entry_mini, units.entry_body, units.entry_id))
-
-    return work
-
-
-def _answer_bodies(hot: int) -> Callable[[list[dict]], Iterator[tuple]]:
-    def work(rows: list[dict]) -> Iterator[tuple]:
-        parts = [np.frombuffer(r["body"], np.uint64).reshape(3, -1) for r in rows]
-        mini, body, ids = np.concatenate(parts, axis=1)
-        ids = ids.view(np.int64)
-        order = np.lexsort((ids, body, mini))
-        mini, body = mini[order], body[order]
-        new_mini, new = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
-        new_mini[1:] = mini[1:] != mini[:-1]
-        new[1:] = new_mini[1:] | (body[1:] != body[:-1])
-        least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        bodies = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_mini))[np.cumsum(new_mini) - 1]
-        out_least, out_flags = np.empty(len(order), np.int64), np.empty(len(order), np.uint8)
-        out_least[order] = least
-        out_flags[order] = np.where(bodies > 1, MEETS, 0) | np.where(bodies > hot, HOT, 0)
-        at = 0
-        for r, p in zip(rows, parts, strict=True):
-            n = p.shape[1]
-            yield r["bucket"], r["chunk"], 1, out_least[at : at + n].tobytes() + out_flags[at : at + n].tobytes()
-            at += n
-
-    return work
+        self.grams = plan.runs(chunk.data, self.begin, self.end, plan.gram)
+        self.kmers = A.super_kmers(self.grams, self.offsets, plan.window, plan.gram)
+        self.ids = self.owners(self.kmers["start"])
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        return self.chunk.ids[A.owner_of(self.offsets, at)] if len(at) else np.empty(0, np.int64)
+
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.kmers["mini"], self.ids
+
+    def enter(self, answers: list[dict]) -> None:
+        """Numbers the distinct strings of shared minimisers; those of hot ones are single windows."""
+        shared, hot = apply_shared(self.kmers["mini"], self.ids, answers, self.plan.buckets)
+        start, n, key = (self.kmers[k] for k in ("start", "n", "mini"))
+        cool = shared & ~hot
+        hot &= shared
+        if hot.any():
+            at = A.spread(start[hot], n[hot])
+            own = self.plan.runs(self.chunk.data, self.begin, self.end, self.plan.window)[at]
+            self.start, self.n, key = np.concatenate([start[cool], at]), np.concatenate([n[cool], np.ones(len(at), np.int64)]), np.concatenate([key[cool], own])
+        else:
+            self.start, self.n, key = start[cool], n[cool], key[cool]
+        self.ids = self.owners(self.start)
+        number: dict[bytes, int] = {}
+        self.entry = np.fromiter((number.setdefault(s, len(number)) for s in self._strings()), np.int64, len(self.start))
+        self.strings = list(number)
+        self.entry_id = np.full(len(number), A.NO_ID)
+        np.minimum.at(self.entry_id, self.entry, self.ids)
+        keys = np.empty(len(number), A.U64)
+        keys[self.entry] = key
+        self.places = split_by_bucket(keys, self.plan.buckets)
+
+    def _strings(self) -> Iterator[bytes]:
+        """The bytes of each string; words are joined by one space."""
+        raw, first, last = self.chunk.raw, self.start, self.start + self.n + self.plan.window - 1
+        if self.plan.unit == "word":
+            words = [w for k in range(len(self.chunk.ids)) for w in self.chunk.text(k).split()]
+            raw = b" ".join(words)
+            size = self.end - self.begin
+            place = np.cumsum(size + 1) - size - 1
+            first, last = place[first], place[last - 1] + size[last - 1]
+        return (raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True))
+
+
+def _transposed(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, which compresses better."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _packed(ids: np.ndarray, strings: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    return zstandard.ZstdCompressor(level=1).compress(_transposed(ids) + _transposed(sizes) + b"".join(strings))
+
+
+def _unpacked(body: bytes, n: int) -> tuple[np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    ids, sizes = (np.frombuffer(raw, np.uint8, 8 * n, 8 * n * k).reshape(8, n).T.copy().view(np.int64).ravel() for k in (0, 1))
+    ends = (16 * n + np.cumsum(sizes)).tolist()
+    return ids, [raw[b - s : b] for b, s in zip(ends, sizes.tolist(), strict=True)]
 
 
 def _ask_strings(plan: Plan) -> Callable[[Chunk, list[dict]], Iterator[tuple]]:
     def work(chunk: Chunk, answers: list[dict]) -> Iterator[tuple]:
-        units = Units(chunk, plan)
-        units.keep(answers)
-        least, flags = units.decided(answers)
-        own = (units.entry_id == least) & (flags & MEETS > 0)
-        start, n = units.kmers["start"][units.first], units.kmers["n"][units.first]
-        some = np.flatnonzero(own & (flags & HOT == 0))
-        for bucket, at in split_by_bucket(units.entry_mini[some], plan.buckets):
-            e = some[at]
-            texts = [units.packed(s, k) for s, k in zip(start[e].tolist(), n[e].tolist(), strict=True)]
-            lens = np.fromiter(map(len, texts), np.int64, len(texts))
-            yield bucket, chunk.key, 2, np.int64(len(e)).tobytes() + b"".join(x.tobytes() for x in (e, units.entry_mini[e], units.entry_id[e], n[e], lens)) + b"".join(texts)
-        some = np.flatnonzero(own & (flags & HOT > 0))
-        if len(some):
-            at, e = A.spread(start[some], n[some]), np.repeat(some, n[some])
-            one = A.range_hash(A.prefix_sums(units.hashes), at, at + plan.window)
-            two = A.range_hash(A.prefix_sums(A.mix(units.hashes)), at, at + plan.window)
-            for bucket, k in split_by_bucket(one, plan.buckets):
-                yield bucket, chunk.key, 3, b"".join(x.tobytes() for x in (one[k], two[k], units.entry_id[e[k]], e[k], at[k] - start[e[k]]))
+        if answers:
+            units = Units(chunk, plan)
+            units.enter(answers)
+            for bucket, at in units.places:
+                yield bucket, chunk.key, len(at), _packed(units.entry_id[at], list(itemgetter(*at.tolist())(units.strings)) if len(at) > 1 else [units.strings[at[0]]])
 
     return work
 
 
-def _answer_strings(resolve: Resolver) -> Callable[[list[dict]], Iterator[tuple]]:
+def _open_windows(strings: list[bytes], least: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+    """What hashes can't rule out: strings with windows that a string of another id may have, and the first and the last of these
+    windows of each; and for all strings the first unit of each, the bounds of units, and the minimisers of those strings."""
+    data = np.frombuffer(b" ".join(strings), np.uint8)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    first = np.cumsum(sizes + 1) - sizes - 1
+    begin = end = None
+    units = sizes
+    if plan.unit == "word":
+        begin, end, at = A.word_bounds(data, np.append(first, len(data)))
+        units, first = np.diff(at), at[:-1]
+    n = units - plan.window + 1
+    owner = np.repeat(np.arange(len(strings)), n)
+    at = A.spread(first, n)
+    hashes = plan.runs(data, begin, end, plan.window)[at]
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    runs = np.flatnonzero(new)
+    ids = least[owner[order]]
+    differ = np.minimum.reduceat(ids, runs) < np.maximum.reduceat(ids, runs)
+    some = np.sort(order[np.repeat(differ, np.diff(np.append(runs, len(order))))])
+    held = owner[some]
+    lead = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.empty(0, np.int64)
+    who = held[lead]
+    window = at[some] - first[held]
+    low, high = window[lead], window[np.append(lead[1:], len(held)) - 1] if len(held) else window
+    grams = plan.runs(data, begin, end, plan.gram)
+    reach = plan.window - plan.gram + 1
+    mini = np.minimum.reduceat(grams[A.spread(first[who], np.full(len(who), reach))], np.arange(len(who)) * reach) if len(who) else np.empty(0, A.U64)
+    return who, low, high, mini
+
+
+def _answer_strings(plan: Plan, resolve: Resolver) -> Callable[[list[dict]], Iterator[tuple]]:
     def work(rows: list[dict]) -> Iterator[tuple]:
-        found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-
-        def tell(chunks: np.ndarray, entries: np.ndarray, windows: np.ndarray) -> None:
-            for c in np.unique(chunks).tolist():
-                mine = found.setdefault(c, ([], []))
-                mine[0].append(entries[chunks == c])
-                mine[1].append(windows[chunks == c])
-
-        kinds = [r for r in rows if r["kind"] == 2]
-        if kinds:
-            minis, fields, texts = [], [], []
-            for r in kinds:
-                k = int(np.frombuffer(r["body"], np.int64, 1)[0])
-                e, mini, ids, n, lens = np.frombuffer(r["body"], np.int64, 5 * k, 8).reshape(5, k)
-                minis.append(mini)
-                fields.append(np.stack([np.full(k, r["chunk"]), e, ids, n]))
-                ends = (8 + 40 * k + np.cumsum(lens)).tolist()
-                texts += [r["body"][b - s : b] for b, s in zip(ends, lens.tolist(), strict=True)]
-            mini, field = np.concatenate(minis), np.concatenate(fields, axis=1)
-            order = np.argsort(mini, kind="stable")
-            bounds = np.append(np.flatnonzero(np.append(True, np.diff(mini[order]) != 0)), len(order)).tolist()
-            s_out, w_out = [], []
-            ids, n = field[2].tolist(), field[3].tolist()
-            order = order.tolist()
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    at = order[a:b]
-                    s, w = resolve([texts[i] for i in at], [n[i] for i in at], [ids[i] for i in at])
-                    s_out += [at[i] for i in s]
-                    w_out += w
-            if s_out:
-                s = np.array(s_out)
-                tell(field[0][s], field[1][s], np.array(w_out, np.int64))
-        kinds = [r for r in rows if r["kind"] == 3]
-        if kinds:
-            parts = [np.frombuffer(r["body"], np.uint64).reshape(5, -1) for r in kinds]
-            one, two, ids, e, w = np.concatenate(parts, axis=1)
-            chunks = np.repeat([r["chunk"] for r in kinds], [p.shape[1] for p in parts])
-            ids = ids.view(np.int64)
-            order = np.lexsort((ids, two, one))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
-            least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = order[least < ids[order]]
-            tell(chunks[late], e[late].astype(np.int64), w[late].astype(np.int64))
-        for c, (e, w) in found.items():
-            yield 0, c, 4, np.stack([np.concatenate(e), np.concatenate(w)]).astype(np.int64).tobytes()
+        number: dict[bytes, int] = {}
+        ids, which = [], []
+        for r in rows:
+            own, strings = _unpacked(r["body"], r["kind"])
+            ids.append(own)
+            which.append(np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings)))
+        strings = list(number)
+        del number
+        least = np.full(len(strings), A.NO_ID)
+        np.minimum.at(least, np.concatenate(which), np.concatenate(ids))
+        who, low, high, mini = _open_windows(strings, least, plan)
+        order = np.argsort(mini, kind="stable")
+        bounds = [*(np.flatnonzero(np.append(True, np.diff(mini[order]) != 0)).tolist() if len(order) else []), len(order)]
+        found_string, found_window = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            at = order[a:b]
+            own, skip = who[at].tolist(), low[at].tolist()
+            texts = [_cut(strings[k], s, e, plan) for k, s, e in zip(own, skip, high[at].tolist(), strict=True)]
+            s, w = resolve(texts, (high[at] - low[at] + 1).tolist(), least[own].tolist())
+            found_string += [own[i] for i in s]
+            found_window += [skip[i] + j for i, j in zip(s, w, strict=True)]
+        named = np.array([found_string, found_window], np.int64).reshape(2, -1)
+        named = named[:, np.argsort(named[0], kind="stable")]
+        for r, i, k in zip(rows, ids, which, strict=True):
+            lo, hi = np.searchsorted(named[0], k), np.searchsorted(named[0], k, side="right")
+            mine = np.flatnonzero((hi > lo) & (i == least[k]))
+            count = (hi - lo)[mine]
+            late = least[k] < i
+            if late.any() or len(mine):
+                told = np.stack([np.repeat(mine, count), named[1, A.spread(lo[mine], count)]]).astype(np.int32)
+                yield r["bucket"], r["chunk"], 4, np.packbits(late).tobytes() + told.tobytes()
 
     return work
 
 
+def _cut(text: bytes, first: int, last: int, plan: Plan) -> bytes:
+    """Windows first to last of a string."""
+    if plan.unit == "byte":
+        return text[first : last + plan.window]
+    return b" ".join(text.split(b" ")[first : last + plan.window])
+
+
 def _removed(units: Units, answers: list[dict]) -> np.ndarray:
     """Mask over the units of a chunk."""
-    units.keep(answers)
-    least, _ = units.decided(answers)
-    start, n, least = units.kmers["start"], units.kmers["n"], least[units.entry]
-    late = least < units.ids
-    at = [A.spread(start[late], n[late])]
-    named = [np.frombuffer(r["body"], np.int64).reshape(2, -1) for r in answers if r["kind"] == 4]
-    if named:
-        e, w = np.concatenate(named, axis=1)
+    total = int(units.offsets[-1])
+    if not answers:
+        return np.zeros(total, dtype=bool)
+    units.enter(answers)
+    late = np.zeros(len(units.strings), dtype=bool)
+    places, entries, windows = dict(units.places), [], []
+    for r in answers:
+        if r["kind"] == 4:
+            at = places[r["bucket"]]
+            head = -(-len(at) // 8)
+            late[at] = np.unpackbits(np.frombuffer(r["body"], np.uint8, head), count=len(at)).astype(bool)
+            e, w = np.frombuffer(r["body"], np.int32, offset=head).reshape(2, -1)
+            entries.append(at[e])
+            windows.append(w.astype(np.int64))
+    gone = late[units.entry] | (units.ids > units.entry_id[units.entry])
+    at = [A.spread(units.start[gone], units.n[gone])]
+    if entries:
+        e, w = np.concatenate(entries), np.concatenate(windows)
         order = np.argsort(e, kind="stable")
         e, w = e[order], w[order]
-        mine = np.flatnonzero(~late & np.isin(units.entry, e))
+        mine = np.flatnonzero(~gone)
         lo, hi = np.searchsorted(e, units.entry[mine]), np.searchsorted(e, units.entry[mine], side="right")
-        at.append(np.repeat(start[mine], hi - lo) + w[A.spread(lo, hi - lo)])
-    return A.covered(np.concatenate(at), units.plan.window, len(units.hashes))
+        at.append(np.repeat(units.start[mine], hi - lo) + w[A.spread(lo, hi - lo)])
+    return A.covered(np.concatenate(at), units.plan.window, total)
 
 
-def earlier_windows(docs: DataFrame, id_col: str, text_col: str, unit: str, window: int, gram: int, resolve: Resolver, finish: Callable[[Units, np.ndarray], Iterator[tuple]], schema: str, arrow: pa.Schema, hot: int = HOT_STRINGS) -> DataFrame:
+def earlier_windows(docs: DataFrame, id_col: str, text_col: str, unit: str, window: int, gram: int, resolve: Resolver, finish: Callable[[Units, np.ndarray], Iterator[tuple]], schema: str, arrow: pa.Schema, hot: int = HOT_CHUNKS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """finish(units, mask) for each chunk; the mask says which units lie in a window that a document with a smaller id has."""
-    chunks = chunk_table(docs, id_col, text_col)
-    plan = Plan(unit, window, gram, 4 * width(docs.sparkSession), hot)
-
-    def minimisers(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        units = Units(chunk, plan)
-        return units.kmers["mini"], units.ids
-
-    shared = shared_keys(chunks, minimisers, plan.buckets).checkpoint()
-    bodies = each_bucket(with_answers(chunks, shared, _ask_bodies(plan), MESSAGE_SCHEMA, MESSAGE), _answer_bodies(hot))
-    answers = shared.unionByName(bodies).checkpoint()
-    named = each_bucket(with_answers(chunks, answers, _ask_strings(plan), MESSAGE_SCHEMA, MESSAGE), _answer_strings(resolve))
+    chunks = chunk_table(docs, id_col, text_col, chunk_bytes)
+    plan = Plan(unit, window, gram, 4 * width(docs.sparkSession))
+    shared = shared_keys(chunks, lambda chunk: Units(chunk, plan).minimisers(), plan.buckets, hot).checkpoint()
+    strings = each_bucket(with_answers(chunks, shared, _ask_strings(plan), MESSAGE_SCHEMA, MESSAGE), _answer_strings(plan, resolve))
 
     def last(chunk: Chunk, got: list[dict]) -> Iterator[tuple]:
         units = Units(chunk, plan)
         yield from finish(units, _removed(units, got))
 
-    return with_answers(chunks, answers.unionByName(named), last, schema, arrow)
+    return with_answers(chunks, shared.unionByName(strings), last, schema, arrow)
