@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import arrays as A
 from .token_counts import steps
@@ -100,7 +101,10 @@ def fit_shard(rows: pd.DataFrame) -> pd.DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights by averaging models of SHARDS shards. Fits on TRAIN_ROWS labelled rows at most, never on rows whose crc32(id) mod 3 is
-    1. The sample's ids and labels are bounded, so they are broadcast; no text is shuffled but those of the sample."""
+    1. The sample's ids and labels are bounded, so they are broadcast; no text is shuffled but those of the sample.
+
+    Labels other than 0 and 1, null ids, and labels without a document teach nothing. Repeated labels of one id teach once each, conflicting
+    ones both ways. Without any usable label all weights are 0, so every score is 0.5."""
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     usable = usable.where(F.crc32(F.col("id").cast("string")) % 3 != 1).withColumn("place", F.xxhash64("id"))
     sample = usable.orderBy("place", "id", "label").limit(TRAIN_ROWS)
@@ -114,17 +118,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and score (0 to 1): the sparse dot product of a text's n-gram shares with the weights, as a probability.
-
-    Null and empty texts get the score of the bias alone. One pass without a shuffle; the weights have a fixed size.
-    """
-    names = docs.columns
+def _scored(docs: DataFrame, weights: np.ndarray, text_col: str) -> DataFrame:
+    """row (struct of all columns of docs) and score."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(names.index(text_col)).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             out = [np.empty(0)]
             for a, b in steps(texts):
                 grams, bounds = ngrams(texts[a:b])
@@ -132,10 +133,18 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 n = np.diff(bounds)
                 x = np.where(n > 0, total * SCALE / np.maximum(n, 1), 0.0) + model.value[BIAS]
                 out.append(1 / (1 + np.exp(-np.clip(x, -35, 35))))
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], [*names, "score"])
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out))], ["row", "score"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, score double")
+
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """All columns of docs and score (0 to 1): the sparse dot product of a text's n-gram shares with the weights, as a probability.
+
+    Null and empty texts get the score of the bias alone. A column of docs that is called score gives way to the result. Repeated
+    rows are scored each; an empty table gives an empty one. One pass without a shuffle; the weights have a fixed size.
+    """
+    return _scored(docs, weights, text_col).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "score"], "score")
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
@@ -148,6 +157,5 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of a score below 0.5 go."""
-    names = docs.columns
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, weights).where("score >= 0.5").select(*names)
+    return _scored(docs, weights, "text").where("score >= 0.5").select("row.*")

@@ -25,17 +25,23 @@ def validity(entries: DataFrame) -> DataFrame:
     return day.withColumn("to_day", F.lead("day").over(w)).where("action = 'add'").select("list", "host", F.col("day").alias("from_day"), "to_day")
 
 
-def active_at_fetch(captures: DataFrame, intervals: DataFrame, last_day: int) -> DataFrame:
-    """captures (with host and day) joined to the intervals that hold on their day; one row for each match.
+def active_at_fetch(captures: DataFrame, intervals: DataFrame) -> DataFrame:
+    """captures (with host and day) and active: array of struct(list, from_day, to_day) of the intervals that hold on their day.
 
-    Intervals of one list and host don't overlap, so a capture meets at most one of each list. Both sides are matched by host and
-    slice of SLICE_DAYS days: an equi-join that adaptive execution splits where a host has a third of all captures.
+    Both sides are matched by host and slice of SLICE_DAYS days. What a host's lists say in one slice is one row (a few entries for each
+    list), so every capture, whatever else it repeats or lacks, stays one row; where a host has a third of all captures, adaptive
+    execution splits them. Entries that were never removed hold up to the last capture. A null host or day matches nothing, captures
+    of a slice without entries have an empty array, and empty tables on either side do no harm.
     """
-    end = F.coalesce("to_day", F.lit(last_day + 1))
-    slices = intervals.where(end > F.col("from_day")).withColumn("slice", F.explode(F.sequence(F.floor(F.col("from_day") / SLICE_DAYS), F.floor((end - 1) / SLICE_DAYS))))
-    dated = captures.withColumn("slice", F.floor(F.col("day") / SLICE_DAYS))
-    hit = (F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
-    return dated.join(slices, ["host", "slice"]).where(hit).drop("slice")
+    last = captures.agg(F.max("day").alias("last")).first()["last"]
+    end = F.coalesce("to_day", F.lit((last or 0) + 1))
+    some = intervals.where(end > F.col("from_day"))
+    slices = some.withColumn("slice", F.explode(F.sequence(F.floor(F.col("from_day") / SLICE_DAYS), F.floor((end - 1) / SLICE_DAYS))))
+    held = slices.groupBy("host", "slice").agg(F.collect_list(F.struct("list", "from_day", "to_day")).alias("entries"))
+    dated = captures.withColumn("slice", F.floor(F.col("day") / SLICE_DAYS)).join(held, ["host", "slice"], "left")
+    on = F.filter("entries", lambda e: (e["from_day"] <= F.col("day")) & (e["to_day"].isNull() | (F.col("day") < e["to_day"])))
+    active = F.coalesce(on, F.array().cast(held.schema["entries"].dataType))
+    return dated.withColumn("active", active).select(*captures.columns, "active")
 
 
 def _number(text: Column, at: int) -> Column:
@@ -64,11 +70,9 @@ def digest(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce((F.col("page_id") % 400), F.lit(0)).cast("int").alias("day"))
     intervals = validity(lists_of_hosts(captures.where("host <> ''").select("host").distinct()))
-    hits = active_at_fetch(captures, intervals, 400)
-    hits = hits.groupBy("page_id").agg(F.max((F.col("list") == "block").cast("int")).alias("b"), F.max((F.col("list") == "review").cast("int")).alias("r"), F.max("from_day").alias("listed_day"))
-    joined = captures.join(hits, "page_id", "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return joined.select("page_id", "host", F.col("day").cast("long").alias("fetch_day"), flag("b").alias("blocked"), flag("r").alias("reviewed"), F.col("listed_day").cast("long").alias("listed_day"))
+    listed = active_at_fetch(captures, intervals)
+    on = lambda name: F.exists("active", lambda e: e["list"] == name).cast("int")
+    return listed.select("page_id", "host", F.col("day").cast("long").alias("fetch_day"), on("block").alias("blocked"), on("review").alias("reviewed"), F.array_max("active.from_day").cast("long").alias("listed_day"))
 
 
 SQL = """
