@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -92,22 +93,26 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Chunk:
-    """One row of the chunk table, unpacked."""
+    """One row of the chunk table; the texts are unpacked when they are asked for."""
 
     def __init__(self, row: dict) -> None:
-        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.int64))])
-        raw = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(offsets[-1])))
-        self._take(row["chunk"], np.frombuffer(row["ids"], np.int64), offsets, raw)
+        self.key, self.ids, self.body = row["chunk"], np.frombuffer(row["ids"], np.int64), row["body"]
+        self.offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lens"], np.int64))])
 
     @classmethod
-    def of(cls, key: int, ids: np.ndarray, offsets: np.ndarray, raw: bytes) -> Chunk:
+    def of(cls, key: int, ids: np.ndarray, texts: list[bytes]) -> Chunk:
         out = cls.__new__(cls)
-        out._take(key, ids, offsets, raw)
+        out.key, out.ids, out.raw = key, ids, b"".join(texts)
+        out.offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         return out
 
-    def _take(self, key: int, ids: np.ndarray, offsets: np.ndarray, raw: bytes) -> None:
-        self.key, self.ids, self.offsets, self.raw = key, ids, offsets, raw
-        self.data = np.frombuffer(raw, np.uint8)
+    @cached_property
+    def raw(self) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.body, max_output_size=max(1, int(self.offsets[-1])))
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(self.raw, np.uint8)
 
     def text(self, k: int) -> bytes:
         return self.raw[self.offsets[k] : self.offsets[k + 1]]

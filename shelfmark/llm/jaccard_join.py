@@ -16,8 +16,8 @@ from .exchange import Chunk, apply_levels, chunk_table, each_chunk, key_levels,
 SHINGLE_WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
 NEED, PARTS = 80, 100
-#: Rounds in which each list of candidates is compared with one of its members; what is left after these is compared in pairs.
-ROUNDS = 2
+#: Leaders of a list, one in the first round, grow by this factor from round to round, until all members of a list have led.
+MORE_LEADERS = 8
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -121,29 +121,34 @@ def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
     return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, shareable long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES).checkpoint()
 
 
-#: What a list has of each member, besides its shingle.
+#: What a list has of each group, besides its shingle. A group is named by the node that stands for it.
 ENTRY = ["node", "n", "shareable", "pos"]
 
 
-def _token_rows(nodes: DataFrame) -> DataFrame:
-    """Collapses nodes with one prefix and size into a group, keeps shingles that two groups or two members have, and expands these."""
+def _companions(nodes: DataFrame) -> DataFrame:
+    """(group, node): nodes of one prefix and size as another one, the least of them, which stands for the group."""
+    key = ["prefix_group", "n"]
+    many = nodes.groupBy(*key).agg(F.min("node").alias("group"), F.count("*").alias("members")).where("members > 1").drop("members")
+    return nodes.select("node", *key).join(many, key).where("node <> group").select("group", "node")
+
+
+def _token_rows(groups: DataFrame) -> DataFrame:
+    """A row for each shingle in a group's prefix that another group has in its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                tokens = np.frombuffer(r["tokens"], np.int64)
-                k = len(tokens)
-                yield pa.record_batch([pa.array(tokens), pa.array(np.full(k, r["prefix_group"])), pa.array(np.full(k, r["n"])), pa.array(np.frombuffer(r["pos"], np.int32)), pa.array(np.full(k, r["members"]))], ["token", "prefix_group", "n", "pos", "members"])
+            tokens, pos = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("tokens", np.int64), ("pos", np.int32)))
+            which = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
+            plain = batch.select(["node", "n", "shareable"]).take(pa.array(which))
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), *plain.columns, pa.array(np.concatenate([np.empty(0, np.int32), *pos]))], ["token", "node", "n", "shareable", "pos"])
 
-    groups = nodes.groupBy("prefix_group", "n").agg(F.first("tokens").alias("tokens"), F.first("pos").alias("pos"), F.count("*").alias("members"))
-    rows = groups.mapInArrow(run, "token long, prefix_group long, n long, pos int, members long")
-    listed = rows.groupBy("token").agg(F.sum("members").alias("members")).where("members > 1").select("token")
-    members = nodes.select("node", "prefix_group", "n", "shareable")
-    return rows.join(listed, "token", "left_semi").select("token", "prefix_group", "n", "pos").join(members, ["prefix_group", "n"]).select("token", *ENTRY)
+    rows = groups.select("node", "n", "shareable", "tokens", "pos").mapInArrow(run, "token long, node long, n long, shareable long, pos int")
+    listed = rows.groupBy("token").count().where("count > 1").select("token")
+    return rows.join(listed, "token", "left_semi").select("token", *ENTRY)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose common prefix shingles, all of them, leave room for a link: these up to the last, and at most the shorter rest."""
+    """Pairs of groups whose common prefix shingles, all of them, leave room for a link: these up to the last, and at most the shorter rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,39 +171,39 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(a, b) of those pairs whose sets link. The chunks of the b side send its sets to the chunks of the a side."""
-
-    def sets_at(chunk: Chunk, places: list[int]) -> dict[int, np.ndarray]:
-        some = sorted(set(places))
-        texts = [chunk.text(k) for k in some]
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        part = Chunk.of(chunk.key, chunk.ids[some], np.concatenate([[0], np.cumsum(lens)]), b"".join(texts))
-        hashes, bounds = shingle_sets(part)
+    """(a, b) of those pairs of nodes whose sets link. The chunks of the b side send each of its sets once to each chunk of the a side
+    that asks for it."""
+
+    def sets_at(chunk: Chunk, places: set[int]) -> dict[int, np.ndarray]:
+        some = sorted(places)
+        hashes, bounds = shingle_sets(Chunk.of(chunk.key, chunk.ids[some], [chunk.text(k) for k in some]))
         return {k: hashes[bounds[i] : bounds[i + 1]] for i, k in enumerate(some)}
 
     def send(chunk: Chunk, rows: list[dict]) -> Iterator[tuple]:
         if rows:
-            for k, hashes in sets_at(chunk, [r["place"] for r in rows]).items():
+            for k, hashes in sets_at(chunk, {r["place"] for r in rows}).items():
                 yield int(chunk.ids[k]), hashes.tobytes()
 
     def compare(chunk: Chunk, rows: list[dict]) -> Iterator[tuple]:
-        mine = sets_at(chunk, [r["place"] for r in rows]) if rows else {}
+        mine = sets_at(chunk, {w["place"] for r in rows for w in r["wanted"]}) if rows else {}
         for r in rows:
-            both = np.sort(np.concatenate([mine[r["place"]], np.frombuffer(r["hashes"], A.U64)]))
-            common = int((both[1:] == both[:-1]).sum())
-            if PARTS * common >= NEED * (len(both) - common):
-                yield r["a"], r["b"]
+            other = np.frombuffer(r["hashes"], A.U64)
+            for w in r["wanted"]:
+                both = np.sort(np.concatenate([mine[w["place"]], other]))
+                common = int((both[1:] == both[:-1]).sum())
+                if PARTS * common >= NEED * (len(both) - common):
+                    yield w["a"], r["b"]
 
-    pairs = _promising(pairs, nodes).checkpoint()
     at = nodes.select("node", "chunk", "place")
-    wanted = at.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("chunk", "place")
-    sets = with_answers(chunks, wanted, send, "node long, hashes binary", SET).withColumnRenamed("node", "b")
-    asked = pairs.join(sets, "b").join(at.withColumnRenamed("node", "a"), "a").select("chunk", "place", "a", "b", "hashes")
-    return with_answers(chunks, asked, compare, "a long, b long", PAIR)
+    # pairs of one b that one chunk holds: as many as a chunk has texts at most
+    asked = pairs.join(at.withColumnRenamed("node", "a"), "a").groupBy("chunk", "b").agg(F.collect_list(F.struct("a", "place")).alias("wanted"))
+    needed = at.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("chunk", "place")
+    sets = with_answers(chunks, needed, send, "node long, hashes binary", SET).withColumnRenamed("node", "b")
+    return with_answers(chunks, asked.join(sets, "b"), compare, "a long, b long", PAIR)
 
 
 def _possible() -> Column:
-    """Position filter for two sets that have a shingle at these places of their order.
+    """Size and position filter for two groups that have a shingle at these places of their order.
 
     It holds wherever the shingle is the first that both have, as then all they have in common lies in the shorter rest. Every two sets
     that link meet at that shingle too, so those that fail at a later one aren't lost.
@@ -211,11 +216,11 @@ def _rest(of: str = "") -> Column:
 
 
 def _undecided(lists: DataFrame) -> DataFrame:
-    """Members of lists that aren't one component, without those that no other member could link to."""
+    """Members of lists that aren't one component, without those that no other member could link to; length is that of their list."""
     best = lists.groupBy("token").agg(F.min("n").alias("least"), F.max(_rest()).alias("most"))
     some = lists.join(best, "token").where(F.least(_rest(), F.col("most")) >= needed_overlap(F.col("n"), F.col("least")))
-    open_ = some.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    return some.join(open_, "token", "left_semi").select("token", *ENTRY, "component")
+    open_ = some.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select("token", "length")
+    return some.join(open_, "token").select("token", *ENTRY, "component", "length")
 
 
 def _partner(names: list[str], of: str = "") -> list[Column]:
@@ -224,45 +229,61 @@ def _partner(names: list[str], of: str = "") -> list[Column]:
     return [F.col(of + c).alias(new.get(c, f"{c}2")) for c in names]
 
 
-def _leader(k: int) -> Column:
-    """Orders the members of a list; the first one leads. Sets with few shingles of their own link to most others, so they come first in
-    even rounds; odd rounds take any order."""
-    return (F.col("n") - F.col("shareable")) / F.col("n") if k % 2 == 0 else F.lit(0.0)
+def _leaders(lists: DataFrame, k: int, times: int) -> DataFrame:
+    """(token, leader) of each list: in the first round the member with the fewest shingles of its own, as that links to most others; then
+    about ``times`` members by a hash of the round, and all of a list that isn't longer."""
+    entry = F.struct(*ENTRY, "component")
+    if k == 0:
+        own = (F.col("n") - F.col("shareable")) / F.col("n")
+        return lists.groupBy("token").agg(F.min_by(entry, F.struct(own, F.xxhash64("node"))).alias("leader"))
+    drawn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 30)) * F.col("length").cast("double") < float(times * (1 << 30))
+    return lists.where(drawn).select("token", entry.alias("leader"))
 
 
 def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have a link.
 
-    Candidates are the nodes in the list of one shingle. In each round one member leads its list: those that could link to it and aren't
-    yet connected with it are verified, and it leaves the list. Lists that are connected as a whole are done, and so are members
-    that no other member could link to, so a large group of near copies costs a few comparisons for each member. What is left after
-    ROUNDS is verified pair by pair, but for pairs already connected. No link that could change a component is left out.
+    Nodes with one prefix and size collapse into a group, named by its least node; members whose set links to that node's stay in the
+    group, the others become groups of their own. Groups with a prefix shingle in common form pairs, which the filters on
+    size, position and all common prefix shingles must pass; then the pair is expanded: the nodes that stand for the groups are
+    verified, and, where these don't link, all other members.
+
+    In each round some groups lead the list of a shingle: those that could link to a leader and aren't yet connected with it form
+    pairs, and the leaders leave the list. Lists that are connected as a whole are done, and so are groups that no other of
+    the list could link to, so a large cluster of near copies costs a few comparisons for each of its groups. The rounds go on,
+    with more leaders each, until no list is left, so no link that could change a component is left out.
     """
-    lists = _token_rows(nodes).checkpoint()
-    labels = None
-    for k in range(ROUNDS + 1):
+    companions = _companions(nodes).checkpoint()
+    links = _verify(companions.select(F.col("group").alias("a"), F.col("node").alias("b")), nodes, chunks).checkpoint()
+    held = links.select(F.col("b").alias("node"), F.col("a").alias("group"))
+    groups = nodes.join(held.select("node"), "node", "left_anti")
+    members = held.unionByName(held.select(F.col("group").alias("node"), "group").distinct())
+    lists = _token_rows(groups).checkpoint()
+    labels, k, times = None, 0, 1
+    while True:
+        if not links.isEmpty():
+            before = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = connected_components(before, "a", "b").checkpoint()
         now = lists.withColumn("component", F.col("node"))
         if labels is not None:
             now = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            now = _undecided(now).checkpoint()
-            if now.isEmpty():
-                break
+        now = _undecided(now).checkpoint()
+        if now.isEmpty():
+            return labels if labels is not None else nodes.select("node", F.col("node").alias("component")).where("1 = 0")
         entry = [*ENTRY, "component"]
-        if k < ROUNDS:
-            first = now.groupBy("token").agg(F.min(F.struct(_leader(k).alias("own"), F.xxhash64("node", F.lit(k)).alias("h"), *entry)).alias("first"))
-            joined = now.join(first, "token").where("node <> first.node").select("token", *entry, *_partner(entry, "first."))
-            pairs = joined.where("component <> component2").where(_possible()).select(F.col("node").alias("a"), "b").distinct()
-            lists = joined.select("token", *ENTRY).checkpoint()
-        else:
-            other = now.select("token", *_partner(entry))
-            pairs = now.join(other, "token").where("node < b and component <> component2").where(_possible()).select(F.col("node").alias("a"), "b").distinct()
-        new = _verify(pairs, nodes, chunks).checkpoint()
-        if labels is not None:
-            if new.isEmpty():
-                continue
-            new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = connected_components(new, "a", "b").checkpoint()
-    return labels
+        leaders = _leaders(now, k, times)
+        met = now.join(leaders, "token").where("node <> leader.node").select("token", *entry, *_partner(entry, "leader.")).where("component <> component2")
+        pairs = met.where(_possible()).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        pairs = _promising(pairs, nodes).checkpoint()
+        links = _verify(pairs, nodes, chunks).checkpoint()
+        rest = pairs.join(links, ["a", "b"], "left_anti")
+        side = lambda c: members.select(F.col("group").alias(c), F.col("node").alias(f"of_{c}"))
+        wide = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where("of_a is not null or of_b is not null")
+        wide = wide.select(F.coalesce("of_a", "a").alias("a2"), F.coalesce("of_b", "b").alias("b2"), "a", "b").where("a2 <> a or b2 <> b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).checkpoint()
+        if not wide.isEmpty():
+            links = links.unionByName(_verify(wide, nodes, chunks)).checkpoint()
+        lists = now.join(leaders.select("token", F.col("leader.node").alias("node")), ["token", "node"], "left_anti").select("token", *ENTRY)
+        k, times = k + 1, times * MORE_LEADERS
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

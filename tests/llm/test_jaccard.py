@@ -55,3 +55,42 @@ def test_against_brute_force(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(docs).collect()}
     assert got == brute(rows)
+
+
+def test_groups_of_one_prefix(spark):
+    """Sets that differ in common shingles alone share prefix and size; some of a group link, some don't."""
+    r = random.Random(7)
+    common = [[f"c{k}x{j}" for j in range(5)] for k in range(60)]
+    rare = [f"r{j}" for j in range(30)]
+    rows = []
+    for k in range(120):
+        some = r.sample(range(60), 6 if k % 3 else 14)
+        rows.append((k, " ".join(rare[: 24 + k % 2] + [w for j in sorted(some) for w in common[j]])))
+    rows += [(1000 + k, " ".join(w for j in r.sample(range(60), 10) for w in common[j])) for k in range(200)]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_large_group_and_long_texts(spark):
+    """Many near copies with edits of their own, in chains, with repeated, null and empty rows, and a text of a million words."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(80)]
+    rows = []
+    for k in range(600):
+        text = list(base)
+        for _ in range(r.randrange(1, 5)):
+            text[r.randrange(80)] = f"e{r.randrange(10**9)}"
+        rows.append((k + 10, " ".join(text)))
+    long = " ".join(f"t{k % 977}x{k}" for k in range(200_000))
+    rows += [(5, long), (6, long + " end"), (7, "a b"), (8, "A  B"), (9, ""), (9000, "complementary " + "ab" * 2000)]
+    docs = spark.createDataFrame([*rows, (7, "a b"), (None, None)], "doc_id long, text string")
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(docs).collect()}
+    assert got == brute(rows) | {(None, 0, None)}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rest = " one two three four"
+    docs = spark.createDataFrame([(1, morse + rest), (2, other + rest)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {1, 2}
