@@ -11,6 +11,7 @@ CONTAINERS = [*ARCHIVES, "pdf", "epub", "csv", "xlsx", "xls", "doc", "docx", "tx
 
 # Families of part tokens in the order in which they are tried, with the confidence each gives.
 FAMILIES = [("part", r"^part[-_ ]?([0-9]{1,4})$", 0.95), ("z", r"^z([0-9]{2,3})$", 0.98), ("r", r"^r([0-9]{2,3})$", 0.98), ("nn", r"^([0-9]{3})$", 0.90), ("nn2", r"^([0-9]{2})$", 0.85), ("vol", r"^vol[-_ ]?([0-9]{1,4})$", 0.85)]
+# A part number inside a name, and what stands before it.
 INLINE = r"(?i)(?:^|[\s_./-])(part[-_ ]?([0-9]{1,4}))(?=[\s_./-]|$)"
 HEAD = r"(?i)^(|.*?[\s_./-])part[-_ ]?[0-9]{1,4}(?=[\s_./-]|$)"
 INLINE_CONFIDENCE = 0.80

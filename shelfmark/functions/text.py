@@ -6,20 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words too common to identify a set.
-STOP_WORDS = """part parts vol volume set the and for with data database db dataset datasets dump dumps files file update updated backup copy
-copies final full complete completa all new latest version ver users user accounts account records record list lists customers customer
-orders order master export exports info stuff batch items notes misc""".split()
-
+STOP_WORDS = [
+    "part", "parts", "vol", "volume", "set", "the", "and", "for", "with", "data", "database", "db", "dataset", "datasets", "dump", "dumps", "files", "file",
+    "update", "updated", "backup", "copy", "copies", "final", "full", "complete", "completa", "all", "new", "latest", "version", "ver", "users", "user",
+    "accounts", "account", "records", "record", "list", "lists", "customers", "customer", "orders", "order", "master", "export", "exports", "info", "stuff",
+    "batch", "items", "notes", "misc",
+]
+#: A dotted token: a host or a name with extensions.
+DOTTED = r"([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+)"
+
+# Marks of repeated uploads at the end of a name.
 NUMBERED = r"[\s_]*\([0-9]+\)\s*$"
 COPIED = r"(?i)[\s_]*(?:copy|backup|original|final|old)[\s_]*[0-9]*\s*$"
-ICU = "com.ibm.icu.text"
 
 
 def fold(text: Column) -> Column:
-    """NFKC and case folding, by the library that Spark brings along; ASCII text takes the short way."""
+    """NFKC and full case folding (ß as ss, final sigma as sigma), by the library that Spark brings along; ASCII text takes the short way."""
     text = F.coalesce(text, F.lit(""))
-    wide = F.lower(F.java_method(F.lit(f"{ICU}.Normalizer"), F.lit("compose"), text, F.lit(True)))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.replace(wide, F.lit("ß"), F.lit("ss"))).otherwise(F.lower(text))
+    plain = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    wide = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), plain, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(F.lower(text))
 
 
 def _peel(s: Column) -> Column:
@@ -53,6 +59,15 @@ def human_size(n: Column) -> Column:
     return out.otherwise(F.format_string("%.1f TB", n / 1024.0**4))
 
 
+def long_size(n: Column) -> Column:
+    """Sizes with thousands separators, up to PB."""
+    n = F.coalesce(n, F.lit(0)).cast("double")
+    out = F.when(n < 1024, F.format_string("%,d B", n.cast("long")))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = out.when(n < 1024.0 ** (k + 1), F.format_string(f"%,.1f {unit}", n / 1024.0**k))
+    return out.otherwise(F.format_string("%,.1f PB", n / 1024.0**5))
+
+
 def flag(code: Column) -> Column:
     """Regional indicators of a two-letter code, else a globe."""
     letter = lambda k: F.decode(F.unhex(F.concat(F.lit("F09F87"), F.hex(F.ascii(F.substring(F.lower(code), k, 1)) - 97 + 0xA6))), "UTF-8")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import DOTTED
+from .summaries import script_country
+
 # A gazetteer is a parameter; this is a small default. code, name, aliases, top levels, cities
 GAZETTEER = [
     ("in", "India", "india", "in", "mumbai delhi bangalore chennai"),
@@ -30,23 +33,43 @@ def gazetteer(spark: SparkSession, rows=GAZETTEER) -> DataFrame:
     return spark.createDataFrame(out, "term string, kind string, code string, name string, rank int, confidence double, level int")
 
 
+# Words that never count as an alias, and words before a phrase that make it another place.
+WEAK_WORDS = ["is", "or", "as", "at", "to", "of", "an", "so", "do", "no", "im", "am", "be"]
+OTHER_PLACE = ["south", "north", "central"]
+# What a second kind of evidence adds.
+BOOST = 0.08
+
+
 def detect_countries(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, code, name, confidence) of the best country of each text that has evidence.
 
-    Words, phrases of up to as many words as the longest of the rule table, and top levels of dotted tokens are exploded and equi-joined to the rule table; each country counts its best
-    level (alias, then top level, then city). A close runner-up caps the confidence at 0.60.
+    Words, phrases of up to as many words as the longest of the rule table, and top levels of dotted tokens are exploded and
+    equi-joined to the rule table; each country counts its best level (alias, then top level, then city). A phrase right after south,
+    north or central counts only where it also stands elsewhere. The script of a text is evidence of its own. A close runner-up
+    caps the confidence at 0.60; beside a runner-up that isn't close, two kinds of evidence add BOOST, up to 0.99.
     """
     t = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     words = F.filter(F.split(F.regexp_replace("text", "[^a-z0-9]+", " "), " "), lambda w: w != "")
     t = t.withColumn("words", words)
     longest = terms.where("kind = 'word'").agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    phrase = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-    phrases = F.concat("words", *[phrase(n) for n in range(2, longest + 1)])
-    tops = F.transform(F.regexp_extract_all("text", F.lit(r"([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+)")), lambda d: F.element_at(F.split(d, r"\."), -1))
-    found = t.select("id", F.explode(F.array_distinct(F.concat(F.transform(phrases, lambda w: F.struct(w.alias("term"), F.lit("word").alias("kind"))), F.transform(tops, lambda w: F.struct(w.alias("term"), F.lit("top").alias("kind")))))).alias("e")).select("id", "e.*")
-    hits = found.join(F.broadcast(terms), ["term", "kind"])
-    each = hits.groupBy("id", "code", "name", "rank").agg(F.min(F.struct("level", (-F.col("confidence")).alias("c"))).alias("best")).withColumn("confidence", -F.col("best.c"))
-    w = Window.partitionBy("id").orderBy(F.desc("confidence"), "rank")
-    ranked = each.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("confidence").over(w)).where("place = 1")
+    entry = lambda term, kind, before: F.struct(term.alias("term"), F.lit(kind).alias("kind"), before.alias("guarded"))
+    no = F.lit(False)
+
+    def phrases(n: int):
+        guarded = lambda i: F.coalesce(F.get("words", i - 1).isin(OTHER_PLACE), no) if n > 1 else no
+        each = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: entry(F.array_join(F.slice("words", i + 1, n), " "), "word", guarded(i)))
+        return F.when(F.size("words") >= n, each).otherwise(F.array().cast("array<struct<term:string,kind:string,guarded:boolean>>"))
+
+    tops = F.transform(F.regexp_extract_all("text", F.lit(DOTTED)), lambda d: entry(F.element_at(F.split(d, r"\."), -1), "top", no))
+    found = t.select("id", F.explode(F.array_distinct(F.concat(*[phrases(n) for n in range(1, longest + 1)], tops))).alias("e")).select("id", "e.*").where("not guarded")
+    hits = found.join(F.broadcast(terms.where(~F.col("term").isin(WEAK_WORDS) | (F.col("kind") != "word"))), ["term", "kind"])
+    each = hits.groupBy("id", "code").agg(F.min(F.struct("level", (-F.col("confidence")).alias("c"))).alias("best")).select("id", "code", (-F.col("best.c")).alias("confidence"))
+    script = t.select("id", script_country(F.col("text")).alias("s")).where("s is not null").select("id", "s.*")
+    both = each.unionByName(script).groupBy("id", "code").agg(F.max("confidence").alias("confidence"), F.count("*").alias("reasons"))
+    names = terms.groupBy("code").agg(F.first("name").alias("name"), F.min("rank").alias("rank"))
+    both = both.join(F.broadcast(names), "code", "left")
+    w = Window.partitionBy("id").orderBy(F.desc("confidence"), F.asc_nulls_last("rank"), "code")
+    ranked = both.withColumn("place", F.row_number().over(w)).withColumn("second", F.lead("confidence").over(w)).where("place = 1")
     close = (F.col("second") >= 0.50) & (F.col("confidence") - F.col("second") < 0.15)
-    return ranked.select("id", "code", "name", F.when(F.coalesce(close, F.lit(False)), F.least("confidence", F.lit(0.60))).otherwise(F.col("confidence")).alias("confidence"))
+    sure = F.when(close, F.least("confidence", F.lit(0.60))).when(F.col("second").isNotNull() & (F.col("reasons") >= 2), F.least(F.lit(0.99), F.col("confidence") + BOOST)).otherwise(F.col("confidence"))
+    return ranked.select("id", "code", "name", F.round(sure, 2).alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_title, unresolvable
+from ..functions.text import DOTTED, fold, safe_title, unresolvable
 from .components import connected_components
 from .scoring import AUTO
 
@@ -13,9 +13,8 @@ from .scoring import AUTO
 def exact_duplicates(files: DataFrame) -> DataFrame:
     """(message_id, canonical, kind, confidence): rows whose file id, or else base, slot and size, an earlier row has."""
     by_id = files.where("file_id is not null").groupBy("file_id").agg(F.min("message_id").alias("first_id"))
-    slot = F.coalesce("label", F.lit("base")) if "label" in files.columns else F.lit("base")
-    f = files.withColumn("slot", slot)
-    named = f.where((F.length("base") >= 2) & F.col("file_size").isNotNull())
+    f = files.withColumn("slot", F.coalesce("part.label", F.lit("base")) if "part" in files.columns else F.lit("base"))
+    named = f.where((F.length("base") >= 2) & (F.col("file_size") > 0))
     by_name = named.groupBy("base", "slot", "file_size").agg(F.min("message_id").alias("first_name"))
     joined = f.join(by_id, "file_id", "left").join(by_name, ["base", "slot", "file_size"], "left")
     one, two = F.col("first_id") < F.col("message_id"), F.col("first_name") < F.col("message_id")
@@ -30,11 +29,12 @@ def group_members(files: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def finalise(files: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """A row for each group: files, parts, gaps, size, confidence, status."""
+    """A row for each group: files, parts, gaps, size, confidence, status, why it needs review, what speaks for it and its weakest link
+    (the least pair of those with the least score) (G1 to G6)."""
     g = members.join(files, "message_id").groupBy("group_id").agg(
         F.count("*").alias("n_files"), F.sum(F.coalesce("file_size", F.lit(0))).alias("total_size"), F.sort_array(F.collect_set("part.number")).alias("numbers"),
         F.min_by("display", "message_id").alias("name"), F.min_by("base", "message_id").alias("norm"), F.bool_or(F.trim("base") != "").alias("named"))
-    counted = links.where("not dup_slot").join(members.withColumnRenamed("message_id", "a"), "a").groupBy("group_id").agg(F.min("score").alias("weakest"), F.count("*").alias("n_links"))
+    counted = links.where("not dup_slot").join(members.withColumnRenamed("message_id", "a"), "a").groupBy("group_id").agg(F.min("score").alias("weakest"), F.count("*").alias("n_links"), F.min(F.struct("score", "a", "b")).alias("link"))
     g = g.join(counted, "group_id", "left")
     n, lo, hi = F.size("numbers"), F.get("numbers", F.lit(0)), F.element_at("numbers", -1)
     g = g.withColumn("partial_start", F.coalesce(~lo.isin(0, 1), F.lit(False)))
@@ -42,7 +42,12 @@ def finalise(files: DataFrame, members: DataFrame, links: DataFrame) -> DataFram
     bonus = F.when((F.col("n_files") > 1) & (n >= 3), F.when(F.col("partial_start"), 0.05).when(F.size("missing") <= 2, 0.08).otherwise(0.0)).otherwise(0.0)
     g = g.withColumn("confidence", F.round(F.least(F.lit(0.99), F.coalesce("weakest", F.lit(1.0)) + bonus), 3))
     weak = F.col("n_links").isNotNull() & (F.col("confidence") < AUTO)
-    return g.withColumn("status", F.when(weak | ~F.col("named") | ((F.col("n_files") == 1) & unresolvable(F.col("norm"))), "REVIEW").otherwise("OK"))
+    bare = ~F.col("named") | ((F.col("n_files") == 1) & unresolvable(F.col("norm")))
+    two = lambda c: F.format_string("%.2f", c)
+    said = F.concat_ws("; ", F.when(weak, F.concat(F.lit("confidence "), two("confidence"), F.lit(f" below {AUTO:.2f}"))), F.when(bare, F.lit("no name beyond a part number")))
+    why = F.concat_ws("; ", F.when(F.col("partial_start") & (n >= 3), F.lit("parts start mid-range")), F.when(~F.col("partial_start") & (n >= 3), F.concat(F.size("missing").cast("string"), F.lit(" parts missing"))),
+        F.when(F.col("n_links").isNotNull(), F.concat(F.lit("weakest link "), two("weakest"), F.lit(" of "), F.col("link.a").cast("string"), F.lit(" and "), F.col("link.b").cast("string"))))
+    return g.withColumn("review_reason", F.nullif(said, F.lit(""))).withColumn("reasons", why).withColumn("status", F.when(weak | bare, "REVIEW").otherwise("OK")).drop("link")
 
 
 def kept_members(members: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -73,11 +78,11 @@ def has_keyword(text: Column, keywords: list[str]) -> Column:
 
 # Word sets of categories, in the order in which they are tried.
 CATEGORIES = [
-    ("Courses / Education", "udemy coursera edx course courses lecture lectures training bootcamp certification tutorial study academy"),
-    ("Books", "book books ebook epub guide manual handbook novel"),
-    ("Software", "setup installer portable crack cracked patch patches apk driver mod repack"),
-    ("Research / Academic", "research academic journal thesis dissertation scientific paper"),
-    ("Databases / Datasets", "database databases db dataset datasets dump dumps sql sqlite csv excel xlsx sqlite3 parquet"),
+    ("Courses / Education", ["udemy", "coursera", "edx", "course", "courses", "lecture", "lectures", "training", "bootcamp", "certification", "tutorial", "study", "academy"]),
+    ("Books", ["book", "books", "ebook", "epub", "guide", "manual", "handbook", "novel"]),
+    ("Software", ["setup", "installer", "portable", "crack", "cracked", "patch", "patches", "apk", "driver", "mod", "repack"]),
+    ("Research / Academic", ["research", "academic", "journal", "thesis", "dissertation", "scientific", "paper"]),
+    ("Databases / Datasets", ["database", "databases", "db", "dataset", "datasets", "dump", "dumps", "sql", "sqlite", "csv", "excel", "xlsx", "sqlite3", "parquet"]),
 ]
 
 
@@ -85,7 +90,7 @@ def category(text: Column, multipart: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"))
     out = None
     for label, known in CATEGORIES:
-        hit = F.arrays_overlap(words, F.array(*map(F.lit, known.split())))
+        hit = F.arrays_overlap(words, F.array(*map(F.lit, known)))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.when(multipart, "Databases / Datasets").otherwise("Miscellaneous")
 
@@ -93,7 +98,7 @@ def category(text: Column, multipart: Column) -> Column:
 def domain(text: Column, services: list[str]) -> Column:
     """struct(name, confidence): a service or a short top level in a dotted token, or a service as a word (C4)."""
     known = F.array(*map(F.lit, sorted(services)))
-    dotted = F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+)"))
+    dotted = F.regexp_extract_all(text, F.lit(DOTTED))
     labels = lambda d: F.split(d, r"\.")
     usable = F.filter(dotted, lambda d: ~F.exists(labels(d), lambda x: F.length(x) == 1) & (F.array_contains(known, F.get(labels(d), F.lit(0))) | F.length(F.element_at(labels(d), -1)).isin(2, 3)))
     first = F.get(usable, F.lit(0))
@@ -104,6 +109,30 @@ def domain(text: Column, services: list[str]) -> Column:
     return F.struct(name.alias("name"), sure.alias("confidence"))
 
 
+def numbered(rows: DataFrame, key: str = "group_id", block: int = 1 << 16) -> DataFrame:
+    """rows with nth, from 0 in the order of their unique keys, counted by blocks of keys and shifted by the blocks before; only the
+    counts of blocks meet in one task."""
+    r = rows.withColumn("block", F.floor(F.col(key) / block))
+    before = F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = r.groupBy("block").count().select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1
+    return r.join(shifts, "block").withColumn("nth", nth).drop("block", "before")
+
+
+def enrich(groups: DataFrame, files: DataFrame, members: DataFrame, patterns: list[str] = HOLD_PATTERNS, keywords: list[str] = (), services: list[str] = ()) -> DataFrame:
+    """groups with held (any member's name or caption matches a pattern), hold_reason (of the first such member), tagged (any name has a
+    keyword), category (of the first member's name) and domain (of the group's base, unless held) (G7)."""
+    f = files.withColumn("folded", fold(F.col("filename")))
+    text = F.concat_ws(" ", "folded", fold(F.col("caption"))) if "caption" in files.columns else F.col("folded")
+    f = f.select("message_id", "filename", "folded", hold_reason(text, patterns).alias("reason"), has_keyword(F.col("folded"), list(keywords)).alias("tag"))
+    first = lambda c: F.min_by(c, "message_id")
+    said = F.when(F.col("reason").isNotNull(), F.concat_ws(": ", "filename", "reason"))
+    g = members.join(f, "message_id").groupBy("group_id").agg(F.min_by(said, F.when(F.col("reason").isNotNull(), F.col("message_id"))).alias("hold_reason"), F.bool_or("tag").alias("tagged"), first("folded").alias("folded"))
+    g = g.withColumn("held", F.col("hold_reason").isNotNull())
+    out = groups.join(g, "group_id").withColumn("category", category(F.col("folded"), F.col("n_files") > 1)).drop("folded")
+    return out.withColumn("domain", F.when(~F.col("held") & (F.col("norm") != ""), domain(F.col("norm"), list(services))["name"]) if services else F.lit(None).cast("string"))
+
+
 def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50) -> DataFrame:
     """groups (with held, ignored, tagged, country, domain) -> label and kind (C10); the smallest data sets beyond ``most_labels`` share
     buckets (H3, H4). Held groups stay held whatever else is true."""
@@ -111,7 +140,7 @@ def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50)
     g = groups.withColumn("kind", kind)
     top = g.where("kind = 'dataset'").orderBy(F.desc("total_size"), "group_id").limit(most_labels).select("group_id", F.lit(True).alias("own"))
     g = g.join(top, "group_id", "left")
-    extra = g.where("kind = 'dataset' and own is null").select("group_id", (F.floor((F.row_number().over(Window.orderBy("group_id")) - 1) / bucket) + 1).alias("bucket"))
+    extra = numbered(g.where("kind = 'dataset' and own is null").select("group_id")).select("group_id", (F.floor(F.col("nth") / bucket) + 1).alias("bucket"))
     g = g.join(extra, "group_id", "left").withColumn("kind", F.when(F.col("bucket").isNotNull(), "overflow").otherwise(F.col("kind")))
     label = F.when(F.col("kind") == "held", "Quarantine").when(F.col("kind") == "review", "Review").when(F.col("kind") == "tagged", "Tagged").when(F.col("kind") == "overflow", F.concat(F.lit("Extra Datasets "), F.col("bucket").cast("string"))).when(F.col("kind") == "dataset", safe_title(F.col("name"))).when(F.col("kind") == "country", F.col("country")).when(F.col("kind") == "domain", F.initcap("domain")).when(F.col("kind") == "misc", "Miscellaneous")
     return g.withColumn("label", label).drop("own", "bucket")

@@ -18,6 +18,7 @@ def compatible(a: Column, b: Column) -> Column:
     return a["family"].eqNullSafe(b["family"]) | (a["container"] == b["container"]) | (a["family"].isNotNull() & b["family"].isNotNull() & loose)
 
 
+# What each kind of evidence adds to a score, and the name weights of score().
 def structure_score(a: Column, b: Column) -> Column:
     """What part numbers and containers add."""
     gap = F.abs(a["number"] - b["number"])
@@ -68,13 +69,15 @@ FIELDS = ("message_id", "base", "file_size", "posted", "media_group")
 
 def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captions: bool = False) -> DataFrame:
     """(a, b, score, dup_slot, kept) of candidate pairs. Without ``fuzzy`` all names must be equal; with neither that nor ``captions``
-    no Python runs."""
+    no Python runs. Scores grow with the likeness of names, so pairs of other names that equal names wouldn't save are left out
+    before any likeness is computed, and each pair of names is compared once."""
     side = files.select(F.struct(*FIELDS, *(["caption"] if captions else []), "part.number", "part.family", "part.container", "part.is_final").alias("f"))
     x = pairs.select("a", "b").join(side.select(F.col("f.message_id").alias("a"), F.col("f").alias("fa")), "a").join(side.select(F.col("f.message_id").alias("b"), F.col("f").alias("fb")), "b")
     fa, fb = F.col("fa"), F.col("fb")
     if fuzzy:
         same = x.where(fa["base"] == fb["base"]).withColumn("name", F.lit(1.0))
-        other = x.where(fa["base"] != fb["base"]).withColumn("base_a", fa["base"]).withColumn("base_b", fb["base"])
+        most = score(fa, fb, F.lit(1.0), 0.05 if captions else 0.0) >= REVIEW
+        other = x.where((fa["base"] != fb["base"]) & most).withColumn("base_a", fa["base"]).withColumn("base_b", fb["base"])
         names = other.select("base_a", "base_b").distinct().withColumn("name", name_similarity(F.col("base_a"), F.col("base_b")))
         x = same.unionByName(other.join(names, ["base_a", "base_b"]).drop("base_a", "base_b"))
     else:

@@ -80,7 +80,7 @@ u as (select *, list_filter(dotted, lambda d: not list_bool_or(list_transform(st
   list_sort(list_filter(words, lambda w: w in ('ththe', 'yandex', 'udemy', 'therhe'))) as known from f)
 select message_id, case when regexp_matches(folded, '(^|[^a-z0-9])tion') then 'tion' when contains(folded, 'held back') then 'held back' when regexp_matches(folded, '(^|[^a-z0-9])leak') then 'leak' end as hold,
  len(list_filter(words, lambda w: starts_with(w, 'fee') or starts_with(w, 'the'))) > 0 as tagged,
- case {" ".join("when len(list_filter(words, lambda w: w in (" + ", ".join(f"'{w}'" for w in k.split()) + f"))) > 0 then '{label}'" for label, k in groups.CATEGORIES)} when message_id % 2 = 0 then 'Databases / Datasets' else 'Miscellaneous' end as category,
+ case {" ".join("when len(list_filter(words, lambda w: w in (" + ", ".join(f"'{w}'" for w in k) + f"))) > 0 then '{label}'" for label, k in groups.CATEGORIES)} when message_id % 2 = 0 then 'Databases / Datasets' else 'Miscellaneous' end as category,
  case when len(ok) > 0 then case when string_split(ok[1], '.')[1] in ('ththe', 'yandex', 'udemy', 'therhe') then string_split(ok[1], '.')[1] else ok[1] end when len(known) > 0 then known[1] end as domain,
  cast(case when len(ok) > 0 then case when string_split(ok[1], '.')[1] in ('ththe', 'yandex', 'udemy', 'therhe') then 0.85 else 0.70 end when len(known) > 0 then 0.80 else 0.0 end as double) as domain_confidence from u"""
 

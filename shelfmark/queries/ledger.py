@@ -66,7 +66,7 @@ SQL = {
 select *, '{{"total":' || total || ',"success":' || success || ',"failed":' || failed || ',"given_up":' || given_up || ',"running":' || running || ',"percent":' || percent || '}}' as payload from p""",
     "daily_pivot": "select strftime(ts, '%Y-%m-%d') as day, count(*) filter (event_type = 'purchase') as done, count(*) filter (event_type = 'error') as failed, count(distinct user_id) as users, count(*) as n from events group by 1",
     "trailing_waits": """select event_id, user_id, count(*) over h as n_hour, round(sum(value) over h, 2) as wait_hour, count(*) over f as n_five,
- cast(case when value >= 60 then 2 when value >= 20 or count(*) filter (value < 20) over h >= 5 then 1 else 0 end as integer) as level from events
+ cast(case when value >= 60 then 2 when value >= 20 or count(*) filter (value < 20) over f >= 5 then 1 else 0 end as integer) as level from events
  window h as (partition by user_id order by ts range between interval 1 hour preceding and current row), f as (partition by user_id order by ts range between interval 5 minutes preceding and current row)""",
     "remaining_work": f"with {STATES_SQL}, l as (select count(*) as n_left from jobs where status <> 'SUCCESS'), s as (select n_left, n_left * 10 as sec from l) select n_left, case when sec // 86400 > 0 then (sec // 86400) || 'd' else '' end || case when sec >= 3600 then (sec % 86400 // 3600) || 'h' else '' end || (sec % 3600 // 60) || 'm' as eta from s",
     "decisions": "select user_id as group_id, case when user_id % 7 = 0 then 'HELD' when last = 'purchase' then 'OK' when last = 'error' then 'IGNORED' else 'REVIEW' end as status from (select user_id, max_by(event_type, event_id) as last from events where event_type in ('purchase', 'click', 'error') group by user_id)",

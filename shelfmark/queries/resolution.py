@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocking, groups, scoring
+from ..functions.parts import with_part
+from ..operators import blocking, groups, planning, scoring
 from ..operators.components import checkpointed, connected_components
-from ..sources.catalog import PARSED_SQL, catalog_docs, parsed_parts
+from ..operators.country import detect_countries, gazetteer
+from ..sources.catalog import PARSED_SQL, catalog_docs, catalog_names, parsed_parts, with_names
 
 
 def slots(files):
@@ -64,11 +66,10 @@ def neighbours(spark, sf):
 
 
 def copies(spark, sf):
-    """Components of the graph that links each document to the one before it with the same text."""
+    """Components of the graph that links each document to the first one with the same text."""
     docs = catalog_docs(spark, sf)
-    least = docs.groupBy("file_id").agg(F.array_sort(F.collect_set("message_id")).alias("ids")).where("size(ids) > 1")
-    edges = least.select(F.explode(F.expr("transform(sequence(0, size(ids) - 2), i -> struct(ids[i] as src, ids[i + 1] as dst))")).alias("e")).select("e.*")
-    return connected_components(edges)
+    least = docs.groupBy("file_id").agg(F.min("message_id").alias("src"), F.count("*").alias("n")).where("n > 1")
+    return connected_components(docs.join(least, "file_id").select("src", F.col("message_id").alias("dst")))
 
 
 def candidates(files):
@@ -78,21 +79,41 @@ def candidates(files):
     return blocking.union_pairs(blocking.exact_base_pairs(files), tokens, blocking.prefiltered(near.select("a", "b").distinct(), files))
 
 
-def resolve(files):
-    """(files, kept links, members, groups) of parsed files of one source."""
+def resolve(files, fuzzy=True):
+    """(files, kept links, members, groups) of parsed files of one source. Without ``fuzzy`` only files of one base are linked."""
     files = slots(files)
-    kept = checkpointed(scoring.scored_pairs(candidates(files), files, fuzzy=True).where("kept"))
+    pairs = candidates(files) if fuzzy else blocking.exact_base_pairs(files)
+    kept = checkpointed(scoring.scored_pairs(pairs, files, fuzzy=fuzzy).where("kept"))
     members = checkpointed(groups.group_members(files, kept))
     return files, kept, members, groups.finalise(files, members, kept)
 
 
+# Rules of the queries: the third part of some orders and nothing else of these sets, names with the word sql, and two words of names.
+HOLDS, KEYWORDS, SERVICES = ["order_[0-9]*4[.]part03", "leak"], ["sql"], ["set", "x"]
+MOST_LABELS = 100
+
+
 def resolved(spark, sf):
-    return resolve(parsed_parts(spark, sf))
+    """Resolution of the catalogue of parts by equal bases. Its names differ by numbers alone, so alike names say nothing there."""
+    return resolve(parsed_parts(spark, sf).select("message_id", "filename", "file_size", "posted", "media_group", "part", "base", "tokens", "display"), fuzzy=False)
+
+
+def enriched(spark, sf):
+    files, _, members, g = resolved(spark, sf)
+    g = groups.enrich(g, files, members, HOLDS, KEYWORDS, SERVICES)
+    g = g.withColumn("status", F.when(F.col("held"), "HELD").otherwise(F.col("status"))).withColumn("ignored", F.lit(False)).withColumn("country", F.lit(None).cast("string"))
+    return files, members, g
+
+
+def labelled(spark, sf):
+    """(files, members, groups with label and kind, exact duplicates)."""
+    files, members, g = enriched(spark, sf)
+    return files, members, groups.assign_labels(g, MOST_LABELS), groups.exact_duplicates(files.withColumn("file_id", F.lit(None).cast("string")))
 
 
 def group_table(spark, sf):
     g = resolved(spark, sf)[3]
-    return g.select("group_id", "n_files", "total_size", F.size("numbers").cast("long").alias("n_parts"), F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "partial_start", "confidence", "status")
+    return g.select("group_id", "name", "n_files", "total_size", F.size("numbers").cast("long").alias("n_parts"), F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "partial_start", "confidence", "status", "review_reason", "reasons")
 
 
 def member_table(spark, sf):
@@ -100,44 +121,123 @@ def member_table(spark, sf):
     return groups.ordered_members(members, files)
 
 
-def labelled(spark, sf):
-    g = resolved(spark, sf)[3]
-    g = g.withColumn("held", groups.hold_reason(F.lower("name"), ["order 1[0-9]?$", "leak"]).isNotNull()).withColumn("ignored", F.lit(False)).withColumn("tagged", F.lit(False))
-    return groups.assign_labels(g.withColumn("country", F.lit(None).cast("string")).withColumn("domain", F.lit(None).cast("string")), most_labels=100)
-
-
 def label_rollup(spark, sf):
-    return labelled(spark, sf).groupBy("kind").agg(F.count("*").alias("n_groups"), F.count_distinct("label").alias("n_labels"), F.sum("n_files").alias("n_files"), F.sum("total_size").alias("total_size"))
+    """Groups and labels of each kind, with the files and bytes that are kept, exact duplicates left out."""
+    files, members, g, dups = labelled(spark, sf)
+    return planning.label_rollup(g, members, files, dups, "kind")
 
 
 def report(spark, sf):
-    g = resolved(spark, sf)[3]
+    g = enriched(spark, sf)[2]
     return g.groupBy("status").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n_files") > 1).alias("n_multi"), F.sum("n_files").alias("n_files"), F.count_if(F.size("missing") > 0).alias("n_with_gaps"))
 
 
+def report_document(spark, sf):
+    """The report as one JSON text."""
+    files, members, g, dups = labelled(spark, sf)
+    return planning.report_document(files, members, g, dups)
+
+
+def archive_estimates(spark, sf):
+    """What each archive (here: region) would take."""
+    files, members, g, dups = labelled(spark, sf)
+    archives = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("long").alias("archive_id"))
+    return planning.archive_estimates(archives, g, members, dups)
+
+
 def review_queue(spark, sf):
-    g = resolved(spark, sf)[3].where("status = 'REVIEW'")
-    return g.select(F.lit("grouping").alias("kind"), "group_id", F.to_json(F.struct("confidence", "n_files")).alias("payload"))
+    g = enriched(spark, sf)[2].where("status = 'REVIEW'")
+    return g.select(F.lit("grouping").alias("kind"), "group_id", F.to_json(F.struct("name", "review_reason", "n_files")).alias("payload"))
 
 
 def index_records(spark, sf):
     """One JSON record for each exportable group; held groups have none."""
-    g = labelled(spark, sf).where("kind <> 'held'")
-    text = F.concat_ws(" ", F.col("name"), F.lit("of"), F.col("n_files").cast("string"), F.lit("files"))
-    return g.select("group_id", F.to_json(F.struct("name", "label", "kind", "n_files", "total_size", F.lower(text).alias("haystack"))).alias("record"))
+    return planning.index_records(labelled(spark, sf)[2]).select("group_id", F.to_json(F.struct("name", "label", "kind", "category", "status", "n_files", "total_size", "haystack")).alias("record"))
 
 
 def search(spark, sf):
-    return index_records(spark, sf).where(F.get_json_object("record", "$.haystack").contains("order 12") & (F.get_json_object("record", "$.kind") == "dataset")).orderBy("group_id").limit(50)
+    found = planning.search(planning.index_records(labelled(spark, sf)[2]), "order 12", kind="dataset", multi=True, sort="size", limit=50)
+    return found.select("group_id", "name", "label", "n_files", "total_size")
 
 
 def top_groups(spark, sf):
     return resolved(spark, sf)[3].select("group_id", "total_size").orderBy(F.desc("total_size"), "group_id").limit(15)
 
 
+def pilot_groups(spark, sf):
+    """The first groups in the order of their first members."""
+    return resolved(spark, sf)[3].select("group_id", "n_files").orderBy("group_id").limit(25)
+
+
+def numeric_ids(spark, sf):
+    """Ids of files whose name starts with a digit, once each."""
+    return parsed_parts(spark, sf).where(F.col("filename").rlike("^[0-9]")).select("message_id").distinct()
+
+
+def destinations(spark, sf):
+    """Where each record (here: the customers of a nation) is in each archive (region); no address where it isn't."""
+    archives = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("long").alias("archive_id"))
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    known = nation.select(F.col("n_regionkey").cast("long").alias("archive_id"), F.col("n_name").alias("label"), F.col("n_nationkey").cast("long").alias("place"))
+    customers = spark.read.parquet(f"{sf}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    records = customers.groupBy(F.col("n_name").alias("label")).agg(F.count("*").alias("n_records"))
+    return planning.with_destinations(records, archives, known)
+
+
+def linked(spark, sf):
+    """Resolution of the catalogue of part names by equal bases, rare tokens and neighbours with alike names, with countries, holds and labels."""
+    files, kept, members, g = resolve(with_names(with_part(catalog_names(spark, sf))))
+    g = groups.enrich(g, files, members, ["qu", "leak"], ["zen"], ["yandex", "udemy"])
+    text = planning.group_texts(files, members)
+    found = detect_countries(text, gazetteer(spark), "group_id").select(F.col("id").alias("group_id"), F.col("name").alias("country_name"), F.col("confidence").alias("country_confidence"))
+    g = g.join(found, "group_id", "left").withColumn("status", F.when(F.col("held"), "HELD").otherwise(F.col("status"))).withColumn("ignored", F.lit(False))
+    return files, members, g.withColumn("country", F.when(F.col("country_confidence") >= 0.75, F.col("country_name")))
+
+
+def linked_groups(spark, sf):
+    g = groups.assign_labels(linked(spark, sf)[2], MOST_LABELS)
+    return g.select("group_id", "name", "n_files", "confidence", "status", "review_reason", "hold_reason", "category", "country_name", "country_confidence", "kind", "label")
+
+
+def linked_review(spark, sf):
+    """Review items of three kinds: groups, alike names of one size, countries that aren't sure."""
+    files, _, g = linked(spark, sf)
+    return planning.review_items(g, files)
+
+
+GROUPS_SQL = f"""{LINKS_SQL}, kept as (select * from links where dup_slot or score >= 0.65), edges as (select a as src, b as dst from kept union all select b, a from kept),
+cc(id, comp) using key (id) as (select distinct src, src from edges union (select u.id, min(v.comp) from recurring.cc u join edges e on e.src = u.id join recurring.cc v on e.dst = v.id where v.comp < u.comp group by u.id)),
+members as (select f.message_id, coalesce(cc.comp, f.message_id) as group_id from files f left join cc on cc.id = f.message_id),
+shown as (select *, substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(part_base, '[\s_-]+', ' ', 'g')), '[\s_]*\([0-9]+\)\s*$', ' '), '(?i)[\s_]*(?:copy|backup|original|final|old)[\s_]*[0-9]*\s*$', ' '), '\s+', ' ', 'g')), 1, 120) as display from files),
+raw as (select group_id, count(*) as n_files, cast(sum(coalesce(file_size, 0)) as bigint) as total_size, list_sort(coalesce(list(distinct number) filter (number is not null), [])) as numbers,
+  arg_min(display, message_id) as name, arg_min(base, message_id) as norm, bool_or(base <> '') as named, arg_min(lower(filename), message_id) as folded,
+  bool_or(regexp_matches(lower(filename), '(^|[^a-z0-9])order_[0-9]*4[.]part03') or regexp_matches(lower(filename), '(^|[^a-z0-9])leak')) as held, bool_or(regexp_matches(lower(filename), '(^|[^a-z0-9])sql')) as tagged
+  from members join shown using (message_id) group by group_id),
+counted as (select group_id, min(score) as weakest, count(*) as n_links, min({{'s': score, 'a': a, 'b': b}}) as link from kept join members on message_id = a where not dup_slot group by group_id),
+gaps as (select *, len(numbers) as n, coalesce(numbers[1] not in (0, 1), false) as partial_start from raw left join counted using (group_id)),
+sure as (select *, case when n > 0 and not partial_start then list_filter(range(numbers[1], numbers[-1] + 1), lambda x: not list_contains(numbers, x)) else [] end as missing from gaps),
+conf as (select *, round(least(0.99, coalesce(weakest, 1.0) + case when n_files > 1 and n >= 3 then case when partial_start then 0.05 when len(missing) <= 2 then 0.08 else 0 end else 0 end), 3) as confidence from sure),
+judged as (select *, coalesce(n_links > 0 and confidence < 0.90, false) as weak, not named or (n_files = 1 and (trim(norm) = '' or regexp_matches(trim(norm), '^part[\s_-]*[0-9]*$'))) as bare from conf),
+groups as (select *, case when weak or bare then 'REVIEW' else 'OK' end as state, nullif(concat_ws('; ', case when weak then 'confidence ' || printf('%.2f', confidence) || ' below 0.90' end, case when bare then 'no name beyond a part number' end), '') as review_reason,
+  concat_ws('; ', case when n >= 3 then case when partial_start then 'parts start mid-range' else len(missing) || ' parts missing' end end, case when n_links > 0 then 'weakest link ' || printf('%.2f', weakest) || ' of ' || link.a || ' and ' || link.b end) as reasons from judged)"""
+LABELS_SQL = f"""{GROUPS_SQL}, kinds as (select *, case when held then 'HELD' else state end as status,
+  case when not held and norm <> '' then case when regexp_matches(norm, '(^| )set( |$)') then 'set' when regexp_matches(norm, '(^| )x( |$)') then 'x' end end as domain,
+  case {" ".join(f"when regexp_matches(folded, '(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)') then '{label}'" for label, words in groups.CATEGORIES)} when n_files > 1 then 'Databases / Datasets' else 'Miscellaneous' end as category from groups),
+first_kinds as (select *, case when held then 'held' when status = 'REVIEW' then 'review' when tagged then 'tagged' when n_files > 1 then 'dataset' when domain is not null then 'domain' else 'misc' end as k from kinds),
+ranked as (select *, case when k = 'dataset' then row_number() over (partition by k order by total_size desc, group_id) end as place from first_kinds),
+bucketed as (select *, case when k = 'dataset' and place > 100 then (row_number() over (partition by k, place > 100 order by group_id) - 1) // 50 + 1 end as bucket from ranked),
+labelled as (select *, case when bucket is not null then 'overflow' else k end as kind, case k when 'held' then 'Quarantine' when 'review' then 'Review' when 'tagged' then 'Tagged' when 'domain' then upper(domain[1]) || domain[2:] when 'misc' then 'Miscellaneous'
+  else case when bucket is not null then 'Extra Datasets ' || bucket else coalesce(nullif(trim(substr(trim(regexp_replace(name, '\s+', ' ', 'g')), 1, 100)), ''), 'Untitled') end end as label from bucketed),
+dups as (select message_id from (select message_id, min(message_id) over (partition by base, coalesce(label, 'base'), file_size) as one from files where length(base) >= 2 and file_size > 0) where one < message_id),
+kept_files as (select m.group_id, f.file_size from members m join files f using (message_id) where m.message_id not in (select message_id from dups)),
+records as (select group_id, name, label, kind, category, status, n_files, total_size, lower(concat_ws(' ', name, category, status, label, 'of ' || n_files || ' files')) as haystack from labelled where kind <> 'held')"""
+
+
 QUERIES = {
     "exact_base_pairs": base_pairs, "pair_scores": links, "token_candidates": token_candidates, "neighbour_pairs": neighbours, "copy_components": copies, "groups": group_table,
-    "group_members": member_table, "label_rollup": label_rollup, "report": report, "review_queue": review_queue, "index_records": index_records, "index_search": search, "top_groups": top_groups,
+    "group_members": member_table, "label_rollup": label_rollup, "report": report, "report_document": report_document, "archive_estimates": archive_estimates, "review_queue": review_queue,
+    "index_records": index_records, "index_search": search, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
+    "linked_groups": linked_groups, "linked_review": linked_review,
 }
 SQL = {
     "exact_base_pairs": f"with {PAIRS_SQL} select a, b from pairs",
@@ -145,4 +245,20 @@ SQL = {
     "token_candidates": TOKENS_SQL,
     "neighbour_pairs": "select a.conv_id, a.turn as a, b.turn as b from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) a join (select *, row_number() over (partition by conv_id order by turn) as r from conversations) b on a.conv_id = b.conv_id and b.r > a.r and b.r <= a.r + 15",
     "copy_components": "select doc_id as node, least as component from (select doc_id, min(doc_id) over (partition by text) as least, count(*) over (partition by text) as n from documents) where n > 1",
+    "groups": f"with recursive {GROUPS_SQL} select group_id, name, n_files, total_size, n as n_parts, array_to_string(missing, ',') as missing, partial_start, cast(confidence as double) as confidence, state as status, review_reason, reasons from groups",
+    "group_members": f"with recursive {GROUPS_SQL} select group_id, cast(row_number() over (partition by group_id order by coalesce(number, 1000000000), message_id) as integer) as seq, message_id from members join files using (message_id)",
+    "label_rollup": f"with recursive {LABELS_SQL} select kind, count(*) as n_groups, count(distinct label) as n_labels, cast(sum(f) as bigint) as n_files, cast(sum(s) as bigint) as total_size from (select kind, label, (select count(*) from kept_files k where k.group_id = l.group_id) as f, (select coalesce(sum(file_size), 0) from kept_files k where k.group_id = l.group_id) as s from labelled l) group by kind",
+    "report": f"with recursive {LABELS_SQL} select status, count(*) as n_groups, count(*) filter (n_files > 1) as n_multi, cast(sum(n_files) as bigint) as n_files, count(*) filter (len(missing) > 0) as n_with_gaps from labelled group by status",
+    "report_document": f"""with recursive {LABELS_SQL}, r as (select sum(n_files) as files, count(*) as g, count(*) filter (n_files > 1) as multi, count(*) filter (status = 'OK') as ok, count(*) filter (status = 'REVIEW') as review,
+ count(*) filter (status = 'HELD') as held, coalesce(sum(n_files) filter (tagged), 0) as tagged, count(distinct {{'k': kind, 'l': label}}) as labels from labelled)
+select '{{"files":' || files || ',"groups":' || g || ',"multipart":' || multi || ',"single":' || (g - multi) || ',"ok":' || ok || ',"review":' || review || ',"held":' || held || ',"tagged_files":' || tagged || ',"duplicates":' || (select count(*) from dups) || ',"labels":' || labels
+ || ',"categories":{{' || (select string_agg('"' || category || '":' || n, ',' order by category) from (select category, count(*) as n from labelled group by category)) || '}}}}' as report from r""",
+    "archive_estimates": f"with recursive {LABELS_SQL} select cast(r_regionkey as bigint) as archive_id, (select count(distinct {{'k': kind, 'l': label}}) from labelled where kind <> 'held') as labels, (select count(*) from kept_files join labelled using (group_id) where kind <> 'held') as kept_files, (select count(*) from labelled where kind in ('dataset', 'overflow')) as summaries from region",
+    "review_queue": f"""with recursive {LABELS_SQL} select 'grouping' as kind, group_id, '{{"name":"' || name || '","review_reason":"' || review_reason || '","n_files":' || n_files || '}}' as payload from labelled where status = 'REVIEW'""",
+    "index_records": f"""with recursive {LABELS_SQL} select group_id, '{{"name":"' || name || '","label":"' || label || '","kind":"' || kind || '","category":"' || category || '","status":"' || status || '","n_files":' || n_files || ',"total_size":' || total_size || ',"haystack":"' || haystack || '"}}' as record from records""",
+    "index_search": f"with recursive {LABELS_SQL} select group_id, name, label, n_files, total_size from records where contains(haystack, 'order 12') and kind = 'dataset' and n_files > 1 order by total_size desc, group_id limit 50",
+    "top_groups": f"with recursive {GROUPS_SQL} select group_id, total_size from groups order by total_size desc, group_id limit 15",
+    "pilot_groups": f"with recursive {GROUPS_SQL} select group_id, n_files from groups order by group_id limit 25",
+    "numeric_ids": f"with {PARSED_SQL} select distinct message_id from files where regexp_matches(filename, '^[0-9]')",
+    "destinations": "select cast(r_regionkey as bigint) as archive_id, n_name as label, n_records, case when n_regionkey = r_regionkey then 'archive/' || r_regionkey || '/' || n_nationkey end as url from (select n_name, n_regionkey, n_nationkey, count(*) as n_records from customer join nation on c_nationkey = n_nationkey group by all) x cross join region",
 }

@@ -74,6 +74,13 @@ def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_SQL = "docs as (select doc_id as message_id, md5(text) as file_id, substr(text, 1, 60) as filename, n_chars as file_size, lang, source from documents)"
 
 
+def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each row of part: its name, with a part number, in the size of the part, posted with its brand."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".part0"), (F.col("p_partkey") % 7 + 1).cast("string"), F.lit(".rar"))
+    return parts.select(F.col("p_partkey").cast("long").alias("message_id"), name.alias("filename"), F.nullif(F.col("p_size").cast("long"), F.lit(0).cast("long")).alias("file_size"), F.lit(None).cast("long").alias("posted"), F.col("p_brand").alias("media_group"))
+
+
 def parsed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_names(with_part(catalog_parts(spark, sf_dir)))
 
@@ -95,7 +102,7 @@ parsed as (select message_id, filename, file_size, posted, media_group,
   case when f is not null then f when inl <> '' then 'part' end as family,
   cast(case when f is not null then regexp_extract(t1, '([0-9]+)$', 1) when inl <> '' then inl end as integer) as number,
   case when f is not null and c is null and lower(toks[-2]) in ({_IN}) then lower(toks[-2]) else c end as container,
-  (f is null and inl = '' and c is not null) as is_final from parts),
+  (f is null and inl = '' and c is not null) as is_final, case when f is not null then t1 when inl <> '' then 'part' || cast(cast(inl as integer) as varchar) end as label from parts),
 peeled as (select *, lower(part_base) as s0 from parsed),
 peel1 as (select *, trim(regexp_replace(regexp_replace(regexp_replace(s0, '[\\s_]*\\([0-9]+\\)\\s*$', ' '), '[\\s_]*(?:copy|backup|original|final|old)[\\s_]*[0-9]*\\s*$', ' '), '\\s+', ' ', 'g')) as s1 from peeled),
 files as (select * exclude (s0, s1), trim(regexp_replace(s1, '[\\s_./()-]+', ' ', 'g')) as base from peel1)"""

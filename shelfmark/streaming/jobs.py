@@ -13,14 +13,40 @@ HOUR, FIVE_MINUTES = 3600, 300
 
 
 def scan_stream(spark: SparkSession, folder: str, schema: str, checkpoint: str, target: str) -> None:
-    """Files that are new in a folder go to a table once: the checkpoint is the offset, and each batch is keyed (A1, K1, K2)."""
+    """Files that are new in a folder go to a log of batches once: the checkpoint is the offset (A1, K1, K2). A batch that is run again
+    overwrites its own part of the log, and read_catalog keeps the latest row of each key over all batches."""
 
-    def merge(batch: DataFrame, epoch: int) -> None:
+    def keep(batch: DataFrame, epoch: int) -> None:
         latest = upsert_latest(shape(batch), ["source_id", "message_id"], F.coalesce(F.col("posted"), F.lit(0)))
         latest.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(folder)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_catalog(spark: SparkSession, target: str) -> DataFrame:
+    """One row for each key of a log of batches: that of the latest batch (K2, A3)."""
+    return upsert_latest(spark.read.parquet(target), ["source_id", "message_id"], F.col("epoch")).drop("epoch")
+
+
+#: A line of a log that tells of a wait: its time, who waited, for how many seconds, for what.
+WAIT_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d+ WARNING \S+ \[(\w+)\] wait (\d+)s \(([^)]*)\)"
+
+
+def wait_events(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(ts, user, seconds, what) of the lines that tell of a wait; others go (K3). Works on streams and tables alike."""
+    part = lambda k: F.regexp_extract(line, WAIT_LINE, k)
+    some = lines.where(F.col(line).rlike(WAIT_LINE))
+    return some.select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").alias("ts"), part(2).alias("user"), part(3).cast("long").alias("seconds"), part(4).alias("what"))
+
+
+def wait_state(events: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(one row with the seconds waited in the hour before now and the latest wait that isn't over, the six latest waits) (K5)."""
+    at = F.to_timestamp(F.lit(now))
+    e = events.withColumn("gone", F.unix_timestamp(at) - F.unix_timestamp("ts")).where("gone >= 0")
+    open_ = (F.col("seconds") - F.col("gone") > 1).alias("open")
+    state = e.agg(F.coalesce(F.sum(F.when(F.col("gone") < HOUR, F.col("seconds"))), F.lit(0)).alias("waited"), F.max_by(F.when(open_, F.struct("user", "what", "seconds", (F.col("seconds") - F.col("gone")).alias("left"))), F.when(open_, F.struct("ts", "user"))).alias("active"))
+    return state, e.orderBy(F.desc("ts"), "user", "what").limit(6).select("ts", "user", "seconds", "what")
 
 
 def pace_stream(events: DataFrame) -> DataFrame:
@@ -47,7 +73,7 @@ def waits(events: DataFrame) -> DataFrame:
     e = events.withColumn("second", F.unix_micros(F.col("ts").cast("timestamp")))
     hour, five = trailing(e, HOUR * 1_000_000), trailing(e, FIVE_MINUTES * 1_000_000)
     e = e.withColumn("n_hour", F.count("*").over(hour)).withColumn("wait_hour", F.round(F.sum("value").over(hour), 2)).withColumn("n_five", F.count("*").over(five))
-    small = F.count_if(F.col("value") < 20).over(hour)
+    small = F.count_if(F.col("value") < 20).over(five)
     return e.withColumn("level", F.when(F.col("value") >= 60, 2).when((F.col("value") >= 20) | (small >= 5), 1).otherwise(0)).select("event_id", "user_id", "n_hour", "wait_hour", "n_five", "level")
 
 

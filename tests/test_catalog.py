@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import similarity
 from shelfmark.functions.parts import with_part
-from shelfmark.operators import blocking, groups, scoring
+from shelfmark.functions.text import fold, long_size
+from shelfmark.operators import blocking, groups, planning, scoring
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.country import detect_countries, gazetteer
 from shelfmark.queries import oracle_sql, queries, resolution
-from shelfmark.sources.catalog import with_names
+from shelfmark.sources.catalog import CATALOG, with_names
 from shelfmark.sources.synthetic import synthetic_catalog
 from shelfmark.streaming import jobs
 
@@ -30,7 +31,7 @@ def test_names(spark):
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
-    for t in ("nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
+    for t in ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(oracle_sql()[name])
     columns = sorted(want.columns)
@@ -134,3 +135,98 @@ def test_phrases_of_three_words(spark):
     terms = gazetteer(spark, [("tz", "Tanzania", "tanzania", "tz", "dar_es_salaam"), ("fr", "France", "france", "fr", "paris")])
     texts = spark.createDataFrame([(1, "port of Dar es Salaam"), (2, "dar salaam"), (3, "es")], "id long, text string")
     assert [(r.id, r.code, r.confidence) for r in detect_countries(texts, terms).collect()] == [(1, "tz", 0.60)]
+
+
+def grouped(spark, rows):
+    """{message ids of each group: (status, parts, missing, partial start, reasons)} of (name, size, time) rows."""
+    raw = spark.createDataFrame([(k + 1, n, size, at, None) for k, (n, size, at) in enumerate(rows)], "message_id long, filename string, file_size long, posted long, media_group string")
+    _, _, members, g = resolution.resolve(with_names(with_part(raw)))
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r.group_id, []).append(r.message_id)
+    return {tuple(sorted(ids[r.group_id])): r for r in g.collect()}
+
+
+GB, NOW = 1_000_000_000, 1_700_000_000
+SETS = [
+    ([f"Alpha.part{k}.rar" for k in range(1, 5)], "OK", [1, 2, 3, 4], [], False),
+    ([f"Alpha.z{k:02}" for k in range(1, 12)], "OK", list(range(1, 12)), [], False),
+    ([f"Alpha.z{k:02}" for k in range(1, 4)] + ["Alpha.zip"], "OK", [1, 2, 3], [], False),
+    (["Alpha.001", "Alpha.002", "Alpha.004", "Alpha.005"], "OK", [1, 2, 4, 5], [3], False),
+    ([f"Alpha.zip.{k:03}" for k in range(4, 8)], "OK", [4, 5, 6, 7], [], True),
+    (["Alpha.zip.001", "Alpha.zip.002", "Alpha.zip.002"], "OK", [1, 2], [], False),
+    (["part1.rar", "part2.rar"], "REVIEW", [1, 2], [], False),
+    (["YAeda.zip.004", "YAeda.zip.005", "YAeda.zip.006", "YAeda.zip.007", "Yandex-EDA-Part-01-SQL.zip"], "REVIEW", [1, 4, 5, 6, 7], [2, 3], False),
+]
+
+
+@pytest.mark.parametrize("names,status,parts,missing,partial", SETS)
+def test_grouping(spark, names, status, parts, missing, partial):
+    got = grouped(spark, [(n, GB, NOW) for n in names])
+    assert list(got) == [tuple(range(1, len(names) + 1))]
+    (r,) = got.values()
+    assert (r.status, r.numbers, r.missing, r.partial_start) == (status, parts, missing, partial)
+    assert "weakest link" in r.reasons
+
+
+def test_what_stays_apart(spark):
+    assert len(grouped(spark, [("harbour.zip", GB, NOW), ("quince ledger.csv", 5, NOW + 3600)])) == 2
+    assert len(grouped(spark, [("data.zip", GB, NOW), ("data.zip", GB // 7, NOW + 10**8)])) == 2
+
+
+def test_any_member_holds_a_group(spark):
+    files = spark.createDataFrame([(1, "Alpha.part1.rar", None), (2, "Alpha.part2.rar", "from a LEAK"), (3, "Beta.part1.rar", None), (4, "Beta password.part2.rar", None), (5, "Gamma.rar", None)], "message_id long, filename string, caption string")
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "message_id long, group_id long")
+    g = spark.createDataFrame([(1, "alpha", 2), (3, "beta", 2), (5, "gamma", 1)], "group_id long, norm string, n_files long")
+    got = {r.group_id: (r.held, r.hold_reason) for r in groups.enrich(g, files, members).collect()}
+    assert got == {1: (True, "Alpha.part2.rar: leak"), 3: (True, "Beta password.part2.rar: password"), 5: (False, None)}
+
+
+def test_marks_and_review_states(spark):
+    dups = spark.createDataFrame([(2, 1, "file_id", 1.0)], "message_id long, canonical long, kind string, confidence double")
+    marks = spark.createDataFrame([(2, 9), (5, 4), (5, 3)], "message_id long, canonical long")
+    assert sorted(tuple(r) for r in planning.with_marks(dups, marks).collect()) == [(2, 1, "file_id", 1.0), (5, 3, "marked", 0.9)]
+    items = spark.createDataFrame([(k, "grouping" if k % 2 else "country") for k in range(1, 7)], "item_id long, kind string")
+    states = spark.createDataFrame([(1, 1, "DONE"), (2, 1, "PENDING"), (3, 3, "DONE")], "decision_id long, item_id long, status string")
+    assert [r.item_id for r in planning.review_list(items, states, kind="grouping").collect()] == [1, 5]
+    assert [r.item_id for r in planning.review_list(items, states, status="DONE").collect()] == [3]
+
+
+def test_tables_are_written_anew(spark, tmp_path):
+    g, m = spark.range(3).withColumnRenamed("id", "group_id"), spark.range(5).withColumnRenamed("id", "message_id")
+    for _ in range(2):
+        planning.write_resolution(g, m, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/groups")).count() == 3 and spark.read.parquet(str(tmp_path / "out/members")).count() == 5
+
+
+def test_scan_keeps_the_latest_row_of_a_key(spark, tmp_path):
+    place = lambda n: str(tmp_path / n)
+    put = lambda rows: spark.createDataFrame(rows, CATALOG).write.mode("append").parquet(place("in"))
+    run = lambda: jobs.scan_stream(spark, place("in"), CATALOG, place("check"), place("log"))
+    put([(1, 1, "f", "a.zip", 5, 10, "m", None, None), (1, 2, "f", "", 0, 10, "m", "", "")])
+    run()
+    put([(1, 1, "f", "b.zip", 6, 11, "m", None, None), (2, 1, "g", "c.zip", 7, 12, "m", None, None)])
+    run()
+    run()
+    got = sorted((r.source_id, r.message_id, r.filename, r.file_size) for r in jobs.read_catalog(spark, place("log")).collect())
+    assert got == [(1, 1, "b.zip", 6), (1, 2, "(no name) 2", None), (2, 1, "c.zip", 7)]
+
+
+def test_waits_of_a_log(spark):
+    lines = ["2024-05-01 10:00:00,120 WARNING svc.net: nothing", "2024-05-01 09:30:00,001 WARNING svc [a1] wait 30s (copy)", "2024-05-01 09:59:50,001 WARNING svc [a2] wait 60s (send)", "2024-05-01 08:00:00,001 WARNING svc [a1] wait 99s (copy)"]
+    events = jobs.wait_events(spark.createDataFrame([(x,) for x in lines], "value string"))
+    state, recent = jobs.wait_state(events, "2024-05-01 10:00:00")
+    r = state.first()
+    assert r.waited == 90 and (r.active.user, r.active.left) == ("a2", 50) and [x.user for x in recent.collect()] == ["a2", "a1", "a1"]
+
+
+def test_evidence_of_countries(spark):
+    rows = [("us", "United States", "united_states america", "us", ""), ("ru", "Russia", "russia", "ru", "moscow"), ("fr", "France", "france", "fr", "paris"), ("in", "India", "india", "in", "")]
+    texts = [(1, "south america"), (2, "north america, america"), (3, "moscow и paris"), (4, "russia и x.in"), (5, "is at do"), (6, "и")]
+    got = {r.id: (r.code, r.confidence) for r in detect_countries(spark.createDataFrame(texts, "id long, text string"), gazetteer(spark, rows)).collect()}
+    assert got == {1: ("us", 0.95), 2: ("us", 0.95), 3: ("ru", 0.55), 4: ("ru", 0.99), 6: ("ru", 0.35)}
+
+
+def test_folding_and_sizes(spark):
+    row = spark.createDataFrame([("Straße ΣΑΣ", 2 * 1024**5)], "t string, n long").select(fold(F.col("t")), long_size(F.col("n")), long_size(F.lit(1023 * 1024**2))).first()
+    assert tuple(row) == ("strasse σασ", "2.0 PB", "1,023.0 MB")
