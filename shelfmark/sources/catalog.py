@@ -75,9 +75,12 @@ DOCS_SQL = "docs as (select doc_id as message_id, md5(text) as file_id, substr(t
 
 
 def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file for each row of part: its name, with a part number, in the size of the part, posted with its brand."""
+    """One file for each row of part: a set for each name and brand, called by a digest of these, every fifth file spelt a little differently;
+    a part number, the size of the part, and its brand as what was posted together."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".part0"), (F.col("p_partkey") % 7 + 1).cast("string"), F.lit(".rar"))
+    own = F.substring(F.md5(F.concat("p_name", "p_brand")), 1, 12)
+    spelt = F.when(F.col("p_partkey") % 5 == 0, F.concat(own, F.lit("s"))).otherwise(own)
+    name = F.concat(spelt, F.lit(".part0"), (F.col("p_partkey") % 7 + 1).cast("string"), F.lit(".rar"))
     return parts.select(F.col("p_partkey").cast("long").alias("message_id"), name.alias("filename"), F.nullif(F.col("p_size").cast("long"), F.lit(0).cast("long")).alias("file_size"), F.lit(None).cast("long").alias("posted"), F.col("p_brand").alias("media_group"))
 
 
