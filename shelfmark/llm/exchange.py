@@ -7,8 +7,10 @@ layout, so answers come back to the chunks without moving a text again. A lost e
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import cached_property
 
 import numpy as np
@@ -92,6 +94,13 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed_checkpoint(rows.mapInArrow(pack, CHUNK_SCHEMA), "chunk")
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Chunk:
     """One row of the chunk table; the texts are unpacked when they are asked for."""
 
@@ -134,6 +143,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, work: Callable[[Chunk, l
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [r for x in left.to_pylist() for r in work(Chunk(x), right.to_pylist())]
+        give_back()
         return pa.table([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow, strict=True)], schema=arrow)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
@@ -144,6 +154,7 @@ def each_bucket(messages: DataFrame, work: Callable[[list[dict]], Iterator[tuple
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(work(table.to_pylist()))
+        give_back()
         return pa.table([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, MESSAGE, strict=True)], schema=MESSAGE)
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE_SCHEMA)

@@ -17,7 +17,7 @@ SHINGLE_WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
 NEED, PARTS = 80, 100
 #: Leaders of a list, one in the first round, grow by this factor from round to round, until all members of a list have led.
-MORE_LEADERS = 8
+MORE_LEADERS = 64
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

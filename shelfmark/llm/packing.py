@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,12 @@ class Encoder:
             yield self._whole(texts[k]) if whole else ids[bounds[k] : bounds[k + 1]]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, ranks: str) -> Encoder:
+    """The encoder of this worker, made once for all of its tasks."""
+    return Encoder(vocabulary, ranks)
+
+
 def best_cuts(bounds: list[int], costs: list[float], length: int) -> list[int]:
     """Cuts 0 = c0 < c1 < ... < total among bounds, at most ``length`` apart, of least padding and cut costs.
 
@@ -216,7 +223,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
         encoder, packer = None, Packer(TaskContext.get().partitionId() << 40, length)
         for b in batches:
-            encoder = encoder or Encoder(*vocabulary)
+            encoder = encoder or encoder_of(*vocabulary)
             docs_, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
             for first, last in steps(texts):
                 for doc, ids in zip(docs_[first:last], encoder.encode(texts[first:last]), strict=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
 def piece_counter(vocabulary: str) -> Callable[[list[bytes]], list[int]]:
     """Token counts of byte strings by the library, without padding, truncation or added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
