@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import arrays as A
+from .exchange import give_back
 from .token_counts import steps
 
 BITS = 18
@@ -120,12 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scored(docs: DataFrame, weights: np.ndarray, text_col: str) -> DataFrame:
     """row (struct of all columns of docs) and score."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)  # the text travels once, inside its row
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(0).field(place).cast(pa.binary()).to_pylist()]
             out = [np.empty(0)]
             for a, b in steps(texts):
                 grams, bounds = ngrams(texts[a:b])
@@ -134,6 +136,7 @@ def _scored(docs: DataFrame, weights: np.ndarray, text_col: str) -> DataFrame:
                 x = np.where(n > 0, total * SCALE / np.maximum(n, 1), 0.0) + model.value[BIAS]
                 out.append(1 / (1 + np.exp(-np.clip(x, -35, 35))))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out))], ["row", "score"])
+        give_back()
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
