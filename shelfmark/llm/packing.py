@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .exchange import give_back
 from .token_counts import steps
 from .unit_cache import UnitCache
 
@@ -29,8 +30,8 @@ BLOCK = 1 << 21
 END_ID, WHOLE = 50256, b"<|endoftext|>"
 #: White space beyond ASCII, as UTF-8; texts with it are encoded as a whole.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Distinct words a worker caches before it starts anew.
-CACHED = 400_000
+#: Distinct words a worker caches before it starts anew; it keeps them from task to task, so the bound is one on what an idle worker holds.
+CACHED = 100_000
 ENDERS = b".!?\n"
 
 
@@ -235,6 +236,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         rows = list(packer.give(True))
         if rows:
             yield batch(rows)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
