@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard_join, packing, quality, secrets, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import chat, decontamination, fingerprints, jaccard_join, packing, quality, ranking, secrets, substring_dedup, suffix_dedup, token_counts, url_filters, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.digest,
         "op9_fingerprints": fingerprints.digest,
         "op10_secret_scans": secrets.digest,
+        "op11_chat_formatting": chat.digest,
+        "op12_ranked_search": ranking.digest,
+        "op13_whitening": whitening.digest,
     }
 
 
