@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
 
-BIG_BLOCK, TOKEN_FILES, NEAR_IDS, NEAR_SECONDS, NEIGHBOURS = 200, 300, 100, 60, 15
+BIG_BLOCK, NEAR_IDS, NEAR_SECONDS, NEIGHBOURS = 200, 100, 60, 15
+#: Files up to which a token, and names up to which a size, is a block of its own; beyond it blocks have a second key.
+TOKEN_FILES, SIZE_FILES = 300, 400
 
 
 def slot_representatives(files: DataFrame, base: str = "base", slot: str = "number") -> DataFrame:
@@ -32,29 +34,77 @@ def exact_base_pairs(files: DataFrame, base: str = "base", slot: str = "number")
     return pairs.unionByName(stars.where("a < b").distinct())
 
 
-def rare_tokens(files: DataFrame) -> DataFrame:
-    """(message_id, token) of tokens that 2 to TOKEN_FILES files have."""
-    every = files.select("message_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return every.join(every.groupBy("token").count().where(F.col("count").between(2, TOKEN_FILES)).select("token"), "token", "left_semi")
+#: Files of a block that one task pairs with each other; larger blocks are cut into cells of this many.
+CELL = 1024
 
 
-def token_pairs(files: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs with a rare token in common, and how many."""
-    t = rare_tokens(files)
-    pairs = t.select("token", F.col("message_id").alias("a")).join(t.select("token", F.col("message_id").alias("b")), "token").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+def block_pairs(keyed: DataFrame, carried: tuple[str, ...] = (), cell: int = CELL) -> DataFrame:
+    """(a, b, and each carried column as c_a, c_b), a < b: the pairs that share a key, rows (key, message_id, *carried). A pair that shares
+    several keys comes once for each.
+
+    A block of more than ``cell`` rows is dealt into parts by a hash of the id, and each two parts meet under a key of their own, so
+    no task pairs more than about ``cell`` rows with as many others, and no pair is left out.
+    """
+    large = keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
+    rows = keyed.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("message_id"), F.col("parts")).cast("int")).otherwise(0))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in carried]
+    left = rows.select("key", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.col("message_id").alias("a"), *side("a"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.col("message_id").alias("b"), *side("b"))
+    met = left.join(right, ["key", "p", "q"]).where("p <> q or a < b")
+    turn = F.col("a") > F.col("b")
+    both = [F.when(turn, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in carried for x, y in (("a", "b"), ("b", "a"))]
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *both)
 
 
 def close_sizes(x: Column, y: Column) -> Column:
     return (x > 0) & (y > 0) & (F.greatest(x, y) - F.least(x, y) <= 0.05 * F.greatest(x, y))
 
 
-def corroborated(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs with two shared tokens, close sizes, dates or ids, or one media group."""
-    f = files.select("message_id", "file_size", "posted", "media_group")
-    side = lambda k: f.select(F.col("message_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("file_size", "posted", "media_group")])
-    ok = (F.col("shared") >= 2) | close_sizes(F.col("file_size_a"), F.col("file_size_b")) | (F.abs(F.col("posted_a") - F.col("posted_b")) <= NEAR_SECONDS) | (F.abs(F.col("a") - F.col("b")) <= NEAR_IDS) | (F.col("media_group_a") == F.col("media_group_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.coalesce(ok, F.lit(False))).select("a", "b", "shared")
+#: Close sizes are in one class or in two next to each other: the classes are a little wider than the logarithm of 1 / 0.95.
+SIZE_CLASS = 0.0514
+
+
+def token_keys(files: DataFrame, most: int = TOKEN_FILES) -> DataFrame:
+    """(key, message_id) such that corroborated files with a common token share a key.
+
+    A token of at most ``most`` files is a key of its own. A more frequent one makes keys only together with what may corroborate a
+    pair: another frequent token, a class of sizes, a minute, a range of ids, a media group, where ranges count with the next one. Keys
+    are hashes; what decides is compared in ``token_pairs``.
+    """
+    every = files.select("message_id", F.explode(F.array_distinct("tokens")).alias("token")).where("token is not null")
+    frequent = every.groupBy("token").count().where(F.col("count") > most).select("token", F.lit(True).alias("hot"))
+    marked = every.join(frequent, "token", "left")
+    single = marked.where("hot is null").select(F.xxhash64(F.lit("token"), "token").alias("key"), "message_id")
+    hot = marked.where("hot").groupBy("message_id").agg(F.sort_array(F.collect_set("token")).alias("hot"))
+    f = hot.join(files.select("message_id", "file_size", "posted", "media_group"), "message_id")
+    step = lambda kind, c: F.array(*[F.xxhash64(F.lit(kind), (c + k).cast("long")) for k in (0, 1)])
+    none = F.array().cast("array<bigint>")
+    class_ = F.floor(F.log(F.col("file_size").cast("double")) / SIZE_CLASS)
+    marks = F.concat(
+        F.when(F.col("file_size") > 0, step("size", class_)).otherwise(none),
+        F.when(F.col("posted").isNotNull(), step("time", F.floor(F.col("posted") / NEAR_SECONDS))).otherwise(none),
+        step("id", F.floor(F.col("message_id") / NEAR_IDS)),
+        F.when(F.col("media_group").isNotNull(), F.array(F.xxhash64(F.lit("group"), "media_group"))).otherwise(none),
+    )
+    with_mark = F.flatten(F.transform("hot", lambda t: F.transform(marks, lambda m: F.xxhash64(t, m))))
+    two = F.flatten(F.transform("hot", lambda t, k: F.transform(F.slice("hot", k + 2, F.size("hot")), lambda u: F.xxhash64(t, F.lit("and"), u))))
+    extended = f.select(F.explode(F.concat(with_mark, two)).alias("key"), "message_id")
+    return single.unionByName(extended)
+
+
+def token_pairs(files: DataFrame, most: int = TOKEN_FILES, cell: int = CELL) -> DataFrame:
+    """(a, b, shared): pairs with a common token, corroborated by a second one, close sizes, dates or ids, or one media group.
+
+    Tokens of any frequency count. Only pairs that share a key are made; of a frequent token's files those alone that something else speaks for.
+    """
+    carried = ("tokens", "file_size", "posted", "media_group")
+    own = files.select("message_id", F.array_distinct("tokens").alias("tokens"), "file_size", "posted", "media_group")
+    pairs = block_pairs(token_keys(files, most).distinct().join(own, "message_id"), carried, cell)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    near = close_sizes(F.col("file_size_a"), F.col("file_size_b")) | (F.abs(F.col("posted_a") - F.col("posted_b")) <= NEAR_SECONDS) | (F.abs(F.col("a") - F.col("b")) <= NEAR_IDS) | (F.col("media_group_a") == F.col("media_group_b"))
+    ok = (F.col("shared") >= 2) | ((F.col("shared") >= 1) & F.coalesce(near, F.lit(False)))
+    return pairs.where(ok).groupBy("a", "b").agg(F.max("shared").cast("long").alias("shared"))
 
 
 def neighbour_pairs(files: DataFrame, scope: str, order: str, reach: int = NEIGHBOURS) -> DataFrame:
@@ -89,12 +139,84 @@ def prefiltered(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return x.where("sure").select("a", "b").unionByName(long.join(alike, ["lead_a", "lead_b"], "left_semi").select("a", "b"))
 
 
-def same_size_pairs(files: DataFrame, most: int = 400) -> DataFrame:
-    """(a, b): pairs of one size in blocks of 2 to ``most`` files with other, non-empty names."""
-    sizes = files.where("file_size is not null").groupBy("file_size").count().where(F.col("count").between(2, most)).select("file_size")
-    few = files.join(sizes, "file_size", "left_semi").select("file_size", "message_id", "filename")
-    pairs = few.select("file_size", F.col("message_id").alias("a"), F.col("filename").alias("name_a")).join(few.select("file_size", F.col("message_id").alias("b"), F.col("filename").alias("name_b")), "file_size")
-    return pairs.where("a < b and name_a <> name_b and name_a <> '' and name_b <> ''").select("a", "b", "name_a", "name_b")
+#: The likeness from which two names of one size are worth a look.
+ALIKE = 0.90
+
+
+def edits(length: Column) -> Column:
+    """Edits that a name of this length, the longer one of a pair, may have at a likeness of ALIKE (whole numbers, rounded down)."""
+    return F.floor((length * 100 - length * int(ALIKE * 100)) / 100).cast("int")
+
+
+def _segments(length: Column, k: Column) -> Column:
+    """array<struct(nth, start, size)>: k + 1 stretches of a name of this length, starts from 0, the last ones a letter longer."""
+    n = k + 1
+    short = F.floor(length / n).cast("int")
+    longer = (length - short * n).cast("int")
+    at = lambda i: i * short + F.greatest(F.lit(0), i - (n - longer))
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("nth"), at(i).cast("int").alias("start"), (short + F.when(i >= n - longer, 1).otherwise(0)).alias("size")))
+
+
+def segment_pairs(names: DataFrame) -> DataFrame:
+    """(scope, x, y): pairs of distinct names of one scope within the edits that the longer one may have, and perhaps others.
+
+    A name is cut into one stretch more than a pair with it may have edits, so one stretch at least is whole in the other name, at most that
+    many letters away (Li, Deng, Wang and Feng, PVLDB 2011). Names meet by scope, length, number and text of a stretch, never by the scope
+    alone. names: (scope, name), distinct. Names too short for any edit have no partner but themselves.
+    """
+    n = names.withColumn("n", F.length("name"))
+    # the shorter one is cut; the longest partner it may have decides on the number of stretches
+    longest = F.floor(F.col("n") * 100 / int(ALIKE * 100)).cast("int")
+    cut = n.withColumn("k", edits(longest)).where("k > 0")
+    own = cut.select("scope", F.col("name").alias("x"), "n", F.explode(_segments(F.col("n"), F.col("k"))).alias("s"))
+    own = own.select("scope", "x", "n", F.col("s.nth").alias("nth"), F.expr("substring(x, s.start + 1, s.size)").alias("piece"))
+    # the longer one offers, for each length of a shorter one, what may equal its stretches
+    probe = n.withColumn("most", edits(F.col("n"))).where("most > 0").select("scope", F.col("name").alias("y"), F.col("n").alias("m"), "most", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("most")), "n")).alias("n"))
+    probe = probe.withColumn("k", edits(F.floor(F.col("n") * 100 / int(ALIKE * 100)).cast("int"))).where("k > 0").withColumn("s", F.explode(_segments(F.col("n"), F.col("k"))))
+    # a whole stretch after i others with an edit each: what is before it moves by i at most, what is behind it by what is left
+    gap, i = F.col("m") - F.col("n"), F.col("s.nth")
+    low = F.greatest(F.lit(0), F.col("s.start") - i, F.col("s.start") + gap - (F.col("k") - i))
+    high = F.least(F.col("m") - F.col("s.size"), F.col("s.start") + i, F.col("s.start") + gap + (F.col("k") - i))
+    probe = probe.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    probe = probe.select("scope", "y", "n", "s.nth", F.expr("substring(y, at + 1, s.size)").alias("piece")).distinct()
+    met = own.join(probe, ["scope", "n", "nth", "piece"]).where("x <> y")
+    return met.select("scope", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def names_of_sizes(files: DataFrame, name: str = "base") -> DataFrame:
+    """(file_size, name, id, files): the non-empty names of each size, with the least id and the number of their files."""
+    named = files.where(F.col("file_size").isNotNull() & (F.col(name) != ""))
+    return named.groupBy("file_size", F.col(name).alias("name")).agg(F.min("message_id").alias("id"), F.count("*").alias("files"))
+
+
+def all_of_one_size(names: DataFrame, cell: int = CELL) -> DataFrame:
+    """(file_size, a, b, name_a, name_b, n_a, n_b): all pairs of names of one size, large sizes in cells."""
+    rows = names.select(F.col("file_size").alias("key"), F.col("id").alias("message_id"), "name", "file_size", "files")
+    pairs = block_pairs(rows, ("name", "file_size", "files"), cell)
+    return pairs.select(F.col("file_size_a").alias("file_size"), "a", "b", "name_a", "name_b", F.col("files_a").alias("n_a"), F.col("files_b").alias("n_b"))
+
+
+def same_size_pairs(files: DataFrame, most: int = SIZE_FILES, cell: int = CELL, name: str = "base") -> DataFrame:
+    """(file_size, a, b, name_a, name_b, n_a, n_b, likeness): pairs of alike, unequal, non-empty names of one size.
+
+    Files of one size and name are one entry: their least id and how many they are. Sizes with at most ``most`` names are compared directly, those
+    with more through the stretches of ``segment_pairs``; both find every pair with a likeness (1 - edits / longer length) of ALIKE.
+    """
+    names = names_of_sizes(files, name)
+    sizes = names.groupBy("file_size").count().where("count > 1").select("file_size", (F.col("count") > most).alias("many"))
+    n = names.join(sizes, "file_size")
+    few = all_of_one_size(n.where("not many"), cell)
+    large = n.where("many")
+    met = segment_pairs(large.select(F.col("file_size").alias("scope"), "name")).withColumnRenamed("scope", "file_size")
+    side = lambda c, k: large.select("file_size", F.col("name").alias(c), F.col("id").alias(f"id_{k}"), F.col("files").alias(f"f_{k}"))
+    met = met.join(side("x", 1), ["file_size", "x"]).join(side("y", 2), ["file_size", "y"])
+    turn = F.col("id_1") > F.col("id_2")
+    pick = lambda p, q: F.when(turn, F.col(q)).otherwise(F.col(p))
+    met = met.select("file_size", F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"), pick("x", "y").alias("name_a"), pick("y", "x").alias("name_b"), pick("f_1", "f_2").alias("n_a"), pick("f_2", "f_1").alias("n_b"))
+    every = few.unionByName(met)
+    longer = F.greatest(F.length("name_a"), F.length("name_b"))
+    every = every.withColumn("d", F.expr("levenshtein(name_a, name_b, cast(floor(greatest(length(name_a), length(name_b)) * (100 - %d) / 100) as int))" % int(ALIKE * 100))).where("d >= 0")
+    return every.withColumn("likeness", F.round(1 - F.col("d") / longer, 6)).drop("d")
 
 
 def union_pairs(*paths: DataFrame) -> DataFrame:

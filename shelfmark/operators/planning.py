@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import weighted_ratio
-from .blocking import same_size_pairs
+from .blocking import all_of_one_size, names_of_sizes
 from .groups import kept_members
 
 # Country confidences that need a look, and the likeness of names that do.
@@ -79,14 +79,15 @@ def group_texts(files: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def review_items(groups: DataFrame, files: DataFrame) -> DataFrame:
-    """(kind, group_id, message_id, payload) of groups that need a look, alike names of one size, and countries that aren't sure."""
+    """(kind, group_id, message_id, payload) of groups that need a look, alike names of one size (the first file of each, and how many
+    have the name), and countries that aren't sure (J4)."""
     none = F.lit(None).cast("long")
     grouping = groups.where("status = 'REVIEW'").select(F.lit("grouping").alias("kind"), "group_id", none.alias("message_id"), F.to_json(F.struct("name", "confidence", "review_reason", "n_files")).alias("payload"))
     unsure = groups.where(f"status = 'OK' and country_confidence >= {UNSURE} and country_confidence < {SURE}")
     country = unsure.select(F.lit("country").alias("kind"), "group_id", none.alias("message_id"), F.to_json(F.struct("name", "country_name", "country_confidence")).alias("payload"))
-    pairs = same_size_pairs(files.select("message_id", "file_size", F.col("base").alias("filename")))
+    pairs = all_of_one_size(names_of_sizes(files))
     names = pairs.select("name_a", "name_b").distinct().withColumn("likeness", F.round(weighted_ratio(F.col("name_a"), F.col("name_b")), 3)).where(F.col("likeness") >= ALIKE)
-    alike = pairs.join(names, ["name_a", "name_b"]).select(F.lit("duplicate").alias("kind"), none.alias("group_id"), F.col("a").alias("message_id"), F.to_json(F.struct("a", "b", "likeness")).alias("payload"))
+    alike = pairs.join(names, ["name_a", "name_b"]).select(F.lit("duplicate").alias("kind"), none.alias("group_id"), F.col("a").alias("message_id"), F.to_json(F.struct("a", "b", "n_a", "n_b", "likeness")).alias("payload"))
     return grouping.unionByName(country).unionByName(alike)
 
 

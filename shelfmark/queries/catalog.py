@@ -42,7 +42,7 @@ def doc_fingerprints(spark, sf):
     return d.select(F.concat_ws(":", "kind", F.col("canonical").cast("string")).alias("fingerprint"), F.col("message_id").alias("duplicate"))
 
 
-DUP_SQL = f"""{DOCS_SQL}, based as (select *, trim(lower(filename)) as base from docs),
+DUP_SQL = f"""{DOCS_SQL}, based as (select *, trim(lower(whole)) as base from docs),
 firsts as (select *, min(message_id) over (partition by file_id) as one,
   case when length(base) >= 2 and file_size is not null then min(message_id) over (partition by base, file_size) end as two from based),
 dups as (select message_id, case when one < message_id then one else two end as canonical, case when one < message_id then 'file_id' else 'name_slot' end as kind,
@@ -99,9 +99,13 @@ select code, name, cast(confidence as double) as confidence, count(*) as n from
 
 
 def size_candidates(spark, sf):
-    docs = catalog_docs(spark, sf).withColumn("filename", F.regexp_replace("filename", r"[^\x00-\x7F]", "?"))
-    pairs = blocking.same_size_pairs(docs)
-    return pairs.select("a", "b", F.round(levenshtein_ratio(F.col("name_a"), F.col("name_b")), 6).alias("likeness"))
+    """Names of one size that differ in at most a tenth of their letters, in the catalogue of parts."""
+    return blocking.same_size_pairs(parsed_parts(spark, sf))
+
+
+SIZE_SQL = f"""with {PARSED_SQL}, n as (select file_size, base, min(message_id) as id, count(*) as files from files where file_size is not null and base <> '' group by all)
+select x.file_size, x.id as a, y.id as b, x.base as name_a, y.base as name_b, x.files as n_a, y.files as n_b, round(1 - levenshtein(x.base, y.base) / cast(greatest(length(x.base), length(y.base)) as double), 6) as likeness
+from n x join n y on x.file_size = y.file_size and x.id < y.id where levenshtein(x.base, y.base) * 10 <= greatest(length(x.base), length(y.base))"""
 
 
 def fuzzy_names(spark, sf):
@@ -127,7 +131,6 @@ def keys_and_flags(spark, sf):
     return nation.select("n_name", stable_key(F.col("n_name")).alias("key"), flag(F.substring("n_name", 1, 2)).alias("flag"))
 
 
-ASCII_NAME = r"regexp_replace(substr(text, 1, 60), '[^\x00-\x7F]', '?', 'g') as"
 QUERIES = {
     "parsed_parts": parsed, "incomplete_sets": incomplete_sets, "doc_duplicates": doc_duplicates, "doc_fingerprints": doc_fingerprints, "kept_docs": kept_docs,
     "sizes_and_titles": sizes, "rules": rules, "country_evidence": country_docs, "same_size_candidates": size_candidates, "fuzzy_names": fuzzy_names,
@@ -140,7 +143,7 @@ SQL = {
     "doc_fingerprints": f"with {DUP_SQL} select kind || ':' || canonical as fingerprint, message_id as duplicate from dups",
     "kept_docs": f"with {DUP_SQL} select source, count(*) as n_files, cast(sum(file_size) as bigint) as total_size from docs where message_id not in (select message_id from dups) group by source",
     "sizes_and_titles": SIZES_SQL, "rules": RULES_SQL, "country_evidence": COUNTRY_SQL,
-    "same_size_candidates": f"with {DOCS_SQL.replace('substr(text, 1, 60) as', ASCII_NAME)}, s as (select file_size from docs group by file_size having count(*) between 2 and 400) select a.message_id as a, b.message_id as b, round(1 - levenshtein(a.filename, b.filename) / cast(greatest(length(a.filename), length(b.filename), 1) as double), 6) as likeness from docs a join docs b on a.file_size = b.file_size and a.message_id < b.message_id join s on s.file_size = a.file_size where a.filename <> b.filename and a.filename <> '' and b.filename <> ''",
+    "same_size_candidates": SIZE_SQL,
     "latest_by_source": f"with {DOCS_SQL} select source, lang, max(message_id) as message_id, max_by(file_size, message_id) as file_size from docs group by source, lang",
     "column_counts": f"with {DOCS_SQL} select source, count(*) as n, count(distinct file_id) as n_texts, string_agg(distinct lang, ',' order by lang) as langs from docs group by source",
 }

@@ -47,15 +47,14 @@ links as (select a, b, round(cast(case when dup then greatest(0.5, nm + 0.1) els
 
 
 def token_candidates(spark, sf):
-    """Part names that share a rare word, with close sizes or two words."""
+    """Part names that share a word, and another one, or have close sizes or ids, or one brand. Each word is in a twelfth of the names."""
     parts = spark.read.parquet(f"{sf}/part.parquet")
     files = parts.select(F.col("p_partkey").alias("message_id"), F.split("p_name", " ").alias("tokens"), F.col("p_size").cast("long").alias("file_size"), F.lit(None).cast("long").alias("posted"), F.col("p_brand").alias("media_group"))
-    return blocking.corroborated(blocking.token_pairs(files), files)
+    return blocking.token_pairs(files)
 
 
 TOKENS_SQL = """with t as (select distinct p_partkey as id, unnest(string_split(p_name, ' ')) as token from part),
-rare as (select token from t group by token having count(*) between 2 and 300),
-p as (select a.id as a, b.id as b, count(*) as shared from t a join t b on a.token = b.token and a.id < b.id where a.token in (select token from rare) group by all)
+p as (select a.id as a, b.id as b, count(*) as shared from t a join t b on a.token = b.token and a.id < b.id group by all)
 select p.a, p.b, p.shared from p join part x on x.p_partkey = p.a join part y on y.p_partkey = p.b
 where shared >= 2 or abs(x.p_size - y.p_size) <= 0.05 * greatest(x.p_size, y.p_size) or abs(p.a - p.b) <= 100 or x.p_brand = y.p_brand"""
 
@@ -73,8 +72,8 @@ def copies(spark, sf):
 
 
 def candidates(files):
-    """Pairs of equal bases, of shared rare tokens and of neighbours in the order of ids, once each."""
-    tokens = blocking.corroborated(blocking.token_pairs(files), files)
+    """Pairs of equal bases, of shared tokens and of neighbours in the order of ids, once each."""
+    tokens = blocking.token_pairs(files)
     near = blocking.neighbour_pairs(blocking.in_windows(files.select("message_id"), "message_id"), "scope", "message_id")
     return blocking.union_pairs(blocking.exact_base_pairs(files), tokens, blocking.prefiltered(near.select("a", "b").distinct(), files))
 

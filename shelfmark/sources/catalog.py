@@ -68,10 +68,10 @@ def catalog_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plain = F.trim(F.lower("text"))
     whole = F.when(F.length(plain) >= 2, F.md5(plain)).otherwise(plain).alias("whole")
-    return docs.select(F.col("doc_id").alias("message_id"), F.md5("text").alias("file_id"), F.substring("text", 1, 60).alias("filename"), F.col("n_chars").alias("file_size"), "lang", "source", whole)
+    return docs.select(F.col("doc_id").alias("message_id"), F.md5("text").alias("file_id"), F.col("n_chars").alias("file_size"), "lang", "source", whole)
 
 
-DOCS_SQL = "docs as (select doc_id as message_id, md5(text) as file_id, substr(text, 1, 60) as filename, n_chars as file_size, lang, source from documents)"
+DOCS_SQL = "docs as (select doc_id as message_id, md5(text) as file_id, text as whole, n_chars as file_size, lang, source from documents)"
 
 
 def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
