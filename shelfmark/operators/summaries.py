@@ -76,7 +76,16 @@ def overlay(groups: DataFrame, decisions: DataFrame) -> DataFrame:
     return groups.join(d, "group_id", "left").withColumn("status", status).drop("decided")
 
 
+# Scripts that hint at a country, and how much.
+SCRIPTS = [("ru", "[\u0400-\u04ff]", 0.35), ("in", "[\u0900-\u097f]", 0.35), ("il", "[\u0590-\u05ff]", 0.40)]
+
+
+def script_countries(text: Column) -> Column:
+    """array<struct(code, confidence)> of all that the scripts of a text hint at (C5e): Cyrillic, Devanagari, Hebrew."""
+    hint = lambda code, pattern, sure: F.when(text.rlike(pattern), F.struct(F.lit(code).alias("code"), F.lit(sure).alias("confidence")))
+    return F.array_compact(F.array(*[hint(*s) for s in SCRIPTS]))
+
+
 def script_country(text: Column) -> Column:
-    """struct(code, confidence) that the script of a text hints at (C5e): Cyrillic, Devanagari, Hebrew; null without one."""
-    hint = lambda code, sure: F.struct(F.lit(code).alias("code"), F.lit(sure).alias("confidence"))
-    return F.when(text.rlike(r"[Ѐ-ӿ]"), hint("ru", 0.35)).when(text.rlike(r"[ऀ-ॿ]"), hint("in", 0.35)).when(text.rlike(r"[֐-׿]"), hint("il", 0.40))
+    """The strongest of these hints, the first of equal ones; null without any."""
+    return F.reduce(script_countries(text), F.lit(None).cast("struct<code:string,confidence:double>"), lambda best, s: F.when(best.isNull() | (s["confidence"] > best["confidence"]), s).otherwise(best))

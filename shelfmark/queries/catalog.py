@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import indel_ratio, levenshtein_ratio, partial_ratio, token_set_ratio, weighted_ratio
 from ..functions.text import bar, colour, eta, flag, fold, human_size, safe_title, stable_key
 from ..operators import blocking, groups
-from ..operators.country import detect_countries, gazetteer
+from ..operators.country import GAZETTEER, detect_countries, gazetteer
 from ..sources.catalog import DOCS_SQL, PARSED_SQL, catalog_docs, parsed_parts, upsert_latest
 
 SERVICES = ["ththe", "yandex", "udemy", "therhe"]
@@ -85,17 +85,32 @@ select message_id, case when regexp_matches(folded, '(^|[^a-z0-9])tion') then 't
  cast(case when len(ok) > 0 then case when string_split(ok[1], '.')[1] in ('ththe', 'yandex', 'udemy', 'therhe') then 0.85 else 0.70 end when len(known) > 0 then 0.80 else 0.0 end as double) as domain_confidence from u"""
 
 
-def country_docs(spark, sf):
-    """Evidence in the first words of documents; languages' own names of places are injected by a column, so every kind occurs."""
-    docs = catalog_docs(spark, sf)
-    town = F.element_at(F.array(*map(F.lit, ["paris", "new york", "spain", "usa", "south korea", "shop.de", "berlin france", "nothing"])), (F.col("message_id") % 8 + 1).cast("int"))
-    t = docs.select(F.col("message_id").alias("id"), F.concat_ws(" ", F.lit("x"), town, F.lit("y")).alias("text"))
-    return detect_countries(t, gazetteer(spark)).groupBy("code", "name", "confidence").agg(F.count("*").alias("n"))
+#: The gazetteer, and two places called by words that the invented prose of the tables has, so that every level of evidence occurs.
+PLACES = [*GAZETTEER, ("xa", "Exland", "thin_the the_estion", "com 0", "heed thntre"), ("xb", "Wyland", "ble essen thntr", "net", "thheed ntre"), ("xc", "Zedland", "mente_del laosb", "org 12", "estion_the raque")]
 
 
-COUNTRY_SQL = """with t as (select doc_id % 8 as k from documents),
-v(k, code, name, confidence) as (values (0, 'fr', 'France', 0.55), (1, 'us', 'United States', 0.60), (2, 'es', 'Spain', 0.95), (3, 'us', 'United States', 0.80), (4, 'kr', 'South Korea', 0.95), (5, 'de', 'Germany', 0.70), (6, 'fr', 'France', 0.95))
-select code, name, cast(confidence as double) as confidence, count(*) as n from t join v on t.k = v.k group by all"""
+def country_docs(spark, sf):
+    """The country that each whole document speaks of, for those that speak of one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return detect_countries(docs, gazetteer(spark, PLACES), "doc_id").withColumnRenamed("id", "doc_id")
+
+
+_ENTRIES = [(a.replace("_", " "), "word", code, rank, (0.95 if "_" in a or len(a) >= 4 else 0.80), 1) for rank, (code, _, aliases, _, _) in enumerate(PLACES) for a in aliases.split()]
+_ENTRIES += [(t, "top", code, rank, 0.70, 2) for rank, (code, _, _, tops, _) in enumerate(PLACES) for t in tops.split()]
+_ENTRIES += [(c.replace("_", " "), "word", code, rank, (0.60 if "_" in c else 0.55), 3) for rank, (code, _, _, _, cities) in enumerate(PLACES) for c in cities.split()]
+COUNTRY_SQL = rf"""with terms(term, kind, code, rank, confidence, level) as (values {", ".join(f"('{t}', '{k}', '{c}', {r}, {f}::double, {n})" for t, k, c, r, f, n in _ENTRIES)}),
+names(code, name) as (values {", ".join(f"('{p[0]}', '{p[1]}')" for p in PLACES)}, ('ru', null), ('il', null)),
+t as (select doc_id, lower(text) as s, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w from documents),
+spots as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
+grams as (select doc_id, w[i] as term, false as guarded from spots union all select doc_id, w[i] || ' ' || w[i + 1], coalesce(w[i - 1] in ('south', 'north', 'central') and i > 1, false) from spots where i < len(w)),
+tops as (select doc_id, string_split(d, '.')[-1] as term from (select doc_id, unnest(regexp_extract_all(s, '[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+')) as d from t)),
+hits as (select doc_id, code, level, confidence from grams join terms using (term) where kind = 'word' and not guarded union select doc_id, code, level, confidence from tops join terms using (term) where kind = 'top'),
+best as (select doc_id, code, arg_min(confidence, level * 10 - confidence) as confidence from hits group by all),
+scripts as (select doc_id, 'ru' as code, 0.35 as confidence from t where regexp_matches(s, '[\x{{0400}}-\x{{04FF}}]') union all select doc_id, 'in', 0.35 from t where regexp_matches(s, '[\x{{0900}}-\x{{097F}}]') union all select doc_id, 'il', 0.40 from t where regexp_matches(s, '[\x{{0590}}-\x{{05FF}}]')),
+evidence as (select doc_id, code, max(confidence) as confidence, count(*) as reasons from (select * from best union all select * from scripts) group by all),
+ranked as (select *, row_number() over v as place, lead(confidence) over v as second from evidence left join (select code, min(rank) as rank from terms group by code) using (code) window v as (partition by doc_id order by confidence desc, rank nulls last, code))
+select doc_id, code, name, cast(round(case when second >= 0.50 and confidence - second < 0.15::double then least(confidence, 0.60) when second is not null and reasons >= 2 then least(0.99, confidence + 0.08) else confidence end, 2) as double) as confidence
+from ranked left join names using (code) where place = 1"""
 
 
 def size_candidates(spark, sf):

@@ -204,7 +204,7 @@ def linked_review(spark, sf):
     return planning.review_items(g, files)
 
 
-GROUPS_SQL = f"""{LINKS_SQL}, kept as (select * from links where dup_slot or score >= 0.65), edges as (select a as src, b as dst from kept union all select b, a from kept),
+GROUPS_SQL = rf"""{LINKS_SQL}, kept as (select * from links where dup_slot or score >= 0.65), edges as (select a as src, b as dst from kept union all select b, a from kept),
 cc(id, comp) using key (id) as (select distinct src, src from edges union (select u.id, min(v.comp) from recurring.cc u join edges e on e.src = u.id join recurring.cc v on e.dst = v.id where v.comp < u.comp group by u.id)),
 members as (select f.message_id, coalesce(cc.comp, f.message_id) as group_id from files f left join cc on cc.id = f.message_id),
 shown as (select *, substr(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(part_base, '[\s_-]+', ' ', 'g')), '[\s_]*\([0-9]+\)\s*$', ' '), '(?i)[\s_]*(?:copy|backup|original|final|old)[\s_]*[0-9]*\s*$', ' '), '\s+', ' ', 'g')), 1, 120) as display from files),
@@ -219,7 +219,7 @@ conf as (select *, round(least(0.99, coalesce(weakest, 1.0) + case when n_files
 judged as (select *, coalesce(n_links > 0 and confidence < 0.90, false) as weak, not named or (n_files = 1 and (trim(norm) = '' or regexp_matches(trim(norm), '^part[\s_-]*[0-9]*$'))) as bare from conf),
 groups as (select *, case when weak or bare then 'REVIEW' else 'OK' end as state, nullif(concat_ws('; ', case when weak then 'confidence ' || printf('%.2f', confidence) || ' below 0.90' end, case when bare then 'no name beyond a part number' end), '') as review_reason,
   concat_ws('; ', case when n >= 3 then case when partial_start then 'parts start mid-range' else len(missing) || ' parts missing' end end, case when n_links > 0 then 'weakest link ' || printf('%.2f', weakest) || ' of ' || link.a || ' and ' || link.b end) as reasons from judged)"""
-LABELS_SQL = f"""{GROUPS_SQL}, kinds as (select *, case when held then 'HELD' else state end as status,
+LABELS_SQL = rf"""{GROUPS_SQL}, kinds as (select *, case when held then 'HELD' else state end as status,
   case when not held and norm <> '' then case when regexp_matches(norm, '(^| )set( |$)') then 'set' when regexp_matches(norm, '(^| )x( |$)') then 'x' end end as domain,
   case {" ".join(f"when regexp_matches(folded, '(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)') then '{label}'" for label, words in groups.CATEGORIES)} when n_files > 1 then 'Databases / Datasets' else 'Miscellaneous' end as category from groups),
 first_kinds as (select *, case when held then 'held' when status = 'REVIEW' then 'review' when tagged then 'tagged' when n_files > 1 then 'dataset' when domain is not null then 'domain' else 'misc' end as k from kinds),

@@ -63,13 +63,13 @@ def live_files(spark, sf):
 
 
 def scripts(spark, sf):
-    """Scripts of document names, each with a word in one of four scripts."""
+    """Scripts of whole documents, to which words in other scripts are added, as the tables have none: two of four words by the id."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    word = F.element_at(F.array(*map(F.lit, ["база", "डेटा", "נתונים", "data"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    hint = summaries.script_country(F.concat_ws(" ", F.substring("text", 1, 60), word))
-    return docs.select("doc_id", hint["code"].alias("code"), hint["confidence"].alias("confidence"))
+    word = lambda by: F.element_at(F.array(*map(F.lit, WORDS)), (F.floor(F.col("doc_id") / by) % 4 + 1).cast("int"))
+    return docs.select("doc_id", F.explode(summaries.script_countries(F.concat_ws(" ", "text", word(1), word(4)))).alias("h")).select("doc_id", "h.code", "h.confidence")
 
 
+WORDS = ["база", "डेटा", "נתונים", "data"]
 OVERLAY_SQL = """d as (select user_id, max_by(event_type, event_id) as last from events where event_type in ('purchase', 'error') group by user_id),
 groups as (select c_custkey as group_id, case when c_custkey % 7 = 0 then 'HELD' when last = 'purchase' then 'OK' when last = 'error' then 'IGNORED' else 'REVIEW' end as status from customer left join d on user_id = c_custkey)"""
 QUERIES = {"set_summaries": set_summaries, "distinct_titles": titles, "index_facets": facets, "review_items": review_items, "decision_overlay": overlay, "live_group_files": live_files, "script_evidence": scripts}
@@ -82,7 +82,7 @@ select group_id, title, kind from o where kind = owner union all select group_id
     "review_items": "select user_id as group_id, event_id as item_id, case when event_type = 'click' then 'grouping' else 'name' end as kind from events where event_type in ('click', 'error') qualify row_number() over (partition by user_id order by event_type <> 'click', event_id) = 1",
     "decision_overlay": f"with {OVERLAY_SQL} select * from groups",
     "live_group_files": f"with {OVERLAY_SQL} select group_id, 'order_' || o_orderkey || '.zip' as filename, status from orders join groups on group_id = o_custkey",
-    "script_evidence": """with t as (select doc_id, concat_ws(' ', substr(text, 1, 60), ['база', 'डेटा', 'נתונים', 'data'][doc_id % 4 + 1]) as s from documents),
-h as (select doc_id, case when regexp_matches(s, '[\\x{0400}-\\x{04FF}]') then 'ru' when regexp_matches(s, '[\\x{0900}-\\x{097F}]') then 'in' when regexp_matches(s, '[\\x{0590}-\\x{05FF}]') then 'il' end as code from t)
-select doc_id, code, cast(case code when 'il' then 0.40 when 'ru' then 0.35 when 'in' then 0.35 end as double) as confidence from h""",
+    "script_evidence": rf"""with t as (select doc_id, concat_ws(' ', text, {WORDS}[doc_id % 4 + 1], {WORDS}[doc_id // 4 % 4 + 1]) as s from documents)
+select doc_id, 'ru' as code, 0.35::double as confidence from t where regexp_matches(s, '[\x{{0400}}-\x{{04FF}}]') union all select doc_id, 'in', 0.35 from t where regexp_matches(s, '[\x{{0900}}-\x{{097F}}]')
+union all select doc_id, 'il', 0.40 from t where regexp_matches(s, '[\x{{0590}}-\x{{05FF}}]')""",
 }
