@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import eta
-from ..streaming import jobs
+from ..operators.components import checkpoint_folder
+from ..streaming import jobs, states as keyed
 
 
 def events(spark, sf):
@@ -57,8 +60,31 @@ def progress(spark, sf):
     return jobs.progress(states(spark, sf)).withColumn("payload", F.to_json(F.struct("total", "success", "failed", "given_up", "running", "percent")))
 
 
-QUERIES = {"progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
+def _stream(spark, sf):
+    """(events of the table as a stream, folders for its result and its checkpoint)."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return spark.readStream.schema(keyed.EVENTS).parquet(f"{sf}/events.parquet*"), f"{folder}/out", f"{folder}/offsets"
+
+
+def job_stream(spark, sf):
+    """The ledger as a stream leaves it: states and the jobs that stalled, by timer (K6)."""
+    events_, target, offsets = _stream(spark, sf)
+    keyed.job_stream(events_, target, offsets, late=f"{jobs.LATE_SECONDS} seconds")
+    return keyed.read_jobs(spark, target)
+
+
+def burst_stream(spark, sf):
+    """The trailing waits as a stream with evicted state leaves them (K7)."""
+    events_, target, offsets = _stream(spark, sf)
+    keyed.burst_stream(events_, target, offsets)
+    return keyed.read_bursts(spark, target)
+
+
+QUERIES = {"job_stream": job_stream, "burst_stream": burst_stream, "progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
+STREAM_SQL = f"""with {STATES_SQL}, last as (select user_id, max_by(ts, event_id) as ts from events group by user_id)
+select jobs.*, status = 'RUNNING' and epoch_ms(ts) + {jobs.STALLED * 1000} <= (select epoch_ms(max(ts)) from events) - {jobs.LATE_SECONDS * 1000} as stalled from jobs join last using (user_id)"""
 SQL = {
+    "job_stream": STREAM_SQL,
     "job_states": f"with {STATES_SQL} select * from jobs",
     "job_counts": f"with {STATES_SQL} select status, count(*) as n, cast(sum(attempts) as bigint) as attempts from jobs group by status",
     "progress_snapshot": f"""with {STATES_SQL}, c as (select count(*) as total, count(*) filter (status = 'SUCCESS') as success, count(*) filter (status = 'FAILED') as failed,
@@ -72,3 +98,4 @@ select *, '{{"total":' || total || ',"success":' || success || ',"failed":' || f
     "decisions": "select user_id as group_id, case when user_id % 7 = 0 then 'HELD' when last = 'purchase' then 'OK' when last = 'error' then 'IGNORED' else 'REVIEW' end as status from (select user_id, max_by(event_type, event_id) as last from events where event_type in ('purchase', 'click', 'error') group by user_id)",
     "latest_failures": "select event_id, user_id, props from events where event_type = 'error' order by ts desc, event_id desc limit 10",
 }
+SQL["burst_stream"] = SQL["trailing_waits"]

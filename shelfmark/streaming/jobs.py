@@ -10,6 +10,8 @@ from ..operators.summaries import overlay
 from ..sources.catalog import shape, upsert_latest
 
 HOUR, FIVE_MINUTES = 3600, 300
+#: Seconds after which a job that runs without a word counts as stalled, and how long before the newest event is late.
+STALLED, LATE_SECONDS = 7 * 86400, 86400
 
 
 def scan_stream(spark: SparkSession, folder: str, schema: str, checkpoint: str, target: str) -> None:
@@ -29,15 +31,16 @@ def read_catalog(spark: SparkSession, target: str) -> DataFrame:
     return upsert_latest(spark.read.parquet(target), ["source_id", "message_id"], F.col("epoch")).drop("epoch")
 
 
-#: A line of a log that tells of a wait: its time, who waited, for how many seconds, for what.
-WAIT_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d+ WARNING \S+ \[(\w+)\] wait (\d+)s \(([^)]*)\)"
+#: A line of a log that tells of a wait: its time and, as key=value in this order, who waited, for how many seconds, for what.
+WAIT_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\S* .*\bwait who=(\S+) seconds=(\d+) what=(.*)$"
 
 
-def wait_events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(ts, user, seconds, what) of the lines that tell of a wait; others go (K3). Works on streams and tables alike."""
-    part = lambda k: F.regexp_extract(line, WAIT_LINE, k)
-    some = lines.where(F.col(line).rlike(WAIT_LINE))
-    return some.select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").alias("ts"), part(2).alias("user"), part(3).cast("long").alias("seconds"), part(4).alias("what"))
+def wait_events(lines: DataFrame, line: str = "value", pattern: str = WAIT_LINE) -> DataFrame:
+    """(ts, user, seconds, what) of the lines that tell of a wait; others go (K3). Works on streams and tables alike. The pattern has
+    a group for each of the four."""
+    part = lambda k: F.regexp_extract(line, pattern, k)
+    some = lines.where(F.col(line).rlike(pattern))
+    return some.select(F.to_timestamp(F.regexp_replace(part(1), "T", " "), "yyyy-MM-dd HH:mm:ss").alias("ts"), part(2).alias("user"), part(3).cast("long").alias("seconds"), part(4).alias("what"))
 
 
 def wait_state(events: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
@@ -64,6 +67,15 @@ def job_states(events: DataFrame) -> DataFrame:
     return with_status(g)
 
 
+def stalled_jobs(events: DataFrame, seconds: int = STALLED, late: int = LATE_SECONDS) -> DataFrame:
+    """(user_id, last_event) of the jobs that still run, and whose last event is ``seconds`` older than what can still come, ``late`` seconds
+    before the newest event: what the timers of the stream have marked when it rests (K6)."""
+    last = events.groupBy("user_id").agg(F.max_by(F.struct("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id"), "event_id").alias("e"))
+    newest = events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("newest"))
+    overdue = F.col("e.ms") + seconds * 1000 <= F.col("newest") - late * 1000
+    return last.crossJoin(newest).where(~F.col("e.event_type").isin("error", "purchase") & overdue).select("user_id", F.col("e.event_id").alias("last_event"))  # one row
+
+
 def trailing(events: DataFrame, seconds: int) -> Window:
     return Window.partitionBy("user_id").orderBy(F.col("second")).rangeBetween(-seconds, 0)
 

@@ -213,7 +213,7 @@ def test_scan_keeps_the_latest_row_of_a_key(spark, tmp_path):
 
 
 def test_waits_of_a_log(spark):
-    lines = ["2024-05-01 10:00:00,120 WARNING svc.net: nothing", "2024-05-01 09:30:00,001 WARNING svc [a1] wait 30s (copy)", "2024-05-01 09:59:50,001 WARNING svc [a2] wait 60s (send)", "2024-05-01 08:00:00,001 WARNING svc [a1] wait 99s (copy)"]
+    lines = ["2024-05-01T10:00:00.120 warn net: nothing", "2024-05-01T09:30:00.001 warn job wait who=a1 seconds=30 what=copy", "2024-05-01T09:59:50.001 warn job wait who=a2 seconds=60 what=send", "2024-05-01T08:00:00.001 warn job wait who=a1 seconds=99 what=copy"]
     events = jobs.wait_events(spark.createDataFrame([(x,) for x in lines], "value string"))
     state, recent = jobs.wait_state(events, "2024-05-01 10:00:00")
     r = state.first()
