@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
+from .ranks import ranked
 
 BIG_BLOCK, NEAR_IDS, NEAR_SECONDS, NEIGHBOURS = 200, 100, 60, 15
 #: Files up to which a token, and names up to which a size, is a block of its own; beyond it blocks have a second key.
@@ -114,16 +115,13 @@ def neighbour_pairs(files: DataFrame, scope: str, order: str, reach: int = NEIGH
     return files.select(scope, F.col(order).alias("a"), after.alias("after")).select(scope, "a", F.explode(F.filter("after", lambda x: x.isNotNull())).alias("b"))
 
 
-def in_windows(files: DataFrame, order: str, reach: int = NEIGHBOURS, block: int = 1 << 16, rows: int = 4096) -> DataFrame:
+def in_windows(files: DataFrame, order: str, reach: int = NEIGHBOURS, rows: int = 4096) -> DataFrame:
     """files -> scope: windows of ``rows`` files in the order of unique ids, each with the ``reach`` first files of the next one, so that
-    neighbours in one large source need no window over all of it. Only the counts of blocks of ids meet in one task."""
-    files = files.withColumn("block", F.floor(F.col(order) / block))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = files.groupBy("block").count().select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    place = files.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(order)) - 1).join(counts, "block").withColumn("place", F.col("first") + F.col("nth"))
+    neighbours in one large source need no window over all of it."""
+    place = ranked(files, order, name="place")
     own = F.floor(F.col("place") / rows)
     scopes = F.when((own > 0) & (F.col("place") % rows < reach), F.array(own, own - 1)).otherwise(F.array(own))
-    return place.withColumn("scope", F.explode(scopes)).drop("block", "first", "nth", "place")
+    return place.withColumn("scope", F.explode(scopes)).drop("place")
 
 
 def prefiltered(pairs: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DOTTED, fold, safe_title, unresolvable
 from .components import connected_components
+from .ranks import ranked
 from .scoring import AUTO
 
 
@@ -109,16 +110,6 @@ def domain(text: Column, services: list[str]) -> Column:
     return F.struct(name.alias("name"), sure.alias("confidence"))
 
 
-def numbered(rows: DataFrame, key: str = "group_id", block: int = 1 << 16) -> DataFrame:
-    """rows with nth, from 0 in the order of their unique keys, counted by blocks of keys and shifted by the blocks before; only the
-    counts of blocks meet in one task."""
-    r = rows.withColumn("block", F.floor(F.col(key) / block))
-    before = F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = r.groupBy("block").count().select("block", F.coalesce(before, F.lit(0)).alias("before"))
-    nth = F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1
-    return r.join(shifts, "block").withColumn("nth", nth).drop("block", "before")
-
-
 def enrich(groups: DataFrame, files: DataFrame, members: DataFrame, patterns: list[str] = HOLD_PATTERNS, keywords: list[str] = (), services: list[str] = ()) -> DataFrame:
     """groups with held (any member's name or caption matches a pattern), hold_reason (of the first such member), tagged (any name has a
     keyword), category (of the first member's name) and domain (of the group's base, unless held) (G7)."""
@@ -140,7 +131,7 @@ def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50)
     g = groups.withColumn("kind", kind)
     top = g.where("kind = 'dataset'").orderBy(F.desc("total_size"), "group_id").limit(most_labels).select("group_id", F.lit(True).alias("own"))
     g = g.join(top, "group_id", "left")
-    extra = numbered(g.where("kind = 'dataset' and own is null").select("group_id")).select("group_id", (F.floor(F.col("nth") / bucket) + 1).alias("bucket"))
+    extra = ranked(g.where("kind = 'dataset' and own is null").select("group_id"), "group_id").select("group_id", (F.floor(F.col("nth") / bucket) + 1).alias("bucket"))
     g = g.join(extra, "group_id", "left").withColumn("kind", F.when(F.col("bucket").isNotNull(), "overflow").otherwise(F.col("kind")))
     label = F.when(F.col("kind") == "held", "Quarantine").when(F.col("kind") == "review", "Review").when(F.col("kind") == "tagged", "Tagged").when(F.col("kind") == "overflow", F.concat(F.lit("Extra Datasets "), F.col("bucket").cast("string"))).when(F.col("kind") == "dataset", safe_title(F.col("name"))).when(F.col("kind") == "country", F.col("country")).when(F.col("kind") == "domain", F.initcap("domain")).when(F.col("kind") == "misc", "Miscellaneous")
     return g.withColumn("label", label).drop("own", "bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, levenshtein_ratio, partial_ratio, token_set_ratio, weighted_ratio
-from ..functions.text import bar, colour, eta, flag, fold, human_size, safe_title, stable_key
+from ..functions.text import bar, colour, eta, flag, fold, human_size, long_size, safe_title, stable_key
 from ..operators import blocking, groups
 from ..operators.country import GAZETTEER, detect_countries, gazetteer
 from ..sources.catalog import DOCS_SQL, PARSED_SQL, catalog_docs, parsed_parts, upsert_latest
@@ -57,13 +57,17 @@ def kept_docs(spark, sf):
 
 def sizes(spark, sf):
     p = pages(spark, sf)
-    return p.select("message_id", F.regexp_replace(human_size(F.col("file_size") * 1000), r"[.][0-9]+", "").alias("size"), colour(F.lit("abc")).alias("colour"), safe_title(F.col("filename"), 20).alias("title"), eta(F.col("file_size") * 60).alias("eta"), bar(F.col("file_size") % 21, F.lit(20)).alias("bar"))
+    return p.select("message_id", human_size(F.col("file_size") * 1000).alias("size"), long_size(F.col("file_size") * 123_457_789).alias("long_size"), colour(F.col("filename")).alias("colour"), safe_title(F.col("filename"), 20).alias("title"), eta(F.col("file_size") * 60).alias("eta"), bar(F.col("file_size") % 21, F.lit(20)).alias("bar"))
 
 
-SIZES_SQL = f"""with {PAGES_SQL}, s as (select *, file_size * 1000 as b, file_size * 60 as sec, file_size % 21 as d from pages_)
-select message_id, case when b < 1024 then b || ' B' when b < 1048576 then regexp_replace(printf('%.1f KB', b / 1024.0), '[.][0-9]+', '')
- when b < 1073741824 then regexp_replace(printf('%.1f MB', b / 1048576.0), '[.][0-9]+', '') else regexp_replace(printf('%.1f GB', b / 1073741824.0), '[.][0-9]+', '') end as size,
- cast((97 + 98 + 99) % 9 as integer) as colour, coalesce(nullif(trim(substr(trim(regexp_replace(filename, '\\s+', ' ', 'g')), 1, 20)), ''), 'Untitled') as title,
+# Halves round up in Spark's format, so decimals are computed rather than printed; all figures here are whole bytes.
+_TENTHS = lambda b, unit: f"(({b} * 20 + {unit}) // {2 * unit})"
+_ONE = lambda b, unit, label: f"{_TENTHS(b, unit)} // 10 || '.' || {_TENTHS(b, unit)} % 10 || ' {label}'"
+_COMMAS = lambda b, unit, label: f"format('{{:,}}', cast({_TENTHS(b, unit)} // 10 as bigint)) || '.' || {_TENTHS(b, unit)} % 10 || ' {label}'"
+SIZES_SQL = f"""with {PAGES_SQL}, s as (select *, cast(file_size as hugeint) * 1000 as b, cast(file_size as hugeint) * 123457789 as l, file_size * 60 as sec, file_size % 21 as d from pages_)
+select message_id, case when b < 1024 then b || ' B' when b < 1048576 then {_ONE("b", 1024, "KB")} when b < 1073741824 then {_ONE("b", 1048576, "MB")} when b < 1099511627776 then {_ONE("b", 1073741824, "GB")} else {_ONE("b", 1099511627776, "TB")} end as size,
+ case when l < 1024 then format('{{:,}}', cast(l as bigint)) || ' B' when l < 1048576 then {_COMMAS("l", 1024, "KB")} when l < 1073741824 then {_COMMAS("l", 1048576, "MB")} when l < 1099511627776 then {_COMMAS("l", 1073741824, "GB")} when l < 1125899906842624 then {_COMMAS("l", 1099511627776, "TB")} else {_COMMAS("l", 1125899906842624, "PB")} end as long_size,
+ cast(list_sum(list_transform(string_split(filename, ''), lambda c: ord(c))) % 9 as integer) as colour, coalesce(nullif(trim(substr(trim(regexp_replace(filename, '\\s+', ' ', 'g')), 1, 20)), ''), 'Untitled') as title,
  case when sec // 86400 > 0 then (sec // 86400) || 'd' else '' end || case when sec >= 3600 then (sec % 86400 // 3600) || 'h' else '' end || (sec % 3600 // 60) || 'm' as eta,
  repeat('#', cast(d as integer)) || repeat('.', cast(20 - d as integer)) as bar from s"""
 

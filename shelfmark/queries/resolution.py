@@ -101,7 +101,7 @@ def enriched(spark, sf):
     files, _, members, g = resolved(spark, sf)
     g = groups.enrich(g, files, members, HOLDS, KEYWORDS, SERVICES)
     g = g.withColumn("status", F.when(F.col("held"), "HELD").otherwise(F.col("status"))).withColumn("ignored", F.lit(False)).withColumn("country", F.lit(None).cast("string"))
-    return files, members, g
+    return files, members, checkpointed(g)  # read for labels, for their ranks and for each roll-up
 
 
 def labelled(spark, sf):
