@@ -1,4 +1,5 @@
-"""Name similarity: Arrow-batched functions for pairs that blocking has left over, and native companions."""
+"""Name similarity: ratios by definition for two names, the same for whole Arrow batches of pairs that blocking has left over (``lanes``), and
+native companions."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import lanes
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits of whole rows (Hyyro, 2004)."""
@@ -69,15 +72,18 @@ def weighted(a: str, b: str) -> float:
     return max(indel(a, b), scale * partial(a, b), scale * 0.95 * max(sorted_, shared))
 
 
-def _udf(f):
+def _udf(ratio):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(re.sub(r"\s+", " ", x or ""), re.sub(r"\s+", " ", y or "")) / 100.0 for x, y in zip(a, b, strict=True)])
+        codes, distinct = pd.factorize(pd.concat([a, b]).fillna(""), use_na_sentinel=False)
+        names = lanes.Names([SPACES.sub(" ", x) for x in distinct])
+        return pd.Series(ratio(names, codes[: len(a)], codes[len(a) :]) / 100.0)
 
     return run
 
 
-indel_ratio, partial_ratio, token_set_ratio, weighted_ratio = map(_udf, (indel, partial, token_set, weighted))
+SPACES = re.compile(r"\s+")
+indel_ratio, partial_ratio, token_set_ratio, weighted_ratio = map(_udf, (lanes.plain, lanes.partial, lanes.token_sets, lanes.weighted))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.parts import with_part
 from ..operators import blocking, groups, planning, scoring
-from ..operators.components import checkpointed, connected_components
+from ..operators import search as texts
+from ..operators.components import checkpoint_folder, checkpointed, connected_components
 from ..operators.country import detect_countries, gazetteer
 from ..sources.catalog import PARSED_SQL, catalog_docs, catalog_names, parsed_parts, with_names
 
@@ -159,6 +162,17 @@ def search(spark, sf):
     return found.select("group_id", "name", "label", "n_files", "total_size")
 
 
+SEARCHED = ["order 12", "_Y.z07", "copy (4)", "parts: 3, 5", "confidence 0.7", "sql.zip", "no such text", "2024.01"]
+
+
+def text_search(spark, sf):
+    """Groups with a line or a member's name that has one of several texts, through the index of trigrams."""
+    files, members, g, _ = labelled(spark, sf)
+    folder = f"{checkpoint_folder(spark)}/search-{uuid.uuid4().hex}"
+    texts.write_index(texts.fragments(g, members, files), folder)
+    return texts.find(spark, folder, SEARCHED)
+
+
 def top_groups(spark, sf):
     return resolved(spark, sf)[3].select("group_id", "total_size").orderBy(F.desc("total_size"), "group_id").limit(15)
 
@@ -230,12 +244,20 @@ labelled as (select *, case when bucket is not null then 'overflow' else k end a
 dups as (select message_id from (select message_id, min(message_id) over (partition by base, coalesce(label, 'base'), file_size) as one from files where length(base) >= 2 and file_size > 0) where one < message_id),
 kept_files as (select m.group_id, f.file_size from members m join files f using (message_id) where m.message_id not in (select message_id from dups)),
 records as (select group_id, name, label, kind, category, status, n_files, total_size, lower(concat_ws(' ', name, category, status, label, 'of ' || n_files || ' files')) as haystack from labelled where kind <> 'held')"""
+_TENTHS = lambda unit: f"((cast(total_size as hugeint) * 20 + {unit}) // {2 * unit})"
+_SIZE = " ".join(f"when total_size < {unit * 1024} then {_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 10 || ' {label}'" for unit, label in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")))
+SEARCH_SQL = f"""with recursive {LABELS_SQL}, listed as (select *, case when total_size < 1024 then total_size || ' B' {_SIZE} end as bytes from labelled where kind <> 'held'),
+lines as (select group_id, lower(concat_ws(' ', name, category, case when n_files > 1 then 'Set of several parts, ' || n_files || ' files, ' || bytes || '.' else 'Single file.' end,
+  case when len(missing) > 0 then 'Missing parts: ' || array_to_string(missing, ', ') || '.' end, case when partial_start and n > 0 then 'Parts ' || numbers[1] || '–' || numbers[-1] || ' are there, earlier ones are not in the source.' end,
+  case when status = 'REVIEW' then 'Needs review (confidence ' || printf('%.2f', confidence) || ').' end, status, label)) as text from listed
+ union all select group_id, lower(filename) from members join files using (message_id) where group_id in (select group_id from listed))
+select distinct q as query, group_id from lines join (select unnest({SEARCHED}) as q) on contains(text, lower(q))"""
 
 
 QUERIES = {
     "exact_base_pairs": base_pairs, "pair_scores": links, "token_candidates": token_candidates, "neighbour_pairs": neighbours, "copy_components": copies, "groups": group_table,
     "group_members": member_table, "label_rollup": label_rollup, "report": report, "report_document": report_document, "archive_estimates": archive_estimates, "review_queue": review_queue,
-    "index_records": index_records, "index_search": search, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
+    "index_records": index_records, "index_search": search, "text_search": text_search, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
     "linked_groups": linked_groups, "linked_review": linked_review,
 }
 SQL = {
@@ -256,6 +278,7 @@ select '{{"files":' || files || ',"groups":' || g || ',"multipart":' || multi ||
     "review_queue": f"""with recursive {LABELS_SQL} select 'grouping' as kind, group_id, '{{"name":"' || name || '","review_reason":"' || review_reason || '","n_files":' || n_files || '}}' as payload from labelled where status = 'REVIEW'""",
     "index_records": f"""with recursive {LABELS_SQL} select group_id, '{{"name":"' || name || '","label":"' || label || '","kind":"' || kind || '","category":"' || category || '","status":"' || status || '","n_files":' || n_files || ',"total_size":' || total_size || ',"haystack":"' || haystack || '"}}' as record from records""",
     "index_search": f"with recursive {LABELS_SQL} select group_id, name, label, n_files, total_size from records where contains(haystack, 'order 12') and kind = 'dataset' and n_files > 1 order by total_size desc, group_id limit 50",
+    "text_search": SEARCH_SQL,
     "top_groups": f"with recursive {GROUPS_SQL} select group_id, total_size from groups order by total_size desc, group_id limit 15",
     "pilot_groups": f"with recursive {GROUPS_SQL} select group_id, n_files from groups order by group_id limit 25",
     "numeric_ids": f"with {PARSED_SQL} select distinct message_id from files where regexp_matches(filename, '^[0-9]')",
