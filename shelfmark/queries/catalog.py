@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio, levenshtein_ratio, partial_ratio, token_set_ratio, weighted_ratio
 from ..functions.text import bar, colour, eta, flag, fold, human_size, long_size, safe_title, stable_key
-from ..operators import blocking, groups
+from ..operators import blocking, groups, rollups
 from ..operators.country import GAZETTEER, detect_countries, gazetteer
 from ..sources.catalog import DOCS_SQL, PARSED_SQL, catalog_docs, parsed_parts, upsert_latest
 
@@ -99,6 +99,13 @@ def country_docs(spark, sf):
     return detect_countries(docs, gazetteer(spark, PLACES), "doc_id").withColumnRenamed("id", "doc_id")
 
 
+def document_facets(spark, sf):
+    """Documents and characters by language, source and the country that they surely speak of, in one aggregation."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sure = country_docs(spark, sf).where("confidence >= 0.75").select("doc_id", F.col("code").alias("country"))
+    return rollups.facets(docs.join(sure, "doc_id", "left"), ["lang", "source", "country"], F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 _ENTRIES = [(a.replace("_", " "), "word", code, rank, (0.95 if "_" in a or len(a) >= 4 else 0.80), 1) for rank, (code, _, aliases, _, _) in enumerate(PLACES) for a in aliases.split()]
 _ENTRIES += [(t, "top", code, rank, 0.70, 2) for rank, (code, _, _, tops, _) in enumerate(PLACES) for t in tops.split()]
 _ENTRIES += [(c.replace("_", " "), "word", code, rank, (0.60 if "_" in c else 0.55), 3) for rank, (code, _, _, _, cities) in enumerate(PLACES) for c in cities.split()]
@@ -117,6 +124,10 @@ select doc_id, code, name, cast(round(case when second >= 0.50 and confidence -
 from ranked left join names using (code) where place = 1"""
 
 
+FACETS_SQL = f"""with c as ({COUNTRY_SQL}), d as (select lang, source, n_chars, c.code as country from documents left join c on c.doc_id = documents.doc_id and c.confidence >= 0.75)
+select case when grouping(lang) = 0 then 'lang' when grouping(source) = 0 then 'source' else 'country' end as facet, coalesce(lang, source, country) as value, count(*) as n, cast(sum(n_chars) as bigint) as n_chars from d group by grouping sets ((lang), (source), (country))"""
+
+
 def size_candidates(spark, sf):
     """Names of one size that differ in at most a tenth of their letters, in the catalogue of parts."""
     return blocking.same_size_pairs(parsed_parts(spark, sf))
@@ -152,7 +163,7 @@ def keys_and_flags(spark, sf):
 
 QUERIES = {
     "parsed_parts": parsed, "incomplete_sets": incomplete_sets, "doc_duplicates": doc_duplicates, "doc_fingerprints": doc_fingerprints, "kept_docs": kept_docs,
-    "sizes_and_titles": sizes, "rules": rules, "country_evidence": country_docs, "same_size_candidates": size_candidates, "fuzzy_names": fuzzy_names,
+    "sizes_and_titles": sizes, "rules": rules, "country_evidence": country_docs, "document_facets": document_facets, "same_size_candidates": size_candidates, "fuzzy_names": fuzzy_names,
     "latest_by_source": latest_by_source, "column_counts": column_counts, "keys_and_flags": keys_and_flags,
 }
 SQL = {
@@ -161,7 +172,7 @@ SQL = {
     "doc_duplicates": f"with {DUP_SQL} select * from dups",
     "doc_fingerprints": f"with {DUP_SQL} select kind || ':' || canonical as fingerprint, message_id as duplicate from dups",
     "kept_docs": f"with {DUP_SQL} select source, count(*) as n_files, cast(sum(file_size) as bigint) as total_size from docs where message_id not in (select message_id from dups) group by source",
-    "sizes_and_titles": SIZES_SQL, "rules": RULES_SQL, "country_evidence": COUNTRY_SQL,
+    "sizes_and_titles": SIZES_SQL, "rules": RULES_SQL, "country_evidence": COUNTRY_SQL, "document_facets": FACETS_SQL,
     "same_size_candidates": SIZE_SQL,
     "latest_by_source": f"with {DOCS_SQL} select source, lang, max(message_id) as message_id, max_by(file_size, message_id) as file_size from docs group by source, lang",
     "column_counts": f"with {DOCS_SQL} select source, count(*) as n, count(distinct file_id) as n_texts, string_agg(distinct lang, ',' order by lang) as langs from docs group by source",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import eta
+from ..operators import rollups
 from ..operators.components import checkpoint_folder
 from ..streaming import jobs, states as keyed
 
@@ -60,6 +61,28 @@ def progress(spark, sf):
     return jobs.progress(states(spark, sf)).withColumn("payload", F.to_json(F.struct("total", "success", "failed", "given_up", "running", "percent")))
 
 
+def archive_jobs(spark, sf):
+    """(jobs, files): orders as the jobs of their customer's region, their items as files."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    place = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").cast("long").alias("archive_id"))
+    status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
+    jobs_ = read("orders").join(place, F.col("o_custkey") == F.col("c_custkey")).select("archive_id", F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderpriority").alias("label"), F.to_date("o_orderdate").alias("day"), "o_custkey")
+    return jobs_, read("lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("message_id"), F.floor("l_extendedprice").cast("long").alias("file_size"))
+
+
+def archive_progress(spark, sf):
+    """Jobs, labels, finished jobs, files and bytes of each archive."""
+    return rollups.archive_progress(*archive_jobs(spark, sf))
+
+
+def archive_customers(spark, sf):
+    """Distinct customers of each archive, counted, and whether the merged sketches of its days estimate them within 8 %."""
+    jobs_, _ = archive_jobs(spark, sf)
+    exact = jobs_.groupBy("archive_id").agg(F.count_distinct("o_custkey").alias("n_customers"))
+    about = rollups.merged(rollups.day_sketches(jobs_, ["archive_id", "day"], "o_custkey"), "archive_id")
+    return exact.join(about, "archive_id").select("archive_id", "n_customers", (F.abs(F.col("estimate") - F.col("n_customers")) <= F.greatest(F.lit(2.0), F.col("n_customers") * 0.08)).alias("close"))
+
+
 def _stream(spark, sf):
     """(events of the table as a stream, folders for its result and its checkpoint)."""
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -80,10 +103,18 @@ def burst_stream(spark, sf):
     return keyed.read_bursts(spark, target)
 
 
-QUERIES = {"job_stream": job_stream, "burst_stream": burst_stream, "progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
+QUERIES = {"archive_progress": archive_progress, "archive_customers": archive_customers, "job_stream": job_stream, "burst_stream": burst_stream, "progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
 STREAM_SQL = f"""with {STATES_SQL}, last as (select user_id, max_by(ts, event_id) as ts from events group by user_id)
 select jobs.*, status = 'RUNNING' and epoch_ms(ts) + {jobs.STALLED * 1000} <= (select epoch_ms(max(ts)) from events) - {jobs.LATE_SECONDS * 1000} as stalled from jobs join last using (user_id)"""
+ARCHIVE_SQL = """jobs as (select cast(n_regionkey as bigint) as archive_id, o_orderkey as job_id, case o_orderstatus when 'F' then 'SUCCESS' when 'O' then 'RUNNING' else 'FAILED' end as status, o_orderpriority as label, o_custkey
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
 SQL = {
+    "archive_progress": f"""with {ARCHIVE_SQL}, files as (select l_orderkey as job_id, l_linenumber as id, cast(floor(l_extendedprice) as bigint) as size from lineitem),
+s as (select job_id, count(*) as files, sum(size) as bytes from files group by job_id), f as (select job_id, sum(size) as first_bytes from files where (job_id, id) in (select job_id, min(id) from files group by job_id) group by job_id)
+select archive_id, count(*) as n_jobs, count(*) filter (status = 'SUCCESS') as n_done, count(*) filter (status = 'FAILED') as n_failed, count(*) filter (status = 'RUNNING') as n_inflight, count(distinct label) as n_labels, count(distinct job_id) filter (status = 'SUCCESS') as n_finished,
+ cast(coalesce(sum(files) filter (status = 'SUCCESS'), 0) as bigint) as files, cast(coalesce(sum(bytes) filter (status = 'SUCCESS'), 0) as bigint) as bytes, cast(coalesce(sum(first_bytes) filter (status = 'SUCCESS'), 0) as bigint) as first_bytes
+from jobs left join s using (job_id) left join f using (job_id) group by archive_id""",
+    "archive_customers": f"with {ARCHIVE_SQL} select archive_id, count(distinct o_custkey) as n_customers, true as close from jobs group by archive_id",
     "job_stream": STREAM_SQL,
     "job_states": f"with {STATES_SQL} select * from jobs",
     "job_counts": f"with {STATES_SQL} select status, count(*) as n, cast(sum(attempts) as bigint) as attempts from jobs group by status",

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.parts import with_part
-from ..operators import blocking, groups, planning, scoring
+from ..operators import blocking, groups, planning, rollups, scoring
 from ..operators import search as texts
 from ..operators.components import checkpoint_folder, checkpointed, connected_components
 from ..operators.country import detect_countries, gazetteer
@@ -162,6 +162,12 @@ def search(spark, sf):
     return found.select("group_id", "name", "label", "n_files", "total_size")
 
 
+def group_facets(spark, sf):
+    """Groups, files and bytes by status, category and kind of label, in one aggregation."""
+    g = labelled(spark, sf)[2]
+    return rollups.facets(g, ["status", "category", "kind"], F.count("*").alias("n_groups"), F.count_if(F.col("n_files") > 1).alias("n_multi"), F.sum("n_files").alias("n_files"), F.sum("total_size").alias("total_size"))
+
+
 SEARCHED = ["order 12", "_Y.z07", "copy (4)", "parts: 3, 5", "confidence 0.7", "sql.zip", "no such text", "2024.01"]
 
 
@@ -257,7 +263,7 @@ select distinct q as query, group_id from lines join (select unnest({SEARCHED})
 QUERIES = {
     "exact_base_pairs": base_pairs, "pair_scores": links, "token_candidates": token_candidates, "neighbour_pairs": neighbours, "copy_components": copies, "groups": group_table,
     "group_members": member_table, "label_rollup": label_rollup, "report": report, "report_document": report_document, "archive_estimates": archive_estimates, "review_queue": review_queue,
-    "index_records": index_records, "index_search": search, "text_search": text_search, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
+    "index_records": index_records, "index_search": search, "text_search": text_search, "group_facets": group_facets, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
     "linked_groups": linked_groups, "linked_review": linked_review,
 }
 SQL = {
@@ -279,6 +285,7 @@ select '{{"files":' || files || ',"groups":' || g || ',"multipart":' || multi ||
     "index_records": f"""with recursive {LABELS_SQL} select group_id, '{{"name":"' || name || '","label":"' || label || '","kind":"' || kind || '","category":"' || category || '","status":"' || status || '","n_files":' || n_files || ',"total_size":' || total_size || ',"haystack":"' || haystack || '"}}' as record from records""",
     "index_search": f"with recursive {LABELS_SQL} select group_id, name, label, n_files, total_size from records where contains(haystack, 'order 12') and kind = 'dataset' and n_files > 1 order by total_size desc, group_id limit 50",
     "text_search": SEARCH_SQL,
+    "group_facets": f"with recursive {LABELS_SQL} select case when grouping(status) = 0 then 'status' when grouping(category) = 0 then 'category' else 'kind' end as facet, coalesce(status, category, kind) as value, count(*) as n_groups, count(*) filter (n_files > 1) as n_multi, cast(sum(n_files) as bigint) as n_files, cast(sum(total_size) as bigint) as total_size from labelled group by grouping sets ((status), (category), (kind))",
     "top_groups": f"with recursive {GROUPS_SQL} select group_id, total_size from groups order by total_size desc, group_id limit 15",
     "pilot_groups": f"with recursive {GROUPS_SQL} select group_id, n_files from groups order by group_id limit 25",
     "numeric_ids": f"with {PARSED_SQL} select distinct message_id from files where regexp_matches(filename, '^[0-9]')",
