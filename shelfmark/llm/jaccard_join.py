@@ -314,6 +314,7 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the least id stays."""
+    """Pipeline stage: of each group of near duplicates the document with the least id stays. Rows without an id stay, rows that repeat an id stay
+    or go together, texts without words are near nothing; an empty table gives an empty one."""
     groups = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti")

@@ -249,5 +249,6 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the pieces of what is left."""
+    """Last stage of the pipeline: the pieces of what is left. A null text is empty and is its end token alone; null and repeated ids are rows of
+    their own; an empty table gives an empty one."""
     return pack(docs)

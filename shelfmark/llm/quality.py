@@ -159,6 +159,7 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of a score below 0.5 go."""
+    """Pipeline stage: documents of a score below 0.5 go. Rows without an id are scored like others, a null or empty text has the score of
+    the bias, repeated rows stay or go together; an empty table gives an empty one."""
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _scored(docs, weights, "text").where("score >= 0.5").select("row.*")

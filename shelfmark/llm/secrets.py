@@ -177,6 +177,10 @@ def digest(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: owner-specific secrets are replaced; no document goes."""
-    named = docs.withColumn("__repository", F.concat_ws("/", "source", "lang"))
-    return redact(named, repo_col="__repository").select(*docs.columns)
+    """Pipeline stage: owner-specific secrets are replaced; no document goes. Reads text, source and lang. Rows without an id, text, source or
+    language stay, repeated ones too, and all columns come back; an empty table gives an empty one."""
+    name = "repository"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, F.concat_ws("/", "source", "lang"))
+    return redact(named, repo_col=name).select(*docs.columns)
