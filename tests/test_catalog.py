@@ -126,7 +126,7 @@ def test_groups_link_names_that_differ(spark):
 
 def test_windows_have_all_neighbours(spark):
     files = spark.range(300).selectExpr("id * id as message_id")
-    near = blocking.neighbour_pairs(blocking.in_windows(files, "message_id", block=500, rows=20), "scope", "message_id").select("a", "b").distinct()
+    near = blocking.neighbour_pairs(blocking.in_windows(files, "message_id", rows=20), "scope", "message_id").select("a", "b").distinct()
     ids = [k * k for k in range(300)]
     assert {tuple(r) for r in near.collect()} == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 : i + 16]}
 
