@@ -124,6 +124,20 @@ def enrich(groups: DataFrame, files: DataFrame, members: DataFrame, patterns: li
     return out.withColumn("domain", F.when(~F.col("held") & (F.col("norm") != ""), domain(F.col("norm"), list(services))["name"]) if services else F.lit(None).cast("string"))
 
 
+# Kinds in the order in which they keep a title that several have.
+KINDS = ["held", "ignored", "review", "tagged", "dataset", "overflow", "country", "domain", "misc"]
+
+
+def apart_by_kind(labelled: DataFrame) -> DataFrame:
+    """Labels made unlike those of other kinds: the first kind in the order of KINDS keeps a title, the next ones get (2), (3)... (H5)."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    shared = labelled.where("label is not null").groupBy("label").agg(F.sort_array(F.collect_set(place)).alias("places")).where(F.size("places") > 1)
+    out = labelled.join(shared, "label", "left")
+    nth = F.array_position("places", place)
+    label = F.when(nth > 1, F.concat("label", F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(F.col("label"))
+    return out.withColumn("label", label).drop("places").select(*labelled.columns)
+
+
 def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50) -> DataFrame:
     """groups (with held, ignored, tagged, country, domain) -> label and kind (C10); the smallest data sets beyond ``most_labels`` share
     buckets (H3, H4). Held groups stay held whatever else is true."""
@@ -134,4 +148,4 @@ def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50)
     extra = ranked(g.where("kind = 'dataset' and own is null").select("group_id"), "group_id").select("group_id", (F.floor(F.col("nth") / bucket) + 1).alias("bucket"))
     g = g.join(extra, "group_id", "left").withColumn("kind", F.when(F.col("bucket").isNotNull(), "overflow").otherwise(F.col("kind")))
     label = F.when(F.col("kind") == "held", "Quarantine").when(F.col("kind") == "review", "Review").when(F.col("kind") == "tagged", "Tagged").when(F.col("kind") == "overflow", F.concat(F.lit("Extra Datasets "), F.col("bucket").cast("string"))).when(F.col("kind") == "dataset", safe_title(F.col("name"))).when(F.col("kind") == "country", F.col("country")).when(F.col("kind") == "domain", F.initcap("domain")).when(F.col("kind") == "misc", "Miscellaneous")
-    return g.withColumn("label", label).drop("own", "bucket")
+    return apart_by_kind(g.withColumn("label", label).drop("own", "bucket"))

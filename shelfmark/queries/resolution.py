@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parts import with_part
 from ..operators import blocking, groups, planning, rollups, scoring
+from ..operators import decisions
 from ..operators import search as texts
 from ..operators.components import checkpoint_folder, checkpointed, connected_components
 from ..operators.country import detect_countries, gazetteer
@@ -162,6 +163,20 @@ def search(spark, sf):
     return found.select("group_id", "name", "label", "n_files", "total_size")
 
 
+def decision_log(spark, sf, g):
+    """Events of a user as decisions on the groups of the order with that number; renamed ones take a title that some share with a domain."""
+    action = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "click", "rename").when(F.col("event_type") == "error", "ignore").when(F.col("value") > 30, "hold")
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("event_id").alias("decision_id"), action.alias("action"), F.when(F.col("event_id") % 2 == 0, "Set").otherwise(F.concat(F.lit("Title "), F.col("event_id").cast("string"))).alias("title"))
+    return g.select("group_id", F.floor(F.col("group_id") / 1000).alias("user_id")).join(e, "user_id").drop("user_id")
+
+
+def live_labels(spark, sf):
+    """Groups under the decisions made on them, with the labels that they have then."""
+    g = enriched(spark, sf)[2]
+    out = decisions.live_labels(g, decision_log(spark, sf, g), MOST_LABELS)
+    return out.select("group_id", "name", "status", "kind", "label")
+
+
 def group_facets(spark, sf):
     """Groups, files and bytes by status, category and kind of label, in one aggregation."""
     g = labelled(spark, sf)[2]
@@ -250,6 +265,16 @@ labelled as (select *, case when bucket is not null then 'overflow' else k end a
 dups as (select message_id from (select message_id, min(message_id) over (partition by base, coalesce(label, 'base'), file_size) as one from files where length(base) >= 2 and file_size > 0) where one < message_id),
 kept_files as (select m.group_id, f.file_size from members m join files f using (message_id) where m.message_id not in (select message_id from dups)),
 records as (select group_id, name, label, kind, category, status, n_files, total_size, lower(concat_ws(' ', name, category, status, label, 'of ' || n_files || ' files')) as haystack from labelled where kind <> 'held')"""
+# The same chain under the latest decisions, and with labels of several kinds kept apart.
+_ACT = "case event_type when 'purchase' then 'accept' when 'click' then 'rename' when 'error' then 'ignore' else case when value > 30 then 'hold' end end"
+LIVE_SQL = LABELS_SQL.replace("kinds as (select *, case when held then 'HELD' else state end as status", f"""acts as (select user_id, event_id, {_ACT} as action, case when event_id % 2 = 0 then 'Set' else 'Title ' || event_id end as title from events),
+latest as (select user_id, max_by(action, event_id) as action, max_by(title, event_id) filter (action = 'rename') as title from acts where action is not null group by user_id),
+decided as (select groups.* replace (held or coalesce(action = 'hold', false) as held, coalesce(title, name) as name), coalesce(action in ('accept', 'rename'), false) as released, coalesce(action = 'ignore', false) as ignored, held as was_held from groups left join latest on user_id = group_id // 1000),
+kinds as (select *, case when held then 'HELD' when released then 'OK' else state end as status""").replace("case when not held and norm <> ''", "case when not was_held and norm <> ''").replace("'Miscellaneous' end as category from groups)", "'Miscellaneous' end as category from decided)")
+LIVE_SQL = LIVE_SQL.replace("select *, case when held then 'held' when status = 'REVIEW'", "select *, case when held then 'held' when ignored then 'ignored' when status = 'REVIEW'").replace("case k when 'held' then 'Quarantine'", "case k when 'ignored' then null when 'held' then 'Quarantine'")
+LIVE_SQL = f"""with recursive {LIVE_SQL}, o(kind, p) as (values {", ".join(f"('{k}', {n})" for n, k in enumerate(groups.KINDS))}),
+places as (select label, kind, row_number() over (partition by label order by p) as nth from (select distinct label, kind from labelled where label is not null) join o using (kind))
+select group_id, name, status, l.kind, case when nth > 1 then l.label || ' (' || nth || ')' else l.label end as label from labelled l left join places p on p.label = l.label and p.kind = l.kind"""
 _TENTHS = lambda unit: f"((cast(total_size as hugeint) * 20 + {unit}) // {2 * unit})"
 _SIZE = " ".join(f"when total_size < {unit * 1024} then {_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 10 || ' {label}'" for unit, label in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")))
 SEARCH_SQL = f"""with recursive {LABELS_SQL}, listed as (select *, case when total_size < 1024 then total_size || ' B' {_SIZE} end as bytes from labelled where kind <> 'held'),
@@ -263,7 +288,7 @@ select distinct q as query, group_id from lines join (select unnest({SEARCHED})
 QUERIES = {
     "exact_base_pairs": base_pairs, "pair_scores": links, "token_candidates": token_candidates, "neighbour_pairs": neighbours, "copy_components": copies, "groups": group_table,
     "group_members": member_table, "label_rollup": label_rollup, "report": report, "report_document": report_document, "archive_estimates": archive_estimates, "review_queue": review_queue,
-    "index_records": index_records, "index_search": search, "text_search": text_search, "group_facets": group_facets, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
+    "index_records": index_records, "index_search": search, "text_search": text_search, "group_facets": group_facets, "live_labels": live_labels, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
     "linked_groups": linked_groups, "linked_review": linked_review,
 }
 SQL = {
@@ -284,7 +309,7 @@ select '{{"files":' || files || ',"groups":' || g || ',"multipart":' || multi ||
     "review_queue": f"""with recursive {LABELS_SQL} select 'grouping' as kind, group_id, '{{"name":"' || name || '","review_reason":"' || review_reason || '","n_files":' || n_files || '}}' as payload from labelled where status = 'REVIEW'""",
     "index_records": f"""with recursive {LABELS_SQL} select group_id, '{{"name":"' || name || '","label":"' || label || '","kind":"' || kind || '","category":"' || category || '","status":"' || status || '","n_files":' || n_files || ',"total_size":' || total_size || ',"haystack":"' || haystack || '"}}' as record from records""",
     "index_search": f"with recursive {LABELS_SQL} select group_id, name, label, n_files, total_size from records where contains(haystack, 'order 12') and kind = 'dataset' and n_files > 1 order by total_size desc, group_id limit 50",
-    "text_search": SEARCH_SQL,
+    "text_search": SEARCH_SQL, "live_labels": LIVE_SQL,
     "group_facets": f"with recursive {LABELS_SQL} select case when grouping(status) = 0 then 'status' when grouping(category) = 0 then 'category' else 'kind' end as facet, coalesce(status, category, kind) as value, count(*) as n_groups, count(*) filter (n_files > 1) as n_multi, cast(sum(n_files) as bigint) as n_files, cast(sum(total_size) as bigint) as total_size from labelled group by grouping sets ((status), (category), (kind))",
     "top_groups": f"with recursive {GROUPS_SQL} select group_id, total_size from groups order by total_size desc, group_id limit 15",
     "pilot_groups": f"with recursive {GROUPS_SQL} select group_id, n_files from groups order by group_id limit 25",
