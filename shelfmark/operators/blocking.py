@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_ratio
+from .components import checkpointed
 from .ranks import ranked
 
 BIG_BLOCK, NEAR_IDS, NEAR_SECONDS, NEIGHBOURS = 200, 100, 60, 15
@@ -101,7 +102,8 @@ def token_pairs(files: DataFrame, most: int = TOKEN_FILES, cell: int = CELL) ->
     """
     carried = ("tokens", "file_size", "posted", "media_group")
     own = files.select("message_id", F.array_distinct("tokens").alias("tokens"), "file_size", "posted", "media_group")
-    pairs = block_pairs(token_keys(files, most).distinct().join(own, "message_id"), carried, cell)
+    keys = checkpointed(token_keys(files, most).distinct())  # read for the sizes of blocks and for both sides of the join
+    pairs = block_pairs(keys.join(own, "message_id"), carried, cell)
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
     near = close_sizes(F.col("file_size_a"), F.col("file_size_b")) | (F.abs(F.col("posted_a") - F.col("posted_b")) <= NEAR_SECONDS) | (F.abs(F.col("a") - F.col("b")) <= NEAR_IDS) | (F.col("media_group_a") == F.col("media_group_b"))
     ok = (F.col("shared") >= 2) | ((F.col("shared") >= 1) & F.coalesce(near, F.lit(False)))
@@ -200,7 +202,7 @@ def same_size_pairs(files: DataFrame, most: int = SIZE_FILES, cell: int = CELL,
     Files of one size and name are one entry: their least id and how many they are. Sizes with at most ``most`` names are compared directly, those
     with more through the stretches of ``segment_pairs``; both find every pair with a likeness (1 - edits / longer length) of ALIKE.
     """
-    names = names_of_sizes(files, name)
+    names = checkpointed(names_of_sizes(files, name))  # read by both ways, more than once by each
     sizes = names.groupBy("file_size").count().where("count > 1").select("file_size", (F.col("count") > most).alias("many"))
     n = names.join(sizes, "file_size")
     few = all_of_one_size(n.where("not many"), cell)
