@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import eta
 from ..operators import rollups
 from ..operators.components import checkpoint_folder
+from ..sources.snapshot import merged_stream, read_snapshot
 from ..streaming import jobs, states as keyed
 
 
@@ -103,7 +104,21 @@ def burst_stream(spark, sf):
     return keyed.read_bursts(spark, target)
 
 
-QUERIES = {"archive_progress": archive_progress, "archive_customers": archive_customers, "job_stream": job_stream, "burst_stream": burst_stream, "progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
+def event_snapshot(spark, sf):
+    """The latest event of each user and type, as a stream leaves it that merges its batches into a snapshot by key (A3, K1, K2)."""
+    events_, target, offsets = _stream(spark, sf)
+    merged_stream(events_.select("user_id", "event_type", "event_id", "value"), target, ["user_id", "event_type"], "event_id", offsets)
+    return read_snapshot(spark, target, "user_id long, event_type string, event_id long, value double")
+
+
+def event_payloads(spark, sf):
+    """Payloads of events by type, read as variants (B18): how many there are and hold a number, and what these sum up to."""
+    number = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    e = events(spark, sf).select("event_type", number.alias("k"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("n_numbers"), F.sum("k").alias("total"), F.max("k").alias("largest"))
+
+
+QUERIES = {"event_snapshot": event_snapshot, "event_payloads": event_payloads, "archive_progress": archive_progress, "archive_customers": archive_customers, "job_stream": job_stream, "burst_stream": burst_stream, "progress_snapshot": progress, "job_states": states, "job_counts": counts, "daily_pivot": pivot, "trailing_waits": waits, "remaining_work": remaining, "decisions": decisions, "latest_failures": latest_failures}
 STREAM_SQL = f"""with {STATES_SQL}, last as (select user_id, max_by(ts, event_id) as ts from events group by user_id)
 select jobs.*, status = 'RUNNING' and epoch_ms(ts) + {jobs.STALLED * 1000} <= (select epoch_ms(max(ts)) from events) - {jobs.LATE_SECONDS * 1000} as stalled from jobs join last using (user_id)"""
 ARCHIVE_SQL = """jobs as (select cast(n_regionkey as bigint) as archive_id, o_orderkey as job_id, case o_orderstatus when 'F' then 'SUCCESS' when 'O' then 'RUNNING' else 'FAILED' end as status, o_orderpriority as label, o_custkey
@@ -115,6 +130,9 @@ select archive_id, count(*) as n_jobs, count(*) filter (status = 'SUCCESS') as n
  cast(coalesce(sum(files) filter (status = 'SUCCESS'), 0) as bigint) as files, cast(coalesce(sum(bytes) filter (status = 'SUCCESS'), 0) as bigint) as bytes, cast(coalesce(sum(first_bytes) filter (status = 'SUCCESS'), 0) as bigint) as first_bytes
 from jobs left join s using (job_id) left join f using (job_id) group by archive_id""",
     "archive_customers": f"with {ARCHIVE_SQL} select archive_id, count(distinct o_custkey) as n_customers, true as close from jobs group by archive_id",
+    "event_snapshot": "select user_id, event_type, max(event_id) as event_id, max_by(value, event_id) as value from events group by user_id, event_type",
+    "event_payloads": """with e as (select event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events)
+ select event_type, count(*) as n, count(k) as n_numbers, cast(sum(k) as bigint) as total, max(k) as largest from e group by event_type""",
     "job_stream": STREAM_SQL,
     "job_states": f"with {STATES_SQL} select * from jobs",
     "job_counts": f"with {STATES_SQL} select status, count(*) as n, cast(sum(attempts) as bigint) as attempts from jobs group by status",
