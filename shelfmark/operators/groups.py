@@ -110,6 +110,14 @@ def domain(text: Column, services: list[str]) -> Column:
     return F.struct(name.alias("name"), sure.alias("confidence"))
 
 
+def weakest_links(members: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
+    """(group_id, a, b, score, evidence) of the weakest link of each group that has one, with the first few pieces of evidence (G4). Second copies of a part
+    are no links; ties go to the least pair. An aggregation with map-side combine: no group is gathered."""
+    own = links.where("kept and not dup_slot").join(members.select(F.col("message_id").alias("a"), "group_id"), "a")
+    least = own.groupBy("group_id").agg(F.min(F.struct("score", "a", "b", "evidence")).alias("w"))
+    return least.select("group_id", "w.a", "w.b", "w.score", F.slice("w.evidence", 1, most).alias("evidence"))
+
+
 def enrich(groups: DataFrame, files: DataFrame, members: DataFrame, patterns: list[str] = HOLD_PATTERNS, keywords: list[str] = (), services: list[str] = ()) -> DataFrame:
     """groups with held (any member's name or caption matches a pattern), hold_reason (of the first such member), tagged (any name has a
     keyword), category (of the first member's name) and domain (of the group's base, unless held) (G7)."""

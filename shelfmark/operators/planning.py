@@ -43,9 +43,9 @@ def archive_estimates(archives: DataFrame, groups: DataFrame, members: DataFrame
 
 
 def with_destinations(records: DataFrame, archives: DataFrame, destinations: DataFrame) -> DataFrame:
-    """records for each of the few archives, with the address that (archive, label) has there, or none."""
+    """records for each of the archives, with the address that (archive, label) has there, or none (D12). Spark broadcasts the archives if they are small."""
     url = F.concat_ws("/", F.lit("archive"), F.col("archive_id").cast("string"), F.col("place").cast("string"))
-    joined = records.crossJoin(F.broadcast(archives)).join(destinations, ["archive_id", "label"], "left")
+    joined = records.crossJoin(archives).join(destinations, ["archive_id", "label"], "left")
     return joined.select("archive_id", *records.columns, F.when(F.col("place").isNotNull(), url).alias("url"))
 
 
@@ -55,15 +55,34 @@ def index_records(groups: DataFrame) -> DataFrame:
     return groups.where("kind <> 'held'").withColumn("haystack", text)
 
 
-SORTS = {"name": [F.lower, "name"], "size": [F.desc, "total_size"], "files": [F.desc, "n_files"], "country": [F.asc_nulls_last, "country"]}
+def with_updated(records: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+    """records with the time of the newest file of each; null where none has one."""
+    newest = members.join(files.select("message_id", "posted"), "message_id").groupBy("group_id").agg(F.max("posted").alias("updated"))
+    return records.join(newest, "group_id", "left")
 
 
-def search(records: DataFrame, text: str = "", country: str | None = None, category: str | None = None, status: str | None = None, kind: str | None = None, multi: bool | None = None, sort: str = "name", limit: int | None = None) -> DataFrame:
-    """Records that pass all filters given, in one of four orders; ties by group."""
+def write_index(records: DataFrame, folder: str) -> None:
+    """The records as lines of JSON in the order of their names, then of their ids (A10). A range sort: the parts of the folder follow each other."""
+    records.orderBy(F.lower("name"), "group_id").write.mode("overwrite").json(folder)
+
+
+def write_report(report: DataFrame, folder: str) -> None:
+    """The report's one row as a text file."""
+    report.select("report").coalesce(1).write.mode("overwrite").text(folder)
+
+
+SORTS = {"name": [F.lower, "name"], "size": [F.desc, "total_size"], "files": [F.desc, "n_files"], "country": [F.asc_nulls_last, "country"], "updated": [F.desc_nulls_last, "updated"]}
+
+
+def search(records: DataFrame, text: str = "", country: str | None = None, category: str | None = None, status: str | None = None, kind: str | None = None, multi: bool | None = None, sort: str = "name", limit: int | None = None, archive: int | None = None) -> DataFrame:
+    """Records that pass all filters given, in one of five orders; ties by group (C8, H9). Only records with_destinations can be asked for those
+    that are in an archive, only records with_updated come by their time."""
     out = records
     for c, v in (("country", country), ("category", category), ("status", status), ("kind", kind)):
         if v is not None:
             out = out.where(F.col(c) == v)
+    if archive is not None:
+        out = out.where((F.col("archive_id") == archive) & F.col("url").isNotNull())
     if multi is not None:
         out = out.where((F.col("n_files") > 1) == multi)
     if text.strip():
@@ -91,6 +110,13 @@ def review_items(groups: DataFrame, files: DataFrame) -> DataFrame:
     return grouping.unionByName(country).unionByName(alike)
 
 
+def opened(items: DataFrame, fields: dict[str, str], payload: str = "payload") -> DataFrame:
+    """items with their JSON payloads as variants (``opened``), a column for each field, {name: type}, and the payload's shape (B18, J4). A payload that isn't JSON,
+    and a field that is missing or of another type, are null."""
+    out = items.withColumn("opened", F.try_parse_json(payload))
+    return out.withColumns({name: F.try_variant_get("opened", f"$.{name}", kind) for name, kind in fields.items()}).withColumn("shape", F.schema_of_variant("opened"))
+
+
 def review_list(items: DataFrame, statuses: DataFrame, status: str = "PENDING", kind: str | None = None, limit: int = HEAD_REVIEW) -> DataFrame:
     """The head of the items (item_id, kind) with a status, by id; what no status row names is pending."""
     latest = statuses.groupBy("item_id").agg(F.max_by("status", "decision_id").alias("status"))

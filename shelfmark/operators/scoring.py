@@ -53,6 +53,33 @@ def score(a: Column, b: Column, name: Column, caption: Column | float = 0.0) ->
     return F.when(name < LEAST_NAME, 0.0).when(duplicate_slot(a, b), F.greatest(F.lit(0.5), base + 0.1)).otherwise(full)
 
 
+def evidence(a: Column, b: Column, name: Column | None = None, caption: Column | None = None) -> Column:
+    """What speaks for and against a pair, in the order of the score's terms, as an array of texts (E14). Without ``name`` the names are equal."""
+    label = lambda f: F.concat(F.lit("part "), f["number"].cast("string"))
+    gap = F.abs(a["number"] - b["number"])
+    two = F.concat(label(a), F.lit(" and "), label(b))
+    mixed = ~F.coalesce(compatible(a, b), F.lit(False))
+    both = F.when(mixed, "kinds of archive that do not go together").when(gap == 0, F.concat(label(a), F.lit(" of two names"))).when(gap == 1, F.concat(two, F.lit(" in a row"))).otherwise(F.concat(two, F.lit(" of one sequence")))
+    part = F.when(a["number"].isNotNull(), a["container"]).otherwise(b["container"])
+    other = F.when(a["number"].isNotNull(), b["container"]).otherwise(a["container"])
+    final = F.when(a["number"].isNotNull(), b["is_final"]).otherwise(a["is_final"]) & other.isin(ARCHIVES)
+    split = part.isNull() & other.isin("zip", "rar", "7z", "tar")
+    one = F.when(final & (part == other), "a part and the whole archive").when(final & split, F.concat(F.lit("a part and a whole ."), other)).when(final & part.isNotNull(), F.concat(F.lit("a ."), part, F.lit(" part and a whole ."), other)).when(~final & (part == other), "one container, one number")
+    numbered = a["number"].isNotNull().cast("int") + b["number"].isNotNull().cast("int")
+    d = F.abs(a["posted"] - b["posted"])
+    sizes = F.greatest(a["file_size"], b["file_size"]) <= F.least(a["file_size"], b["file_size"]) * 1.5
+    said = [
+        F.when(numbered == 2, both).when(numbered == 1, one), F.when(d <= 60, "posted within a minute").when(d > 7 * 86400, "posted over a week apart"),
+        F.when(a["media_group"] == b["media_group"], "posted as one group").when(F.abs(a["message_id"] - b["message_id"]) <= 100, "ids close together"), F.when((numbered > 0) & sizes, "sizes alike"),
+    ]
+    if name is not None:
+        said.insert(0, F.when(name < 0.60, F.concat(F.lit("names hardly alike, "), F.format_number(name, 2))))
+    if caption is not None:
+        said.append(F.when(caption > 0, "captions alike"))
+    every = F.filter(F.array(*said), lambda x: x.isNotNull())
+    return F.when(duplicate_slot(a, b), F.array(F.concat(label(a), F.lit(" twice")))).otherwise(every)
+
+
 def caption_score(a: Column, b: Column) -> Column:
     """What alike captions add (E13); nothing where one is missing."""
     c = token_set_ratio(a, b)
@@ -67,8 +94,8 @@ def name_similarity(a: Column, b: Column) -> Column:
 FIELDS = ("message_id", "base", "file_size", "posted", "media_group")
 
 
-def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captions: bool = False) -> DataFrame:
-    """(a, b, score, dup_slot, kept) of candidate pairs. Without ``fuzzy`` all names must be equal; with neither that nor ``captions``
+def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captions: bool = False, why: bool = False) -> DataFrame:
+    """(a, b, score, dup_slot, kept) of candidate pairs, and with ``why`` their evidence. Without ``fuzzy`` all names must be equal; with neither that nor ``captions``
     no Python runs. Scores grow with the likeness of names, so pairs of other names that equal names wouldn't save are left out
     before any likeness is computed, and each pair of names is compared once."""
     side = files.select(F.struct(*FIELDS, *(["caption"] if captions else []), "part.number", "part.family", "part.container", "part.is_final").alias("f"))
@@ -85,5 +112,6 @@ def scored_pairs(pairs: DataFrame, files: DataFrame, fuzzy: bool = False, captio
     if captions:
         x = x.withColumn("caption", caption_score(fa["caption"], fb["caption"]))
     s = F.round(score(fa, fb, F.col("name"), F.col("caption") if captions else 0.0), 6)
-    out = x.select("a", "b", s.alias("score"), duplicate_slot(fa, fb).alias("dup_slot"))
+    said = [evidence(fa, fb, F.col("name") if fuzzy else None, F.col("caption") if captions else None).alias("evidence")] if why else []
+    out = x.select("a", "b", s.alias("score"), duplicate_slot(fa, fb).alias("dup_slot"), *said)
     return out.withColumn("kept", F.col("dup_slot") | (F.col("score") >= REVIEW))

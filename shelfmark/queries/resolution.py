@@ -153,6 +153,55 @@ def review_queue(spark, sf):
     return g.select(F.lit("grouping").alias("kind"), "group_id", F.to_json(F.struct("name", "review_reason", "n_files")).alias("payload"))
 
 
+def review_payloads(spark, sf):
+    """Review items read back from their payloads, those of several files."""
+    items = planning.opened(review_queue(spark, sf), {"name": "string", "review_reason": "string", "n_files": "long"})
+    return items.where("n_files > 1").select("kind", "group_id", "name", "review_reason", "n_files")
+
+
+def pair_evidence(spark, sf):
+    """What speaks for and against each candidate pair, in order."""
+    files = slots(parsed_parts(spark, sf))
+    scored = scoring.scored_pairs(blocking.exact_base_pairs(files), files, why=True)
+    return scored.select("a", "b", "score", F.array_join("evidence", "; ").alias("evidence"))
+
+
+EVIDENCE_SQL = """said as (select a, b, len, case when dup then 'part ' || n1 || ' twice' else concat_ws('; ',
+  case when n1 is not null and n2 is not null then case when not coalesce(f1 is not distinct from f2 or c1 = c2 or c1 is null or c2 is null, false) then 'kinds of archive that do not go together'
+     when n1 = n2 then 'part ' || n1 || ' of two names' else 'part ' || n1 || ' and part ' || n2 || case when abs(n1 - n2) = 1 then ' in a row' else ' of one sequence' end end
+   when n1 is not null or n2 is not null then case when (case when n1 is not null then e2 else e1 end) and c1 = c2 then 'a part and the whole archive'
+     when (case when n1 is not null then e2 else e1 end) and (case when n1 is not null then c1 else c2 end) is null then 'a part and a whole .' || (case when n1 is not null then c2 else c1 end)
+     when (case when n1 is not null then e2 else e1 end) then 'a .' || (case when n1 is not null then c1 else c2 end) || ' part and a whole .' || (case when n1 is not null then c2 else c1 end)
+     when c1 = c2 then 'one container, one number' end end,
+  case when d <= 60 then 'posted within a minute' when d > 604800 then 'posted over a week apart' end, case when mg then 'posted as one group' when b - a <= 100 then 'ids close together' end,
+  case when (n1 is not null or n2 is not null) and sz then 'sizes alike' end) end as evidence from k)"""
+
+
+def weakest_links(spark, sf):
+    """The weakest link of each group with the first three pieces of its evidence."""
+    files = slots(parsed_parts(spark, sf))
+    links_ = checkpointed(scoring.scored_pairs(blocking.exact_base_pairs(files), files, why=True).where("kept"))
+    weak = groups.weakest_links(checkpointed(groups.group_members(files, links_)), links_)
+    return weak.withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def top_labels(spark, sf):
+    """The 25 labels with the most bytes; ties by kind and label (H7)."""
+    g = labelled(spark, sf)[2].where("label is not null")
+    sums = g.groupBy("kind", "label").agg(F.count("*").alias("n_groups"), F.sum("total_size").alias("total_size"))
+    return sums.orderBy(F.desc("total_size"), "kind", "label").limit(25)
+
+
+def archive_search(spark, sf):
+    """Sets that one archive has, the latest first (C8, D12, H9): archive 2 has every group whose label has 2, 7, 12 ... letters."""
+    files, members, g, _ = labelled(spark, sf)
+    archives = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("long").alias("archive_id"))
+    records = planning.with_updated(planning.index_records(g), members, files).select("group_id", "name", "label", "haystack", "updated", "n_files", "kind", "category", "status", "country", "total_size")
+    places = records.select("label").distinct().where("label is not null").select((F.length("label") % 5).cast("long").alias("archive_id"), "label", F.length("label").alias("place"))
+    found = planning.search(planning.with_destinations(records, archives, places), "order", archive=2, kind="dataset", multi=True, sort="updated", limit=100)
+    return found.select("group_id", "name", "label", "updated", "url")
+
+
 def index_records(spark, sf):
     """One JSON record for each exportable group; held groups have none."""
     return planning.index_records(labelled(spark, sf)[2]).select("group_id", F.to_json(F.struct("name", "label", "kind", "category", "status", "n_files", "total_size", "haystack")).alias("record"))
@@ -289,12 +338,20 @@ QUERIES = {
     "exact_base_pairs": base_pairs, "pair_scores": links, "token_candidates": token_candidates, "neighbour_pairs": neighbours, "copy_components": copies, "groups": group_table,
     "group_members": member_table, "label_rollup": label_rollup, "report": report, "report_document": report_document, "archive_estimates": archive_estimates, "review_queue": review_queue,
     "index_records": index_records, "index_search": search, "text_search": text_search, "group_facets": group_facets, "live_labels": live_labels, "top_groups": top_groups, "pilot_groups": pilot_groups, "numeric_ids": numeric_ids, "destinations": destinations,
+    "review_payloads": review_payloads, "pair_evidence": pair_evidence, "weakest_links": weakest_links, "top_labels": top_labels, "archive_search": archive_search,
     "linked_groups": linked_groups, "linked_review": linked_review,
 }
 SQL = {
     "exact_base_pairs": f"with {PAIRS_SQL} select a, b from pairs",
     "pair_scores": f"with {LINKS_SQL} select a, b, score, dup_slot, dup_slot or score >= 0.65 as kept from links",
     "token_candidates": TOKENS_SQL,
+    "review_payloads": f"with recursive {LABELS_SQL} select 'grouping' as kind, group_id, name, review_reason, n_files from labelled where status = 'REVIEW' and n_files > 1",
+    "pair_evidence": f"with {LINKS_SQL}, {EVIDENCE_SQL} select a, b, score, evidence from links join said using (a, b)",
+    "weakest_links": f"""with recursive {GROUPS_SQL}, {EVIDENCE_SQL} select group_id, link.a as a, link.b as b, link.s as score, array_to_string(string_split(evidence, '; ')[1:3], '; ') as evidence
+ from groups join said on said.a = link.a and said.b = link.b""",
+    "top_labels": f"with recursive {LABELS_SQL} select kind, label, count(*) as n_groups, cast(sum(total_size) as bigint) as total_size from labelled where label is not null group by kind, label order by total_size desc, kind, label limit 25",
+    "archive_search": f"""with recursive {LABELS_SQL}, newest as (select group_id, max(posted) as updated from members join files using (message_id) group by group_id)
+ select group_id, name, label, updated, 'archive/2/' || length(label) as url from records join newest using (group_id) where kind = 'dataset' and n_files > 1 and contains(haystack, 'order') and length(label) % 5 = 2 order by updated desc nulls last, group_id limit 100""",
     "neighbour_pairs": "select a.conv_id, a.turn as a, b.turn as b from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) a join (select *, row_number() over (partition by conv_id order by turn) as r from conversations) b on a.conv_id = b.conv_id and b.r > a.r and b.r <= a.r + 15",
     "copy_components": "select doc_id as node, least as component from (select doc_id, min(doc_id) over (partition by text) as least, count(*) over (partition by text) as n from documents) where n > 1",
     "groups": f"with recursive {GROUPS_SQL} select group_id, name, n_files, total_size, n as n_parts, array_to_string(missing, ',') as missing, partial_start, cast(confidence as double) as confidence, state as status, review_reason, reasons from groups",
