@@ -5,6 +5,8 @@ import re
 import duckdb
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from shelfmark.llm import quality, secrets, url_filters
 from shelfmark.llm import queries as llm
 
@@ -110,3 +112,33 @@ def test_url_sql(spark):
     want = con.sql(llm.oracle_sql()["op7_url_filters"])
     got = llm.queries()["op7_url_filters"](spark, SF).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_parent_domains_paths_and_snapshots(spark):
+    lines = ["0.0.0.0 Ads.Example.com", "https://www.shop.test/Bad//Path/ # paths keep their case", "# nothing", "", None, "evil.test", "10.1.2.3", "2.3"]
+    rules = [r.rule for r in spark.createDataFrame([(x,) for x in lines], "line string").select(url_filters.rule_of_line(F.col("line")).alias("rule")).collect()]
+    assert rules == ["ads.example.com", "shop.test/Bad/Path", None, None, None, "evil.test", "10.1.2.3", "2.3"]
+    shot = [("l", h, d) for d, hosts in ((0, ["evil.test"]), (10, ["evil.test", "shop.test/Bad/Path"]), (30, ["evil.test", "evil.test", "2.3"]), (40, ["shop.test/Bad/Path"])) for h in hosts] + [("l", None, 0), (None, "x", 0)]
+    valid = url_filters.snapshot_validity(spark.createDataFrame(shot, "list string, host string, day int"), spark.createDataFrame([("l", d) for d in (0, 10, 20, 30, 40)], "list string, day int"))
+    want = {("evil.test", 0, 20), ("evil.test", 30, 40), ("shop.test/Bad/Path", 10, 20), ("shop.test/Bad/Path", 40, None), ("2.3", 30, 40)}
+    assert {(r.host, r.from_day, r.to_day) for r in valid.collect()} == want
+    urls = ["http://a.b.evil.test/x", "http://notevil.test/", "https://shop.test/Bad/Path/more?q", "https://shop.test/bad/path", "https://shop.test/Bad", "http://1.2.3/", "http://10.1.2.3/", None, "no url", "http://u@www.EVIL.test:80"]
+    captures = [(k, u, d, "s") for k, u in enumerate(urls) for d in (5, 15, 25, 35, 45, None)]
+    table = spark.createDataFrame(captures, "id long, url string, day int, slice string")
+    got = {(r.id, r.day): [e.rule for e in r.active] for r in url_filters.listed_at_fetch(table, valid).collect()}
+
+    def brute(url, day):
+        if url is None or "://" not in url or day is None:
+            return []
+        at, _, path = url.split("://")[1].partition("/")
+        host = at.split("@")[-1].split(":")[0].lower().removeprefix("www.")
+        path = "/".join(x for x in path.split("?")[0].split("/") if x)
+        address = host.replace(".", "").isdigit()
+        fits = lambda r: f"{host}/{path}/".startswith(r + "/") if "/" in r else host == r or (not address and host.endswith("." + r))
+        return sorted(r for r, a, b in want if fits(r) and a <= day and (b is None or day < b))
+
+    assert got == {(k, d): brute(u, d) for k, u, d, _ in captures} and any(got.values())
+    same = url_filters.listed_at_fetch(table.unionByName(table).withColumn("active", F.lit(1)), valid)
+    assert same.columns == ["id", "url", "day", "slice", "active"] and same.count() == 2 * len(captures)
+    assert url_filters.listed_at_fetch(table.limit(0), valid).count() == 0
+    assert {len(r.active) for r in url_filters.listed_at_fetch(table, valid.limit(0)).collect()} == {0}
