@@ -18,6 +18,8 @@ SHINGLE_WORDS = 5
 NEED, PARTS = 80, 100
 #: Leaders of a list, one in the first round, grow by this factor from round to round, until all members of a list have led.
 MORE_LEADERS = 64
+#: Lists are cut into cells of about 2 ** CELL_BITS members at most.
+CELL_BITS = 9
 
 
 def shingle_sets(chunk: Chunk, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ class Sets:
         self.tokens, self.levels = self.hashes[at], levels[at]
 
 
-NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shareable", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
+NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shareable", pa.int64()), ("prefix_group", pa.int64()), ("tokens", pa.binary()), ("levels", pa.binary()), ("pos", pa.binary()), ("chunk", pa.int64()), ("place", pa.int32())])
 
 
 def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -115,14 +117,16 @@ def _candidates(chunks: DataFrame, chosen: DataFrame) -> DataFrame:
         for k in np.unique(sets.owner[on]).tolist():
             a, b = bounds[k], bounds[k + 1]
             at = a + np.flatnonzero(on[a:b])
-            yield int(sets.ids[k]), int(sets.n[k]), int(sets.shareable[k]), int(group[k]), sets.tokens[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
+            yield int(sets.ids[k]), int(sets.n[k]), int(sets.shareable[k]), int(group[k]), sets.tokens[at].tobytes(), sets.levels[at].tobytes(), sets.pos[at].astype(np.int32).tobytes(), chunk.key, int(sets.texts[k])
 
     levels = key_levels(chunks, shingles, buckets, chosen)
-    return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, shareable long, prefix_group long, tokens binary, pos binary, chunk long, place int", NODES).checkpoint()
+    return with_answers(chunks, levels.unionByName(chosen), nodes, "node long, n long, shareable long, prefix_group long, tokens binary, levels binary, pos binary, chunk long, place int", NODES).checkpoint()
 
 
 #: What a list has of each group, besides its shingle. A group is named by the node that stands for it.
 ENTRY = ["node", "n", "shareable", "pos"]
+#: What deals a list. Its cells are numbered from 0, and a member's is a hash of its name.
+CELL = ["token", "cells", "cell"]
 
 
 def _companions(nodes: DataFrame) -> DataFrame:
@@ -132,19 +136,32 @@ def _companions(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *key).join(many, key).where("node <> group").select("group", "node")
 
 
+def _every_cell(lists: DataFrame) -> DataFrame:
+    """Rows of whole lists, once for each cell of their list."""
+    return lists.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+
+
 def _token_rows(groups: DataFrame) -> DataFrame:
-    """A row for each shingle in a group's prefix that another group has in its own."""
+    """A row for each shingle in a group's prefix that another group has in its own.
+
+    The level of a shingle bounds the length of its list (to a factor of two) before any list is made, and is the same wherever the shingle
+    is; so every row knows by itself how many cells its list has and which it belongs to, and no step deals a long list by its shingle alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, pos = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("tokens", np.int64), ("pos", np.int32)))
+            tokens, levels, pos = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("tokens", np.int64), ("levels", np.uint8), ("pos", np.int32)))
             which = np.repeat(np.arange(batch.num_rows), [len(t) for t in tokens])
             plain = batch.select(["node", "n", "shareable"]).take(pa.array(which))
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), *plain.columns, pa.array(np.concatenate([np.empty(0, np.int32), *pos]))], ["token", "node", "n", "shareable", "pos"])
+            flat = [np.concatenate([np.empty(0, t), *parts]).astype(t) for t, parts in ((np.int64, tokens), (np.int32, levels), (np.int32, pos))]
+            yield pa.record_batch([pa.array(flat[0]), pa.array(flat[1]), *plain.columns, pa.array(flat[2])], ["token", "level", "node", "n", "shareable", "pos"])
 
-    rows = groups.select("node", "n", "shareable", "tokens", "pos").mapInArrow(run, "token long, node long, n long, shareable long, pos int")
-    listed = rows.groupBy("token").count().where("count > 1").select("token")
-    return rows.join(listed, "token", "left_semi").select("token", *ENTRY)
+    rows = groups.select("node", "n", "shareable", "tokens", "levels", "pos").mapInArrow(run, "token long, level int, node long, n long, shareable long, pos int")
+    # no list has 2 ** 31 cells: that were 2 ** 40 sets with one shingle
+    cells = F.pow(F.lit(2), F.greatest(F.col("level") - CELL_BITS, F.lit(0))).cast("int")
+    rows = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
+    listed = _every_cell(rows.groupBy("token", "cells").count().where("count > 1").drop("count"))
+    return rows.join(listed, CELL, "left_semi").select(*CELL, *ENTRY)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -216,11 +233,14 @@ def _rest(of: str = "") -> Column:
 
 
 def _undecided(lists: DataFrame) -> DataFrame:
-    """Members of lists that aren't one component, without those that no other member could link to; length is that of their list."""
-    best = lists.groupBy("token").agg(F.min("n").alias("least"), F.max(_rest()).alias("most"))
-    some = lists.join(best, "token").where(F.least(_rest(), F.col("most")) >= needed_overlap(F.col("n"), F.col("least")))
-    open_ = some.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select("token", "length")
-    return some.join(open_, "token").select("token", *ENTRY, "component", "length")
+    """Members of lists that aren't one component, without those that no other member could link to; length is that of their list.
+
+    What is known of a list as a whole is summed up in two steps and told to each of its cells.
+    """
+    best = lists.groupBy("token", "cells").agg(F.min("n").alias("least"), F.max(_rest()).alias("most"))
+    some = lists.join(_every_cell(best), CELL).where(F.least(_rest(), F.col("most")) >= needed_overlap(F.col("n"), F.col("least")))
+    open_ = some.groupBy("token", "cells").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")).where("lo < hi").select("token", "cells", "length")
+    return some.join(_every_cell(open_), CELL).select(*CELL, *ENTRY, "component", "length")
 
 
 def _partner(names: list[str], of: str = "") -> list[Column]:
@@ -230,14 +250,14 @@ def _partner(names: list[str], of: str = "") -> list[Column]:
 
 
 def _leaders(lists: DataFrame, k: int, times: int) -> DataFrame:
-    """(token, leader) of each list: in the first round the member with the fewest shingles of its own, as that links to most others; then
+    """(token, cells, leader) of each list: in the first round the member with the fewest shingles of its own, as that links to most others; then
     about ``times`` members by a hash of the round, and all of a list that isn't longer."""
     entry = F.struct(*ENTRY, "component")
     if k == 0:
         own = (F.col("n") - F.col("shareable")) / F.col("n")
-        return lists.groupBy("token").agg(F.min_by(entry, F.struct(own, F.xxhash64("node"))).alias("leader"))
+        return lists.groupBy("token", "cells").agg(F.min_by(entry, F.struct(own, F.xxhash64("node"))).alias("leader"))
     drawn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 30)) * F.col("length").cast("double") < float(times * (1 << 30))
-    return lists.where(drawn).select("token", entry.alias("leader"))
+    return lists.where(drawn).select("token", "cells", entry.alias("leader"))
 
 
 def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -272,7 +292,7 @@ def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
             return labels if labels is not None else nodes.select("node", F.col("node").alias("component")).where("1 = 0")
         entry = [*ENTRY, "component"]
         leaders = _leaders(now, k, times)
-        met = now.join(leaders, "token").where("node <> leader.node").select("token", *entry, *_partner(entry, "leader.")).where("component <> component2")
+        met = now.join(_every_cell(leaders), CELL).where("node <> leader.node").select("token", *entry, *_partner(entry, "leader.")).where("component <> component2")
         pairs = met.where(_possible()).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = _promising(pairs, nodes).checkpoint()
         links = _verify(pairs, nodes, chunks).checkpoint()
@@ -282,7 +302,7 @@ def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
         wide = wide.select(F.coalesce("of_a", "a").alias("a2"), F.coalesce("of_b", "b").alias("b2"), "a", "b").where("a2 <> a or b2 <> b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).checkpoint()
         if not wide.isEmpty():
             links = links.unionByName(_verify(wide, nodes, chunks)).checkpoint()
-        lists = now.join(leaders.select("token", F.col("leader.node").alias("node")), ["token", "node"], "left_anti").select("token", *ENTRY)
+        lists = now.join(leaders.select("token", F.col("leader.node").alias("node")), ["token", "node"], "left_anti").select(*CELL, *ENTRY)
         k, times = k + 1, times * MORE_LEADERS
 
 

@@ -88,6 +88,28 @@ def test_large_group_and_long_texts(spark):
     assert got == brute(rows) | {(None, 0, None)}
 
 
+def test_lists_in_cells(spark, monkeypatch):
+    """Lists of a hundred and more cells give what whole lists give: no member and no leader is lost between two cells."""
+    r = random.Random(5)
+    shared = [f"s{j}" for j in range(12)]
+    rows = []
+    for k in range(300):
+        text = shared + [f"u{r.randrange(9)}x{j}" for j in range(3 + k % 4)]
+        if k % 5 == 0:
+            text[r.randrange(12)] = f"e{k}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "CELL_BITS", 1)
+    seen = []
+    keep = jaccard_join._undecided
+    monkeypatch.setattr(jaccard_join, "_undecided", lambda lists: seen.append(lists) or keep(lists))
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+    cells = seen[0].groupBy("token", "cells").count().where("cells >= 16").collect()
+    assert cells and all(x["count"] <= 2 * x.cells for x in cells)
+    assert max(x["count"] for x in seen[0].groupBy("token", "cell").count().collect()) < 20
+
+
 def test_words_that_polynomial_hashes_confuse(spark):
     morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
     other = morse.translate(str.maketrans("ab", "ba"))
