@@ -189,7 +189,7 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _verify(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(a, b) of those pairs of nodes whose sets link. The chunks of the b side send each of its sets once to each chunk of the a side
-    that asks for it."""
+    that asks for it, so the side with few nodes in many pairs should be b."""
 
     def sets_at(chunk: Chunk, places: set[int]) -> dict[int, np.ndarray]:
         some = sorted(places)
@@ -274,8 +274,8 @@ def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     with more leaders each, until no list is left, so no link that could change a component is left out.
     """
     companions = _companions(nodes).checkpoint()
-    links = _verify(companions.select(F.col("group").alias("a"), F.col("node").alias("b")), nodes, chunks).checkpoint()
-    held = links.select(F.col("b").alias("node"), F.col("a").alias("group"))
+    links = _verify(companions.select(F.col("node").alias("a"), F.col("group").alias("b")), nodes, chunks).checkpoint()
+    held = links.select(F.col("a").alias("node"), F.col("b").alias("group"))
     groups = nodes.join(held.select("node"), "node", "left_anti")
     members = held.unionByName(held.select(F.col("group").alias("node"), "group").distinct())
     lists = _token_rows(groups).checkpoint()
@@ -293,8 +293,9 @@ def linked_nodes(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
         entry = [*ENTRY, "component"]
         leaders = _leaders(now, k, times)
         met = now.join(_every_cell(leaders), CELL).where("node <> leader.node").select("token", *entry, *_partner(entry, "leader.")).where("component <> component2")
-        pairs = met.where(_possible()).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = _promising(pairs, nodes).checkpoint()
+        # b is a leader: its set goes to the members' chunks, as the chunk of one that leads a long list couldn't take the sets of all members
+        both = met.where(_possible()).groupBy(F.least("node", "b").alias("lo"), F.greatest("node", "b").alias("hi")).agg(F.max("b").alias("b"))
+        pairs = _promising(both.select(F.when(F.col("b") == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("a"), "b"), nodes).checkpoint()
         links = _verify(pairs, nodes, chunks).checkpoint()
         rest = pairs.join(links, ["a", "b"], "left_anti")
         side = lambda c: members.select(F.col("group").alias(c), F.col("node").alias(f"of_{c}"))
