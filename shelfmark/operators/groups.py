@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DOTTED, fold, safe_title, unresolvable
+from ..functions.text import DOTTED, display_name, fold, safe_title, unresolvable
 from .components import connected_components
 from .ranks import ranked
 from .scoring import AUTO
@@ -32,9 +32,13 @@ def group_members(files: DataFrame, links: DataFrame) -> DataFrame:
 def finalise(files: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """A row for each group: files, parts, gaps, size, confidence, status, why it needs review, what speaks for it and its weakest link
     (the least pair of those with the least score) (G1 to G6)."""
+    # without a column display, the name shown is made for the first file of each group alone
+    shown = "display" if "display" in files.columns else F.struct("filename", F.col("part.base").alias("stem"))
     g = members.join(files, "message_id").groupBy("group_id").agg(
         F.count("*").alias("n_files"), F.sum(F.coalesce("file_size", F.lit(0))).alias("total_size"), F.sort_array(F.collect_set("part.number")).alias("numbers"),
-        F.min_by("display", "message_id").alias("name"), F.min_by("base", "message_id").alias("norm"), F.bool_or(F.trim("base") != "").alias("named"))
+        F.min_by(shown, "message_id").alias("name"), F.min_by("base", "message_id").alias("norm"), F.bool_or(F.trim("base") != "").alias("named"))
+    if "display" not in files.columns:
+        g = g.withColumn("name", display_name(F.col("name.filename"), F.col("name.stem")))
     counted = links.where("not dup_slot").join(members.withColumnRenamed("message_id", "a"), "a").groupBy("group_id").agg(F.min("score").alias("weakest"), F.count("*").alias("n_links"), F.min(F.struct("score", "a", "b")).alias("link"))
     g = g.join(counted, "group_id", "left")
     n, lo, hi = F.size("numbers"), F.get("numbers", F.lit(0)), F.element_at("numbers", -1)
