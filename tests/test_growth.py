@@ -51,3 +51,29 @@ def test_names_are_peeled_and_parsed_as_before(spark):
     kinds = {"s.part3.rar": "part", "s.z01": "z", "s.r12": "r", "s.zip.001": "nn", "s.01": "nn2", "s.vol-4.rar": "vol", "s.part12345.rar": None, "s.1234": None}
     got = {r["filename"]: r["f"] for r in with_part(spark.createDataFrame([(n,) for n in kinds], "filename string")).select("filename", F.col("part.family").alias("f")).collect()}
     assert got == kinds
+
+
+def compiled(spark, plan):
+    """Sizes of the largest methods of a plan's stages, without the printing of their code."""
+    own = []
+    if plan.getClass().getSimpleName() == "WholeStageCodegenExec":
+        generator = getattr(spark._jvm.org.apache.spark.sql.catalyst.expressions.codegen, "CodeGenerator$")
+        own = [getattr(generator, "MODULE$").compile(plan.doCodeGen()._2())._2().maxMethodCodeSize()]
+    return own + [n for k in range(plan.children().size()) for n in compiled(spark, plan.children().apply(k))]
+
+
+def test_names_are_parsed_in_methods_that_can_be_compiled(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = spark.range(1).select(F.col("id").alias("message_id"), F.concat("id", F.lit(".rar")).alias("filename"))
+        found = compiled(spark, with_names(with_part(made)).select("message_id", "part", "base")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found and max(found) < LONGEST
+
+
+def test_odd_names_are_parsed_as_before(spark):
+    names = {"": "", "...": "", "rar": "", ".rar": "", "a..b.part01.rar": "a b", "x. .zip.": "x", "2024.01.11.zip": "2024 01 11", "s.z01.rar.": "s", "set.rar.part2": "set", "Order-7-Part-01-SQL.zip": "order 7 sql", "İ.part1.rar": "i̇"}
+    got = {r["filename"]: r["base"] for r in catalogue(spark, [(k, n, 1, "g") for k, n in enumerate(names)]).collect()}
+    assert got == names
