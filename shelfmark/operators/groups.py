@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,28 @@ def group_members(files: DataFrame, links: DataFrame) -> DataFrame:
 def finalise(files: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """A row for each group: files, parts, gaps, size, confidence, status, why it needs review, what speaks for it and its weakest link
     (the least pair of those with the least score) (G1 to G6)."""
+    g = summed(members.join(files, "message_id"), "group_id")
+    counted = links.where("not dup_slot").join(members.withColumnRenamed("message_id", "a"), "a").groupBy("group_id").agg(*counted_links())
+    return rated(g.join(counted, "group_id", "left"))
+
+
+def counted_links() -> list[Column]:
+    """What the links of a group say of it: the least score, how many there are, and the least pair of those with it."""
+    return [F.min("score").alias("weakest"), F.count("*").alias("n_links"), F.min(F.struct("score", "a", "b")).alias("link")]
+
+
+def summed(rows: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Files, sizes, parts and name of each group, from a row for each file; aggregates ``more`` come along."""
     # without a column display, the name shown is made for the first file of each group alone
-    shown = "display" if "display" in files.columns else F.struct("filename", F.col("part.base").alias("stem"))
-    g = members.join(files, "message_id").groupBy("group_id").agg(
+    shown = "display" if "display" in rows.columns else F.struct("filename", F.col("part.base").alias("stem"))
+    g = rows.groupBy(*keys).agg(
         F.count("*").alias("n_files"), F.sum(F.coalesce("file_size", F.lit(0))).alias("total_size"), F.sort_array(F.collect_set("part.number")).alias("numbers"),
-        F.min_by(shown, "message_id").alias("name"), F.min_by("base", "message_id").alias("norm"), F.bool_or(F.trim("base") != "").alias("named"))
-    if "display" not in files.columns:
-        g = g.withColumn("name", display_name(F.col("name.filename"), F.col("name.stem")))
-    counted = links.where("not dup_slot").join(members.withColumnRenamed("message_id", "a"), "a").groupBy("group_id").agg(F.min("score").alias("weakest"), F.count("*").alias("n_links"), F.min(F.struct("score", "a", "b")).alias("link"))
-    g = g.join(counted, "group_id", "left")
+        F.min_by(shown, "message_id").alias("name"), F.min_by("base", "message_id").alias("norm"), F.bool_or(F.trim("base") != "").alias("named"), *more)
+    return g if "display" in rows.columns else g.withColumn("name", display_name(F.col("name.filename"), F.col("name.stem")))
+
+
+def rated(g: DataFrame) -> DataFrame:
+    """Summed groups with weakest, n_links and link -> gaps, confidence, status and reasons."""
     n, lo, hi = F.size("numbers"), F.get("numbers", F.lit(0)), F.element_at("numbers", -1)
     g = g.withColumn("partial_start", F.coalesce(~lo.isin(0, 1), F.lit(False)))
     g = g.withColumn("missing", F.when((n > 0) & ~F.col("partial_start"), F.array_except(F.sequence(lo, hi), "numbers")).otherwise(F.array().cast("array<int>")))
@@ -74,11 +89,18 @@ def hold_reason(text: Column, patterns: list[str] = HOLD_PATTERNS) -> Column:
     return F.coalesce(*[F.when(text.rlike(quoted(p)), p) for p in patterns])
 
 
+PLAIN = re.compile("[a-z0-9]+")
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """Whether a folded text has one of these as a whole word."""
+    return text.rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(w for w in words if PLAIN.fullmatch(w))})(?:[^a-z0-9]|$)")
+
+
 def has_keyword(text: Column, keywords: list[str]) -> Column:
     """Whether a word of the folded text starts with a keyword of at least three letters (C2); the list is empty unless given."""
-    words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"))
-    keys = [k for k in keywords if len(k) >= 3]
-    return F.exists(words, lambda w: F.greatest(*[w.startswith(k) for k in keys], F.lit(False), F.lit(False))) if keys else F.lit(False)
+    keys = [k for k in keywords if len(k) >= 3 and PLAIN.fullmatch(k)]  # words have letters and digits alone
+    return F.coalesce(text.rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(keys)})"), F.lit(False)) if keys else F.lit(False)
 
 
 # Word sets of categories, in the order in which they are tried.
@@ -92,12 +114,10 @@ CATEGORIES = [
 
 
 def category(text: Column, multipart: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"))
-    out = None
+    out = F.when(~has_word(text, [w for _, known in CATEGORIES for w in known]), F.lit(None).cast("string"))  # most names have none of them
     for label, known in CATEGORIES:
-        hit = F.arrays_overlap(words, F.array(*map(F.lit, known)))
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.when(multipart, "Databases / Datasets").otherwise("Miscellaneous")
+        out = out.when(has_word(text, known), label)
+    return F.coalesce(out, F.when(multipart, "Databases / Datasets").otherwise("Miscellaneous"))
 
 
 def domain(text: Column, services: list[str]) -> Column:
@@ -111,7 +131,8 @@ def domain(text: Column, services: list[str]) -> Column:
     word = F.array_min(F.array_intersect(F.regexp_extract_all(text, F.lit("([a-z0-9]+)")), known))
     name = F.when(first.isNotNull() & service, F.get(labels(first), F.lit(0))).when(first.isNotNull(), first).otherwise(word)
     sure = F.when(first.isNotNull() & service, 0.85).when(first.isNotNull(), 0.70).when(word.isNotNull(), 0.80).otherwise(0.0)
-    return F.struct(name.alias("name"), sure.alias("confidence"))
+    some = text.contains(".") | (has_word(text, services) if any(map(PLAIN.fullmatch, services)) else F.lit(False))  # else there is nothing to take apart
+    return F.struct(F.when(some, name).alias("name"), F.when(some, sure).otherwise(0.0).alias("confidence"))
 
 
 def weakest_links(members: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
@@ -125,14 +146,27 @@ def weakest_links(members: DataFrame, links: DataFrame, most: int = 3) -> DataFr
 def enrich(groups: DataFrame, files: DataFrame, members: DataFrame, patterns: list[str] = HOLD_PATTERNS, keywords: list[str] = (), services: list[str] = ()) -> DataFrame:
     """groups with held (any member's name or caption matches a pattern), hold_reason (of the first such member), tagged (any name has a
     keyword), category (of the first member's name) and domain (of the group's base, unless held) (G7)."""
-    f = files.withColumn("folded", fold(F.col("filename")))
-    text = F.concat_ws(" ", "folded", fold(F.col("caption"))) if "caption" in files.columns else F.col("folded")
-    f = f.select("message_id", "filename", "folded", hold_reason(text, patterns).alias("reason"), has_keyword(F.col("folded"), list(keywords)).alias("tag"))
-    first = lambda c: F.min_by(c, "message_id")
+    f = with_traits(files, patterns, keywords).select("message_id", "filename", "reason", "tag")
+    g = members.join(f, "message_id").groupBy("group_id").agg(*traits())
+    return traited(groups.join(g, "group_id"), services)
+
+
+def with_traits(files: DataFrame, patterns: list[str] = HOLD_PATTERNS, keywords: list[str] = ()) -> DataFrame:
+    """files with reason (the first pattern that its name or caption matches) and tag (whether its name has a keyword)."""
+    folded = fold(F.col("filename"))
+    text = F.concat_ws(" ", folded, fold(F.col("caption"))) if "caption" in files.columns else folded
+    return files.withColumn("reason", hold_reason(text, patterns)).withColumn("tag", has_keyword(folded, list(keywords)))
+
+
+def traits() -> tuple[Column, ...]:
+    """Aggregates over the files of a group: why it is held, whether it is tagged, and the name of its first file."""
     said = F.when(F.col("reason").isNotNull(), F.concat_ws(": ", "filename", "reason"))
-    g = members.join(f, "message_id").groupBy("group_id").agg(F.min_by(said, F.when(F.col("reason").isNotNull(), F.col("message_id"))).alias("hold_reason"), F.bool_or("tag").alias("tagged"), first("folded").alias("folded"))
-    g = g.withColumn("held", F.col("hold_reason").isNotNull())
-    out = groups.join(g, "group_id").withColumn("category", category(F.col("folded"), F.col("n_files") > 1)).drop("folded")
+    return F.min_by(said, F.when(F.col("reason").isNotNull(), F.col("message_id"))).alias("hold_reason"), F.bool_or("tag").alias("tagged"), F.min_by("filename", "message_id").alias("first_name")
+
+
+def traited(groups: DataFrame, services: list[str] = ()) -> DataFrame:
+    """groups with these -> held, category and domain."""
+    out = groups.withColumn("held", F.col("hold_reason").isNotNull()).withColumn("category", category(fold(F.col("first_name")), F.col("n_files") > 1)).drop("first_name")
     return out.withColumn("domain", F.when(~F.col("held") & (F.col("norm") != ""), domain(F.col("norm"), list(services))["name"]) if services else F.lit(None).cast("string"))
 
 
@@ -157,7 +191,9 @@ def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50)
     g = groups.withColumn("kind", kind)
     top = g.where("kind = 'dataset'").orderBy(F.desc("total_size"), "group_id").limit(most_labels).select("group_id", F.lit(True).alias("own"))
     g = g.join(top, "group_id", "left")
-    extra = ranked(g.where("kind = 'dataset' and own is null").select("group_id"), "group_id").select("group_id", (F.floor(F.col("nth") / bucket) + 1).alias("bucket"))
-    g = g.join(extra, "group_id", "left").withColumn("kind", F.when(F.col("bucket").isNotNull(), "overflow").otherwise(F.col("kind")))
+    # those that share buckets are ranked as they are, so that no join deals all groups again
+    rest = F.coalesce((F.col("kind") == "dataset") & F.col("own").isNull(), F.lit(False))
+    extra = ranked(g.where(rest), "group_id").withColumn("bucket", F.floor(F.col("nth") / bucket) + 1).drop("nth")
+    g = g.where(~rest).withColumn("bucket", F.lit(None).cast("long")).unionByName(extra).withColumn("kind", F.when(F.col("bucket").isNotNull(), "overflow").otherwise(F.col("kind")))
     label = F.when(F.col("kind") == "held", "Quarantine").when(F.col("kind") == "review", "Review").when(F.col("kind") == "tagged", "Tagged").when(F.col("kind") == "overflow", F.concat(F.lit("Extra Datasets "), F.col("bucket").cast("string"))).when(F.col("kind") == "dataset", safe_title(F.col("name"))).when(F.col("kind") == "country", F.col("country")).when(F.col("kind") == "domain", F.initcap("domain")).when(F.col("kind") == "misc", "Miscellaneous")
     return apart_by_kind(g.withColumn("label", label).drop("own", "bucket"))
