@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import stored
 from .groups import assign_labels
 
 ACTIONS = ("accept", "rename", "ignore", "hold")
 
 
+def last_words(log: DataFrame, key: str) -> DataFrame:
+    """The decisions of a log (decision_id, action, title) that can still count for whatever a key decides on: the latest one with a known action,
+    and the latest renaming. At most two rows a key, however long the log is."""
+    known = log.where(F.col("action").isin(*ACTIONS) & F.col(key).isNotNull())
+    named = (F.col("action") == "rename") & (F.trim("title") != "")
+    row = F.struct("decision_id", "action", "title")
+    last = known.groupBy(key).agg(F.max_by(row, "decision_id").alias("a"), F.max_by(row, F.when(named, F.col("decision_id"))).alias("b"))
+    both = F.array_distinct(F.array_compact(F.array("a", "b")))
+    return last.select(key, F.inline(both))
+
+
 def latest_decisions(log: DataFrame) -> DataFrame:
     """(group_id, action, title): the latest of each group in an append-only log (decision_id, group_id, action, title); unknown actions count for
     nothing, the title is that of the latest renaming, whatever came after it (J1)."""
@@ -32,4 +44,4 @@ def decided(groups: DataFrame, log: DataFrame) -> DataFrame:
 def live_labels(groups: DataFrame, log: DataFrame, most_labels: int = 6000, bucket: int = 50) -> DataFrame:
     """Groups with label and kind derived anew under the decisions: a group that was waiting for review gets the label that its own traits
     give it once it is accepted (C11)."""
-    return assign_labels(decided(groups, log), most_labels, bucket)
+    return assign_labels(stored(decided(groups, log)), most_labels, bucket)  # read for labels and for their ranks

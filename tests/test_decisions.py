@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from shelfmark.operators import decisions, groups
+from shelfmark.queries import resolution
 
 COLUMNS = "group_id long, name string, held boolean, ignored boolean, status string, tagged boolean, n_files long, total_size long, country string, domain string"
 
@@ -20,3 +21,14 @@ def test_labels_of_two_kinds(spark):
     rows = spark.createDataFrame([(1, "misc", "A"), (2, "dataset", "A"), (3, "country", "A"), (4, "dataset", "A"), (5, "misc", "B"), (6, "ignored", None)], "group_id long, kind string, label string")
     got = {r.group_id: r.label for r in groups.apart_by_kind(rows.withColumn("x", F.lit(1))).collect()}
     assert got == {1: "A (3)", 2: "A", 3: "A (2)", 4: "A", 5: "B", 6: None}
+
+
+def test_of_a_long_log_two_decisions_a_key_meet_the_groups(spark):
+    log = spark.createDataFrame([(k, k % 3, ["rename", "accept", "what", "ignore"][k % 4], [f"t{k}", None, "x", " "][k % 4]) for k in range(200)] + [(900, None, "hold", None)], "decision_id long, user_id long, action string, title string")
+    few = decisions.last_words(log, "user_id")
+    assert few.groupBy("user_id").count().agg(F.max("count")).first()[0] == 2 and few.count() == 6
+    of = lambda t: sorted(map(tuple, decisions.latest_decisions(t.withColumnRenamed("user_id", "group_id")).collect()))
+    assert of(few) == of(log)
+    sf = "/root/testdata/sf0.001"
+    met = resolution.decision_log(spark, sf, spark.range(200).select((F.col("id") * 1000 + 1).alias("group_id")))
+    assert met.groupBy("group_id").count().agg(F.max("count")).first()[0] <= 2
