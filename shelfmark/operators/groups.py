@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DOTTED, display_name, fold, safe_title, unresolvable
-from .components import connected_components
+from .components import connected_components, dealt, stored
 from .ranks import ranked
 from .scoring import AUTO
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:
     """(message_id, canonical, kind, confidence): rows whose file id, or else base, slot and size, an earlier row has."""
-    by_id = files.where("file_id is not null").groupBy("file_id").agg(F.min("message_id").alias("first_id"))
+    # ids and names of one file alone have no second one to be found
+    by_id = files.where("file_id is not null").groupBy("file_id").agg(F.min("message_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     f = files.withColumn("slot", F.coalesce("part.label", F.lit("base")) if "part" in files.columns else F.lit("base"))
-    named = f.where((F.length("base") >= 2) & (F.col("file_size") > 0))
-    by_name = named.groupBy("base", "slot", "file_size").agg(F.min("message_id").alias("first_name"))
-    joined = f.join(by_id, "file_id", "left").join(by_name, ["base", "slot", "file_size"], "left")
+    keys = ["base", "slot", "file_size"]
+    named = dealt(f.where((F.length("base") >= 2) & (F.col("file_size") > 0)).select("message_id", *keys), *keys, rows=files.count())
+    # stored, so that few such names are sent to the files and not all files to the names
+    by_name = stored(named.groupBy(*keys).agg(F.min("message_id").alias("first_name"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    joined = f.join(by_id, "file_id", "left").join(by_name, keys, "left")
     one, two = F.col("first_id") < F.col("message_id"), F.col("first_name") < F.col("message_id")
     out = joined.where(F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False)))
     return out.select("message_id", F.when(one, F.col("first_id")).otherwise(F.col("first_name")).alias("canonical"), F.when(one, "file_id").otherwise("name_slot").alias("kind"), F.when(one, 1.0).otherwise(0.95).alias("confidence"))
@@ -190,7 +193,7 @@ def assign_labels(groups: DataFrame, most_labels: int = 6000, bucket: int = 50)
     kind = F.when(F.col("held"), "held").when(F.col("ignored"), "ignored").when(F.col("status") == "REVIEW", "review").when(F.col("tagged"), "tagged").when(F.col("n_files") > 1, "dataset").when(F.col("country").isNotNull(), "country").when(F.col("domain").isNotNull(), "domain").otherwise("misc")
     g = groups.withColumn("kind", kind)
     top = g.where("kind = 'dataset'").orderBy(F.desc("total_size"), "group_id").limit(most_labels).select("group_id", F.lit(True).alias("own"))
-    g = g.join(top, "group_id", "left")
+    g = g.join(F.broadcast(top), "group_id", "left")  # most_labels rows
     # those that share buckets are ranked as they are, so that no join deals all groups again
     rest = F.coalesce((F.col("kind") == "dataset") & F.col("own").isNull(), F.lit(False))
     extra = ranked(g.where(rest), "group_id").withColumn("bucket", F.floor(F.col("nth") / bucket) + 1).drop("nth")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from shelfmark.functions.parts import with_part
-from shelfmark.operators import blocking, scoring
+from shelfmark.operators import bases, blocking, components, groups, scoring
 from shelfmark.queries import resolution
 from shelfmark.sources.catalog import with_names
 
@@ -77,3 +77,42 @@ def test_odd_names_are_parsed_as_before(spark):
     names = {"": "", "...": "", "rar": "", ".rar": "", "a..b.part01.rar": "a b", "x. .zip.": "x", "2024.01.11.zip": "2024 01 11", "s.z01.rar.": "s", "set.rar.part2": "set", "Order-7-Part-01-SQL.zip": "order 7 sql", "İ.part1.rar": "i̇"}
     got = {r["filename"]: r["base"] for r in catalogue(spark, [(k, n, 1, "g") for k, n in enumerate(names)]).collect()}
     assert got == names
+
+
+def deals(plan):
+    """The plans below each exchange of a plan, without what only carries rows on."""
+    own = []
+    if plan.getClass().getSimpleName() == "ShuffleExchangeExec":
+        below = plan.child()
+        while below.getClass().getSimpleName() in ("WholeStageCodegenExec", "InputAdapter", "ProjectExec"):
+            below = below.children().apply(0)
+        own = [below.getClass().getSimpleName()]
+    return own + [n for k in range(plan.children().size()) for n in deals(plan.children().apply(k))]
+
+
+def test_groups_are_dealt_before_they_are_summed(spark):
+    """Sums before a deal sort all that a task reads, and spill when its input is well compressed."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files = bases.stored(catalogue(spark, [(k, f"s{k // 4}.part{k % 4 + 1:02d}.rar", 10, "g") for k in range(40)]))
+        found = deals(bases.resolve_bases(files)[1]._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found and "ObjectHashAggregateExec" not in found
+
+
+def test_deals_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(components, "DEALT_ROWS", 100)
+    many = components.dealt(spark.range(5000), "id")
+    assert many.rdd.getNumPartitions() == 50 and many.count() == 5000
+    assert components.dealt(spark.range(50), "id").count() == 50
+
+
+def test_a_name_of_one_file_is_not_looked_up(spark):
+    rows = [(k, f"s{k}.part01.rar", 10, "g") for k in range(50)] + [(90, "s7.part01.rar", 10, "g")]
+    files = catalogue(spark, rows).withColumn("file_id", F.lit(None).cast("string"))
+    dups = groups.exact_duplicates(files)
+    assert [tuple(r) for r in dups.select("message_id", "canonical", "kind").collect()] == [(90, 7, "name_slot")]
+    joins = dups._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins
