@@ -116,3 +116,17 @@ def test_a_name_of_one_file_is_not_looked_up(spark):
     assert [tuple(r) for r in dups.select("message_id", "canonical", "kind").collect()] == [(90, 7, "name_slot")]
     joins = dups._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins
+
+
+def test_evidence_is_generated_code_that_can_be_compiled(spark):
+    """Evidence in a lambda left the whole step to an interpreter."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files = resolution.slots(catalogue(spark, [(1, "a_set.part01.rar", 5, "g"), (2, "a_set.part02.rar", 5, "g"), (3, "b_set.zip", 7, "h")]))
+        scored = scoring.scored_pairs(blocking.exact_base_pairs(files), files, why=True)
+        plan = scored._jdf.queryExecution().executedPlan()
+        found, steps = compiled(spark, plan), plan.toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found and max(found) < LONGEST and not any("Generate " in line and "*(" not in line for line in steps.splitlines())
