@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import weighted_ratio
 from .blocking import all_of_one_size, names_of_sizes
+from .components import stored
 from .groups import kept_members
 
 # Country confidences that need a look, and the likeness of names that do.
@@ -97,6 +98,18 @@ def group_texts(files: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(files.select("message_id", "filename"), "message_id").select("group_id", F.col("filename").alias("text")).distinct()
 
 
+def may_be_alike(a: Column, b: Column) -> Column:
+    """False only for names whose weighted ratio, rounded to thousandths, is below ALIKE; without Python.
+
+    Names of one word each are as alike as their edits allow, which are at least their Levenshtein distance, or one is a stretch of the other (nearly, if
+    both are very long). Of names of several words nothing is said.
+    """
+    n, m = F.length(a), F.length(b)
+    most = F.floor((n + m) * 101 / 1000).cast("int")  # edits that leave 0.899 of the letters; the ratio must reach 0.8995
+    word = r"^[\p{L}\p{N}!-~]+$"
+    return (F.call_function("levenshtein", a, b, most) >= 0) | a.contains(b) | b.contains(a) | (F.least(n, m) > 400) | ~(a.rlike(word) & b.rlike(word))
+
+
 def review_items(groups: DataFrame, files: DataFrame) -> DataFrame:
     """(kind, group_id, message_id, payload) of groups that need a look, alike names of one size (the first file of each, and how many
     have the name), and countries that aren't sure (J4)."""
@@ -104,7 +117,8 @@ def review_items(groups: DataFrame, files: DataFrame) -> DataFrame:
     grouping = groups.where("status = 'REVIEW'").select(F.lit("grouping").alias("kind"), "group_id", none.alias("message_id"), F.to_json(F.struct("name", "confidence", "review_reason", "n_files")).alias("payload"))
     unsure = groups.where(f"status = 'OK' and country_confidence >= {UNSURE} and country_confidence < {SURE}")
     country = unsure.select(F.lit("country").alias("kind"), "group_id", none.alias("message_id"), F.to_json(F.struct("name", "country_name", "country_confidence")).alias("payload"))
-    pairs = all_of_one_size(names_of_sizes(files))
+    # few are left over, which are read for their names and for their files
+    pairs = stored(all_of_one_size(names_of_sizes(files)).where(may_be_alike(F.col("name_a"), F.col("name_b"))))
     names = pairs.select("name_a", "name_b").distinct().withColumn("likeness", F.round(weighted_ratio(F.col("name_a"), F.col("name_b")), 3)).where(F.col("likeness") >= ALIKE)
     alike = pairs.join(names, ["name_a", "name_b"]).select(F.lit("duplicate").alias("kind"), none.alias("group_id"), F.col("a").alias("message_id"), F.to_json(F.struct("a", "b", "n_a", "n_b", "likeness")).alias("payload"))
     return grouping.unionByName(country).unionByName(alike)
